@@ -128,7 +128,8 @@ def representatives(counts: dict[int, int]) -> dict[str, str]:
             text = new
         return text
 
-    return {m: settle(best) for m, best in out.items() if settle(best) != m}
+    # A member with a character the corpus lacks cannot occur in it.
+    return {m: settle(best) for m, best in out.items() if all(ord(c) in counts for c in m) and settle(best) != m}
 
 
 _MARK = re.compile("[̀-ͯ҃-֑҇-ֽً-ٟऀ-ः़᪰-᫿᷀-᷿⃐-゙゚⃰︠-︯ᄀ-ᇿ]")
@@ -145,7 +146,9 @@ class Rewriter:
             if pattern:
                 self.automaton.add_word(pattern, (len(pattern), new))
         self.automaton.make_automaton()
-        self.strings = any(len(k) > 1 and k.isascii() for k in to)
+        #: Finds the texts worth running the automaton over.
+        first = "".join(sorted({re.escape(k[0]) for k in to if k}))
+        self.first = re.compile(f"[{first}]") if first else None
 
     @staticmethod
     def _joins(text: str, at: int) -> bool:
@@ -158,10 +161,9 @@ class Rewriter:
         return 0x600 <= ord(before) < 0x1000 and 0x600 <= ord(after) < 0x1000
 
     def __call__(self, text: str) -> str:
-        if text.isascii() and not self.strings:
-            return _ENDS.sub("", text.replace("\r\n", "\n"))
         if text.isascii() or not _MARK.search(text):
-            text = self._replace(text)
+            if self.first and self.first.search(text):
+                text = self._replace(text)
         else:
             # Marks may sit on letters that are themselves rewritten.
             for _ in range(3):
@@ -172,6 +174,8 @@ class Rewriter:
         return _ENDS.sub("", text.replace("\r\n", "\n"))
 
     def _replace(self, text: str) -> str:
+        if not self.to:
+            return text
         parts, done = [], 0
         for end, (size, new) in self.automaton.iter_long(text):
             start = end - size + 1
