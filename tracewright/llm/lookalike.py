@@ -100,9 +100,14 @@ def build_classes() -> Classes:
     return u
 
 
-def representatives(counts: dict[int, int]) -> dict[str, str]:
+def representatives(counts: dict[int, int], foreign: bool = False) -> dict[str, str]:
     """What each string is rewritten to, given how often the corpus has each code point.
 
+    Strings with a code point that is not counted are left out, as they cannot
+    occur. With ``foreign`` the counts are those of another text, such as test
+    items that are searched for: then strings of any characters are rewritten,
+    but only to what that text can contain.
+
     A class takes the member whose rarest character is most frequent; of equal
     ones the shortest, then the first in code point order. A class with the
     empty string vanishes and one with a space becomes a space whatever the
@@ -129,7 +134,9 @@ def representatives(counts: dict[int, int]) -> dict[str, str]:
         return text
 
     # A member with a character the corpus lacks cannot occur in it.
-    return {m: settle(best) for m, best in out.items() if all(ord(c) in counts for c in m) and settle(best) != m}
+    known = lambda x: all(ord(c) in counts for c in x)
+    settled = ((m, settle(best)) for m, best in out.items())
+    return {m: best for m, best in settled if best != m and (known(best) if foreign else known(m))}
 
 
 _MARK = re.compile("[̀-ͯ҃-֑҇-ֽً-ٟऀ-ः़᪰-᫿᷀-᷿⃐-゙゚⃰︠-︯ᄀ-ᇿ]")
@@ -147,8 +154,10 @@ class Rewriter:
                 self.automaton.add_word(pattern, (len(pattern), new))
         self.automaton.make_automaton()
         #: Finds the texts worth running the automaton over.
-        first = "".join(sorted({re.escape(k[0]) for k in to if k}))
-        self.first = re.compile(f"[{first}]") if first else None
+        first = sorted({k[0] for k in to if k})
+        plane = "".join(re.escape(c) for c in first if c <= "\uffff")
+        options = ([f"[{plane}]"] if plane else []) + (["[\U00010000-\U0010ffff]"] if first and first[-1] > "\uffff" else [])
+        self.first = re.compile("|".join(options)) if options else None
 
     @staticmethod
     def _joins(text: str, at: int) -> bool:
