@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import leak, lookalike, neardup, segjoin
+from . import defects, leak, lookalike, neardup, segjoin
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -63,6 +63,21 @@ def p3_report(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _defects(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _table(spark, folder, "cot_records").select(F.col("record_id").alias("id"), "question", "cot", "answer")
+    return defects.defective_pairs(rows)
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Defective records with their type of defect."""
+    return _defects(spark, folder).select(F.col("id").alias("record_id"), "defect")
+
+
+def p4_summary(spark: SparkSession, folder: str) -> DataFrame:
+    """Defects per type."""
+    return _defects(spark, folder).groupBy("defect").agg(F.count("*").alias("n_records"))
+
+
 def _leaks(spark: SparkSession, folder: str) -> DataFrame:
     texts = _table(spark, folder, "documents").select(F.col("doc_id").alias("id"), "text")
     items = _table(spark, folder, "eval_items").select(F.col("item_id").alias("id"), F.col("question").alias("text"))
@@ -98,5 +113,5 @@ def p7_canonical(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_classes, p3_found, p3_report, p5_found, p5_spans, p5_items, p7_found, p7_canonical)
+    for f in (p1_found, p1_classes, p3_found, p3_report, p4_found, p4_summary, p5_found, p5_spans, p5_items, p7_found, p7_canonical)
 }
