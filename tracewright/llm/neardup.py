@@ -18,9 +18,10 @@ from .wording import Question, same_problem, sort_quantities, tokens, word_hash
 
 #: Sketch coordinates, each one a band together with its twin in the word sketch.
 COORDINATES = 20
-#: Members of a bucket that are compared with each member; later ones also with
-#: the first, and what that leaves open in further rounds.
+#: Members of a bucket that every bucket compares with each member.
 NEAREST = 8
+#: Buckets of up to so many members are compared completely.
+COMPLETE = 64
 #: Quantities of one element stand at most this far apart in the sorted order.
 SPAN = 5
 
@@ -123,10 +124,10 @@ def problem_classes(records: DataFrame) -> DataFrame:
     Steps: equal signatures (all quantities, all words) collapse to their
     smallest id before anything is compared; the rest meet in buckets of one
     coordinate of the quantity sketch and one of the word sketch; in a bucket
-    each row is compared with the ``NEAREST`` rows before it and with the
-    first, and rows a large bucket's first row does not match go into further
-    rounds with further firsts, so no partner is dropped; verified links are
-    closed to classes.
+    all rows are compared, or in one of more than ``COMPLETE`` rows each with
+    the ``NEAREST`` before it and with a first row of every class, so that the
+    work of a bucket is its size times its classes and no partner is dropped;
+    verified links are closed to classes.
     """
     records = records.select(F.col("id").cast("long").alias("id"), F.col("text").cast("string").alias("text"), F.col("steps").cast("string").alias("steps"))
     sketched = materialise(records.select("id", "text").mapInArrow(_sketches, "id long, sig long, bands array<long>"), "sketches")
@@ -136,38 +137,40 @@ def problem_classes(records: DataFrame) -> DataFrame:
     placed = banded.select(
         "key",
         "id",
-        F.first("id").over(w).alias("head"),
         F.row_number().over(w).alias("pos"),
         *(F.lag("id", k).over(w).alias(f"lag{k}") for k in range(1, NEAREST + 1)),
     ).where("pos > 1")
-    near = F.array(*(F.col(f"lag{k}") for k in range(1, NEAREST + 1)), F.when(F.col("pos") > NEAREST + 1, F.col("head")))
-    met = materialise(
-        placed.select("key", "id", "head", "pos", F.filter(near, lambda x: x.isNotNull()).alias("near")).select(
-            F.when(F.col("pos") > NEAREST + 1, F.col("key")).alias("key"), "id", "head", "near"
-        ),
-        "met",
-    )
-    pairs = met.select(F.explode("near").alias("a"), F.col("id").alias("b")).distinct()
+    near = F.filter(F.array(*(F.col(f"lag{k}") for k in range(1, NEAREST + 1))), lambda x: x.isNotNull())
+    met = materialise(placed.select(F.when(F.col("pos") > NEAREST + 1, F.col("key")).alias("key"), "id", near.alias("near")), "met")
+    pairs = met.select(F.explode("near").alias("a"), F.col("id").alias("b"))
     copies = sketched.join(first.select("sig", "rep"), "sig").where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
-    links = materialise(verified(pairs, records), "links")
+
+    crowded = materialise(met.where("key is not null").select("key").distinct(), "crowded")
+    open_ = None
+    if not crowded.isEmpty():
+        members = materialise(banded.join(crowded, "key", "left_semi"), "members")
+        sizes = members.groupBy("key").agg(F.count("*").alias("n"))
+        few = members.join(sizes.where(F.col("n") <= COMPLETE), "key", "left_semi")
+        pairs = pairs.unionByName(few.select("key", F.col("id").alias("a")).join(few.select("key", F.col("id").alias("b")), "key").where("a < b").select("a", "b"))
+        open_ = members.join(sizes.where(F.col("n") > COMPLETE), "key", "left_semi")
+    links = materialise(verified(pairs.distinct(), records), "links")
     labels = connected_components(links)
 
-    open_ = met.where("key is not null").select("key", "id", F.col("head").alias("centre"))
-    while True:
+    # Larger buckets: all members against a first one, those of other classes
+    # against the first of theirs, until every member is in its first's class.
+    while open_ is not None:
+        open_ = materialise(open_.join(open_.groupBy("key").agg(F.min("id").alias("centre")), "key").where("id <> centre"), "centred")
+        if open_.isEmpty():
+            break
+        links = links.unionByName(materialise(verified(open_.select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct(), records), "links"))
+        labels = connected_components(links)
         mine, its = labels.select("id", "label"), labels.select(F.col("id").alias("centre"), F.col("label").alias("centre_label"))
-        open_ = materialise(
+        open_ = (
             open_.join(mine, "id", "left")
             .join(its, "centre", "left")
             .where(F.coalesce("label", "id") != F.coalesce("centre_label", "centre"))
-            .select("key", "id"),
-            "open",
+            .select("key", "id")
         )
-        if open_.isEmpty():
-            break
-        open_ = materialise(open_.join(open_.groupBy("key").agg(F.min("id").alias("centre")), "key").where("id <> centre"), "centred")
-        more = verified(open_.select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct(), records)
-        links = links.unionByName(materialise(more, "links"))
-        labels = connected_components(links)
 
     # Copies hang on their representative, which keeps the class's smallest id.
     rep_label = copies.join(labels.select(F.col("id").alias("a"), "label"), "a", "left").select(F.col("b").alias("id"), F.coalesce("label", "a").alias("label"))

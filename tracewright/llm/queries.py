@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import defects, leak, lookalike, neardup, segjoin
+from . import defects, leak, lookalike, mixing, neardup, packing, segjoin
+from .shared import materialise
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -34,6 +35,45 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.select(F.col("a").alias("record_id_a"), F.col("b").alias("record_id_b"))
 
 
+def _packed(spark: SparkSession, folder: str) -> DataFrame:
+    """The latest delivery of each sample, packed for every run."""
+    latest = F.max_by("input_lengths", F.struct("ingested_at", "written_at", F.xxhash64("input_lengths")))
+    total = F.aggregate("lengths", F.lit(0), lambda x, y: x + F.coalesce(y, F.lit(0)))
+    rows = _table(spark, folder, "packed_inputs").where("row_id is not null").groupBy("row_id").agg(latest.alias("lengths")).select("row_id", total.alias("length"))
+    return packing.pack_items(materialise(rows, "samples"), _table(spark, folder, "training_args"))
+
+
+def p2_packs(spark: SparkSession, folder: str) -> DataFrame:
+    """Packs of every run with their samples and fill."""
+    return packing.packs(_packed(spark, folder))
+
+
+def p2_summary(spark: SparkSession, folder: str) -> DataFrame:
+    """Packs, pieces and fill per run."""
+    return packing.pack_summary(_packed(spark, folder))
+
+
+def _mixed(spark: SparkSession, folder: str, temperature: bool = False) -> tuple[DataFrame, DataFrame]:
+    sizes = mixing.sized(_table(spark, folder, "documents"))
+    plan = mixing.plan_mixes(sizes, _table(spark, folder, "mix_targets"), temperature)
+    return mixing.mix_documents(sizes, plan), plan
+
+
+def p6_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """How often each document is used in each mix."""
+    return _mixed(spark, folder)[0]
+
+
+def p6_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """Target and actual shares per mix and source."""
+    return mixing.mix_report(*_mixed(spark, folder))
+
+
+def p6_temperature(spark: SparkSession, folder: str) -> DataFrame:
+    """Shares when each mix tempers its token shares to the entropy of its targets."""
+    return mixing.mix_report(*_mixed(spark, folder, temperature=True))
+
+
 def _overlaps(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     rows = _problems(spark, folder)
     return rows, segjoin.split_overlaps(rows.where("split in ('val', 'test')"), rows.where("split = 'train'"))
@@ -113,5 +153,8 @@ def p7_canonical(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_classes, p3_found, p3_report, p4_found, p4_summary, p5_found, p5_spans, p5_items, p7_found, p7_canonical)
+    for f in (
+        p1_found, p1_classes, p2_packs, p2_summary, p3_found, p3_report, p4_found, p4_summary,
+        p5_found, p5_spans, p5_items, p6_mix, p6_shares, p6_temperature, p7_found, p7_canonical,
+    )
 }
