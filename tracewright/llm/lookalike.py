@@ -22,6 +22,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import materialise
+
 # Letters that share their glyph with a Latin letter.
 SAME_GLYPH = {
     "Cyrillic": "аa еe оo рp сc уy хx ѕs іi јj һh ԁd ԛq ԝw АA ВB ЕE КK МM НH ОO РP СC ТT УY ХX ЅS ІI ЈJ ԌG ҺH ԚQ ԜW ӀI ӏl",
@@ -290,7 +292,7 @@ def lookalike_classes(df: DataFrame, id_column: str, text_column: str) -> DataFr
     """
     texts = df.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
     pairs = rewriter_for(code_points(texts, "text"))
-    return texts.mapInArrow(_fingerprints(pairs), "id long, form binary, raw binary")
+    return materialise(texts.mapInArrow(_fingerprints(pairs), "id long, form binary, raw binary"), "forms")
 
 
 def lookalike_pairs(classes: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 The plan only depends on how many items there are of each length, which is a
 table of at most ``capacity`` rows however many items there are. Patterns of
-up to ``DEPTH`` lengths that fill the capacity are enumerated on a grid of
+a few lengths (``DEPTHS``) that fill the capacity are enumerated on a grid of
 length levels, their repeat counts solved against the histogram, rounded down
 to what is there, and everything left is packed best-fit into the room of
 those packs and into new ones. Items then find their pack by their rank among
@@ -21,9 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Levels of the length grid, lengths of a pattern, and unused levels a pattern may leave.
+#: Levels of the length grid, lengths of a pattern (each is tried), and unused levels a pattern may leave.
 LEVELS = 96
-DEPTH = 3
+DEPTHS = (3, 4)
 SLACK = 1
 #: Items of one length that are ranked in one task.
 RANKED_AT_ONCE = 50_000
@@ -103,48 +103,101 @@ class Plan:
 
 def plan_packs(histogram: dict[int, int], capacity: int, most: int | None) -> Plan:
     """The packs for ``histogram`` (length -> items, 1 <= length <= capacity)."""
-    left = Counter({k: v for k, v in histogram.items() if v > 0})
-    plan = Plan(capacity)
     most = most or 10**9
-    if left.pop(capacity, None):
+    plan = Plan(capacity)
+    if histogram.get(capacity):
         plan.patterns.append(((capacity,), histogram[capacity]))
+    whole = Counter({k: v for k, v in histogram.items() if 0 < k < capacity and v > 0})
+    # The rest into the patterns' room, the rest on its own, or all of it
+    # without patterns where the number of items binds: the fewest packs win.
+    plans = []
+    for depth in DEPTHS:
+        packs, left = _solved(whole, capacity, most, depth)
+        plans.append(_best_fit(packs, left, capacity, most))
+        if most < 10**9:
+            plans.append(sorted(packs, reverse=True) + _balanced(left, capacity, most))
+    if most < 10**9:
+        plans.append(_balanced(whole, capacity, most))
+    plan.patterns.extend(min(plans, key=lambda p: sum(n for _, n in p)))
+    return plan
+
+
+def _solved(whole: Counter, capacity: int, most: int, depth: int) -> tuple[list[tuple[tuple[int, ...], int]], Counter]:
+    """Packs by the solved and rounded patterns, and the items they leave."""
+    left = Counter(whole)
     levels = min(LEVELS, capacity)
     level = lambda k: -(-k * levels // capacity)
     by_level: dict[int, list[int]] = defaultdict(list)
     for k in sorted(left, reverse=True):
         by_level[level(k)].append(k)
     packs: list[tuple[tuple[int, ...], int]] = []
-    shapes = level_patterns(list(by_level), levels, min(DEPTH, most), SLACK)
-    if shapes:
-        index = {x: i for i, x in enumerate(sorted(by_level))}
-        want = np.array([float(sum(left[k] for k in by_level[x])) for x in sorted(by_level)])
-        a = np.zeros((len(index), len(shapes)))
-        for j, shape in enumerate(shapes):
-            for x in shape:
-                a[index[x], j] += 1
-        # Short items always find room later; long ones decide the fill.
-        weight = np.array([1.0 if 4 * x >= levels else 0.1 for x in sorted(by_level)])
-        repeats = nnls(a * weight[:, None], want * weight)
-        for j in np.argsort(-repeats, kind="stable"):
-            n = int(repeats[j] + 0.5)
-            if not n:
-                break
-            need = Counter(shapes[j])
-            n = min([n, *(sum(left[k] for k in by_level[x]) // t for x, t in need.items())])
-            while n > 0:
-                picked: list[int] = []
-                taken: Counter[int] = Counter()
-                for x in shapes[j]:
-                    k = next(k for k in by_level[x] if left[k] > taken[k])
-                    picked.append(k)
-                    taken[k] += 1
-                run = min([n, *(left[k] // t for k, t in taken.items())])
-                for k, t in taken.items():
-                    left[k] -= run * t
-                packs.append((tuple(picked), run))
-                n -= run
-    plan.patterns.extend(_best_fit(packs, +left, capacity, most))
-    return plan
+    shapes = level_patterns(list(by_level), levels, min(depth, most), SLACK)
+    if not shapes:
+        return packs, left
+    order = sorted(by_level)
+    index = {x: i for i, x in enumerate(order)}
+    want = np.array([float(sum(left[k] for k in by_level[x])) for x in order])
+    a = np.zeros((len(index), len(shapes)))
+    for j, shape in enumerate(shapes):
+        for x in shape:
+            a[index[x], j] += 1
+    # Short items always find room later, unless the number of items is what runs out.
+    weight = np.array([1.0 if 4 * x >= levels or most <= depth else 0.1 for x in order])
+    repeats = nnls(a * weight[:, None], want * weight)
+    for j in np.argsort(-repeats, kind="stable"):
+        n = int(repeats[j] + 0.5)
+        if not n:
+            break
+        need = Counter(shapes[j])
+        n = min([n, *(sum(left[k] for k in by_level[x]) // t for x, t in need.items())])
+        while n > 0:
+            picked: list[int] = []
+            taken: Counter[int] = Counter()
+            for x in shapes[j]:
+                k = next(k for k in by_level[x] if left[k] > taken[k])
+                picked.append(k)
+                taken[k] += 1
+            run = min([n, *(left[k] // t for k, t in taken.items())])
+            for k, t in taken.items():
+                left[k] -= run * t
+            packs.append((tuple(sorted(picked, reverse=True)), run))
+            n -= run
+    return packs, +left
+
+
+def _balanced(left: Counter, capacity: int, most: int) -> list[tuple[tuple[int, ...], int]]:
+    """Packs of about equally many items: the longest first, then such that the free places share the room."""
+    left = Counter(left)
+    lengths = sorted(left)
+    items, tokens = left.total(), sum(k * v for k, v in left.items())
+    out = []
+    while lengths:
+        places = min(most, max(1, -(-capacity * items // tokens)))
+        first = lengths[-1]
+        picked, room = [first], capacity - first
+        taken = Counter(picked)
+        while len(picked) < most and room:
+            free = max(1, places - len(picked))
+            aim = room if free == 1 else max(room // free, lengths[0])
+            i = bisect_left(lengths, min(aim, room) + 1) - 1
+            while i >= 0 and left[lengths[i]] <= taken[lengths[i]]:
+                i -= 1
+            if i < 0:
+                # Nothing so short is left: the shortest that fits.
+                i = next((j for j, k in enumerate(lengths) if k <= room and left[k] > taken[k]), -1)
+                if i < 0:
+                    break
+            picked.append(lengths[i])
+            taken[lengths[i]] += 1
+            room -= lengths[i]
+        n = min(left[k] // t for k, t in taken.items())
+        for k, t in taken.items():
+            left[k] -= n * t
+            items, tokens = items - n * t, tokens - n * t * k
+            if not left[k]:
+                lengths.remove(k)
+        out.append((tuple(sorted(picked, reverse=True)), n))
+    return out
 
 
 def _best_fit(packs: list[tuple[tuple[int, ...], int]], left: Counter, capacity: int, most: int) -> list[tuple[tuple[int, ...], int]]:
