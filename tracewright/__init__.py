@@ -1 +1 @@
-"""See the package README."""
+"""Spark-first preparation, scoring and analysis of reasoning traces."""

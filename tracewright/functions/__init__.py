@@ -1 +1 @@
-"""See the package README."""
+"""Column builders: they take and return Columns and stay visible to Catalyst."""

@@ -1,4 +1,8 @@
 """All queries of the core operators and their SQL twins."""
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from __future__ import annotations
+
+from . import answers  # noqa: F401
+from .base import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES"]
