@@ -1 +1 @@
-"""See the package README."""
+"""DataFrame operators: they take and return DataFrames, without actions."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import answers  # noqa: F401
+from . import answers, equivalence  # noqa: F401
 from .base import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
