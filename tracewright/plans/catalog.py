@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import aggregates, answers, equivalence, relational  # noqa: F401
+from . import aggregates, answers, equivalence, ordered, relational  # noqa: F401
 from .base import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
