@@ -1,48 +1,5 @@
-"""Session helpers of the subpackage: the shared folder and materialised tables."""
+"""Session helpers of the subpackage."""
 
-from __future__ import annotations
+from ..operators.tables import materialise, shared_dir
 
-import atexit
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir`` of the session.
-
-    Only where the session names none (tests, a laptop) a temporary folder is
-    made and set.
-    """
-    set_dir = spark.sparkContext.getCheckpointDir()
-    if set_dir:
-        return set_dir.rstrip("/")
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="tracewright-")
-    spark.sparkContext.setCheckpointDir(named)
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        hadoop = jvm.org.apache.hadoop.fs.Path(path)
-        hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
-    except Exception:
-        pass  # the session is gone; the cluster's own cleaning applies
-
-
-def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back.
-
-    Cuts the lineage: the table survives the loss of any executor, and later
-    stages never recompute what led to it. The table is removed when the
-    driver process ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tracewright-{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["materialise", "shared_dir"]
