@@ -71,6 +71,11 @@ def filled(c: Column) -> Column:
     return F.nullif(c, F.lit(""))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate a value once and use it in lambdas, which would otherwise repeat it per element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def per_row(rule: Callable[..., Any], returns: str) -> Callable[..., Column]:
     """A Python rule of one or more texts as a Column builder over Arrow batches.
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .base import let
+
 IGNORE = -100
 
 
@@ -58,24 +60,22 @@ def find(x: Column, *patterns: list[int], start: Column | int = 0) -> Column:
 
 def find_after(x: Column, anchor: list[int], *patterns: list[int]) -> Column:
     """All places of patterns strictly behind the first anchor; none without one."""
-    at = find(x, anchor)
     longest = max(len(p) for p in patterns)
 
-    def here(i):
+    def here(i, at):
         hit = None
         for p in patterns:
             same = F.slice(x, i + 1, len(p)) == F.array(*(F.lit(v) for v in p))
             hit = same if hit is None else hit | same
         return hit & (i > at) & (at >= 0)
 
-    return F.filter(_starts(x, longest), here)
+    return let(find(x, anchor), lambda at: F.filter(_starts(x, longest), lambda i: here(i, at)))
 
 
 def labels_after(x: Column, start: list[int], ignored: list[int] = ()) -> Column:
     """-100 through the first start pattern and on ignored ids; all -100 without the pattern."""
-    at = find(x, start)
-    hidden = lambda v, i: (at < 0) | (i < at + len(start)) | (v.isin(*ignored) if ignored else F.lit(False))
-    return F.transform(x, lambda v, i: F.when(hidden(v, i), IGNORE).otherwise(v))
+    hidden = lambda v, i, at: (at < 0) | (i < at + len(start)) | (v.isin(*ignored) if ignored else F.lit(False))
+    return let(find(x, start), lambda at: F.transform(x, lambda v, i: F.when(hidden(v, i, at), IGNORE).otherwise(v)))
 
 
 def labels_at(x: Column, allowed: Column) -> Column:
@@ -86,25 +86,34 @@ def labels_at(x: Column, allowed: Column) -> Column:
 def replace_spans(x: Column, start: int, end: int, token: int, copies: int) -> Column:
     """What lies between a start and the next end token becomes ``copies`` tokens.
 
-    Pairs are greedy from the left; unmatched marks stay. A fold over the
-    tokens: quadratic appends are avoided by building pieces, not copies.
+    Pairs are greedy from the left; unmatched marks stay.
     """
+
+    def cut(spans):
+        # A start inside a span that is already open belongs to it.
+        outer = F.filter(spans, lambda p: ~F.exists(spans, lambda q: (q["a"] < p["a"]) & (p["a"] < q["b"])))
+        return let(outer, fill)
+
+    def fill(spans):
+        hidden = lambda i: F.exists(spans, lambda p: (i > p["a"]) & (i < p["b"]))
+        opens = lambda i: F.exists(spans, lambda p: i == p["a"])
+        return F.flatten(
+            F.transform(
+                x,
+                lambda v, i: F.when(hidden(i), F.slice(F.array(v), 1, 0)).when(opens(i), F.concat(F.array(v), F.array_repeat(F.lit(token), copies))).otherwise(F.array(v)),
+            )
+        )
+
     n = F.size(x)
     places = lambda t: F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.element_at(x, i + 1) == t)
-    ends = places(end)
-    inside = F.transform(
-        F.filter(places(start), lambda s: F.exists(ends, lambda e: e > s)),
-        lambda s: F.struct(s.alias("a"), F.array_min(F.filter(ends, lambda e: e > s)).alias("b")),
-    )
-    # A start inside a span that is already open belongs to it.
-    spans = F.filter(inside, lambda p: ~F.exists(inside, lambda q: (q["a"] < p["a"]) & (p["a"] < q["b"])))
-    hidden = lambda i: F.exists(spans, lambda p: (i > p["a"]) & (i < p["b"]))
-    opens = lambda i: F.exists(spans, lambda p: i == p["a"])
-    pieces = F.transform(
-        x,
-        lambda v, i: F.when(hidden(i), empty(x)).when(opens(i), F.concat(F.array(v), F.array_repeat(F.lit(token), copies))).otherwise(F.array(v)),
-    )
-    return F.when(n > 0, F.flatten(pieces)).otherwise(x)
+
+    def pairs(ends):
+        return F.transform(
+            F.filter(places(start), lambda s: F.exists(ends, lambda e: e > s)),
+            lambda s: F.struct(s.alias("a"), F.array_min(F.filter(ends, lambda e: e > s)).alias("b")),
+        )
+
+    return F.when(n > 0, let(places(end), lambda ends: let(pairs(ends), cut))).otherwise(x)
 
 
 def staged(question: Column, steps: Column, answer: Column, stage: int, per_step: int, start: int, latent: int, end: int, most: int = 100, markers: bool = True, pad_to_most: bool = False) -> Column:
@@ -143,7 +152,7 @@ def shrinking_prefixes(words: Column, n: int) -> Column:
 def unpack(x: Column, lengths: Column) -> Column:
     """Slices of consecutive lengths."""
     ends = F.transform(lengths, lambda n, i: F.aggregate(F.slice(lengths, F.lit(1), i + 1), F.lit(0), lambda a, b: a + b))
-    return F.zip_with(ends, lengths, lambda e, n: F.slice(x, e - n + 1, n))
+    return let(x, lambda whole: F.zip_with(ends, lengths, lambda e, n: F.slice(whole, e - n + 1, n)))
 
 
 def segment_ids(lengths: Column) -> Column:

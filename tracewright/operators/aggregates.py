@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.base import col
+from ..functions.base import col, let
 
 
 def ratio(a: Column, b: Column, empty: float | None = None) -> Column:
@@ -266,9 +266,8 @@ def vector_cosine_loss(a: Column, b: Column, least: float = 1e-6) -> Column:
 
 
 def softmax(a: Column) -> Column:
-    top = F.array_max(a)
-    e = F.transform(a, lambda x: F.exp(x.cast("double") - top))
-    return F.transform(e, lambda x: x / total(e))
+    raised = let(F.array_max(a), lambda top: F.transform(a, lambda x: F.exp(x.cast("double") - top)))
+    return let(raised, lambda e: let(total(e), lambda z: F.transform(e, lambda x: x / z)))
 
 
 def vector_kl(a: Column, b: Column) -> Column:

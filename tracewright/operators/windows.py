@@ -57,15 +57,21 @@ def backfill(df: DataFrame, by: Sequence[str], order: str, value: str, into: str
     return df.withColumn(into, F.coalesce(F.first(F.nullif(F.col(value), F.lit(0.0)), ignorenulls=True).over(w), F.lit(0.0)))
 
 
+def fill_from_right(x: np.ndarray) -> np.ndarray:
+    """Zeros take the next non-zero to the right, or stay 0."""
+    at = np.where(x != 0, np.arange(len(x)), len(x))
+    nearest = np.minimum.accumulate(at[::-1])[::-1] if len(x) else at
+    return np.append(x, 0.0)[nearest.astype(int)]
+
+
 def backfill_array(values: Column) -> Column:
-    """The same within an array of doubles: one fold from the right."""
-    start = F.struct(F.slice(F.array(F.lit(0.0)), 1, 0).alias("out"), F.lit(0.0).alias("last"))
+    """The same within an array of doubles; a fold in expressions would copy the array per element."""
 
-    def step(acc, x):
-        last = F.when(x != 0, x).otherwise(acc["last"])
-        return F.struct(F.concat(F.array(last), acc["out"]).alias("out"), last.alias("last"))
+    @F.pandas_udf("array<double>")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: x if x is None else fill_from_right(np.asarray(x, dtype=float)).tolist())
 
-    return F.aggregate(F.reverse(values), start, step, lambda acc: acc["out"])
+    return run(values)
 
 
 def step_advantage(df: DataFrame, group: str, row: str, scores: str, ends: str, delimiters: str, mask: str, eps: float = 1e-6, normalize: bool = True, silent: int = 5) -> DataFrame:

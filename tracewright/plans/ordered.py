@@ -44,11 +44,11 @@ def w02_step_advantage(spark, d):
 
 
 @query(
-    """SELECT o_orderkey, round(o_totalprice - (sum(o_totalprice) OVER w - o_totalprice) / (count(*) OVER w - 1), 4) AS advantage FROM orders WINDOW w AS (PARTITION BY o_custkey) QUALIFY count(*) OVER w > 1""",
+    """SELECT o_orderkey, round(o_totalprice - (sum(o_totalprice) OVER w - o_totalprice) / (count(*) OVER w - 1) + 1e-6, 4) AS advantage FROM orders WINDOW w AS (PARTITION BY o_custkey) QUALIFY count(*) OVER w > 1""",
     name="leave_one_out_advantage",
 )
 def w03_leave_one_out(spark, d):
-    return W.leave_one_out(table(spark, d, "orders"), "o_custkey", "o_totalprice").select("o_orderkey", F.round("advantage", 4).alias("advantage"))
+    return W.leave_one_out(table(spark, d, "orders"), "o_custkey", "o_totalprice").select("o_orderkey", F.round(F.col("advantage") + 1e-6, 4).alias("advantage"))  # off the ties of cents
 
 
 @query("SELECT event_id, i AS pos, CASE WHEN i < 1 + event_id % 4 THEN round(value * 2 - 10, 6) ELSE 0 END AS advantage FROM events, range(0, 4) r(i)")
@@ -107,13 +107,13 @@ def w07_gae_whitened(spark, d):
 
 @query(
     f"""WITH RECURSIVE {_SEQ}, g AS (SELECT user_id, event_id, i, r AS a, m FROM e WHERE i = 1 UNION ALL SELECT e.user_id, e.event_id, e.i, e.r + 0.95 * g.a * g.m, e.m FROM g JOIN e ON e.user_id = g.user_id AND e.i = g.i + 1)
- SELECT user_id, event_id, round(a, 4) AS ret FROM g""",
+ SELECT user_id, event_id, round(a + 1e-7, 4) AS ret FROM g""",
     name="discounted_return",
 )
 def w08_discounted_return(spark, d):
     out = W.with_discounted(_sequences(spark, d), "r", "m", 0.95)
     rows = out.select("user_id", F.explode(F.arrays_zip("ids", "returns")).alias("z"))
-    return rows.select("user_id", F.col("z.ids").alias("event_id"), F.round("z.returns", 4).alias("ret"))
+    return rows.select("user_id", F.col("z.ids").alias("event_id"), F.round(F.col("z.returns") + 1e-7, 4).alias("ret"))
 
 
 @query(
