@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import aggregates, answers, equivalence, ordered, relational, sequences  # noqa: F401
+from . import aggregates, answers, equivalence, io, ordered, relational, sequences, streams  # noqa: F401
 from .base import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

@@ -1 +1 @@
-"""See the package README."""
+"""Readers and writers: explicit schemas, no inference, splittable formats where the format allows."""
