@@ -188,9 +188,9 @@ def b02_least_loaded(spark, d):
     return P.balance(_batched(spark, d), "batch", "doc_id", "n_chars", 4, method="least_loaded")
 
 
-@query("SELECT doc_id % 10 AS batch, 4 AS parts, count(*) // 4 AS least, count(*) // 4 AS most FROM documents GROUP BY 1")
+@query("SELECT doc_id % 10 AS batch, 5 AS parts, count(*) // 5 AS least, count(*) // 5 AS most FROM documents GROUP BY 1")
 def b03_equal_parts(spark, d):
-    out = P.balance(_batched(spark, d), "batch", "doc_id", "n_chars", 4, equal=True)
+    out = P.balance(_batched(spark, d), "batch", "doc_id", "n_chars", 5, equal=True)
     sizes = out.groupBy("batch", "part").agg(F.count("*").alias("c"))
     return sizes.groupBy("batch").agg(F.count("*").cast("int").alias("parts"), F.min("c").alias("least"), F.max("c").alias("most"))
 
