@@ -29,7 +29,7 @@ SAME_GLYPH = {
     "Cyrillic": "аa еe оo рp сc уy хx ѕs іi јj һh ԁd ԛq ԝw АA ВB ЕE КK МM НH ОO РP СC ТT УY ХX ЅS ІI ЈJ ԌG ҺH ԚQ ԜW ӀI ӏl",
     "Greek": "οo νv ϳj ΑA ΒB ΕE ΖZ ΗH ΙI ΚK ΜM ΝN ΟO ΡP ΤT ΥY ΧX ͿJ",
     "Armenian": "օo ոn սu հh յj ցg զq ՕO ՍU ԼL",
-    "other": "ɡg ɩι ſſ ꓐB ꓑP ꓒd",
+    "other": "ɡg ɩι ꓐB ꓑP ꓒd",
 }
 # Marks that have no width and leave no trace, besides the format characters of Unicode.
 INVISIBLE = "͏ᅟᅠ឴឵ㅤﾠ︀︁︂︃︄︅︆︇︈︉︊︋︌︍︎️"
@@ -38,9 +38,6 @@ SEEN_FORMAT = frozenset("؀؁؂؃؄؅۝܏࢐࢑࣢\U000110bd\U000110cd")
 JOINERS = "‌‍"
 # Ranges whose compatibility decomposition looks like the character itself.
 SAME_LOOK_COMPAT = ((0xB5, 0xB5), (0x1C4, 0x1CC), (0x1F1, 0x1F3), (0x2024, 0x2026), (0x2160, 0x217F), (0x2E9F, 0x2E9F), (0x2EF3, 0x2EF3), (0x2F00, 0x2FD5), (0xFB00, 0xFB06), (0xFB13, 0xFB17))
-# Hyphens of one look.
-HYPHENS = "‐‑­"
-
 SPACE = " "
 
 
@@ -81,8 +78,8 @@ def build_classes() -> Classes:
         for a, b in pairs.split():
             if a != b:
                 u.join(a, b)
-    u.join("‐", "-")
-    u.join("‑", "-")
+    for hyphen in "\u2010\u2011":
+        u.join(hyphen, "-")
     for n in range(0x80, sys.maxunicode + 1):
         if 0xAC00 <= n <= 0xD7A3 or 0xD800 <= n <= 0xDFFF or 0xE000 <= n <= 0xF8FF or n >= 0xF0000:
             continue  # Hangul syllables are composed by NFC; surrogates and private use have no look

@@ -17,7 +17,7 @@ from .sketch import fast_similarity_sketch, mix
 from .wording import Question, same_problem, sort_quantities, tokens, word_hash
 
 #: Sketch coordinates, each one a band together with its twin in the word sketch.
-COORDINATES = 20
+COORDINATES = 28
 #: Members of a bucket that every bucket compares with each member.
 NEAREST = 8
 #: Buckets of up to so many members are compared completely.
@@ -29,8 +29,9 @@ SPAN = 5
 def quantity_elements(numbers: list[str], words: list[str]) -> list[int]:
     """Set elements that few different problems share.
 
-    Threes of quantities; texts with three or fewer also give twos and ones,
-    those without any their threes of neighbouring words.
+    Threes of quantities; texts with few of them also give twos and ones, so
+    that one more quantity in a remark leaves enough in common; those without
+    any give their threes of neighbouring words.
     """
     h = [word_hash(x) for x in sort_quantities(numbers)]
     n = len(h)
@@ -39,7 +40,7 @@ def quantity_elements(numbers: list[str], words: list[str]) -> list[int]:
         for i in range(n - 2):
             for j, k in combinations(range(i + 1, min(n, i + 1 + SPAN)), 2):
                 out.append(hash((h[i], h[j], h[k])))
-    if n == 3 or n == 2:
+    if 2 <= n <= 4:
         out.extend(hash((3, *c)) for c in combinations(h, 2))
     if n == 2 or n == 1:
         out.extend(hash((5, c)) for c in h)

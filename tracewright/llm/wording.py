@@ -19,8 +19,9 @@ MAGNITUDES = {"hundred": 100, "thousand": 1000, "million": 1_000_000}
 #: "one" and "zero" are ordinary words far more often than quantities.
 NOT_ALONE = frozenset({"one", "zero"})
 
-_TOKEN = re.compile(r"\d[\d,.'’ \xa0]*\d|\d|[^\W\d_]+")
-_GROUPED = re.compile(r"\d{1,3}(?:[,.'’ \xa0]\d{3})+$")
+_TOKEN = re.compile(r"\d[\d,.'’]*\d|\d|[^\W\d_]+")
+_GROUP_BLANK = re.compile(r"(?<=\d)[\xa0\u2007\u2009\u202f](?=\d{3}(?!\d))")
+_GROUPED = re.compile(r"\d{1,3}(?:[,.'’]\d{3})+$")
 _WIDE = re.compile("[⺀-鿿가-힯豈-﫿]")
 
 
@@ -34,7 +35,7 @@ def canonical_number(text: str) -> str:
         return text.lstrip("0") or "0" if text[0] == "0" else text
     if _GROUPED.match(text):
         return re.sub(r"\D", "", text).lstrip("0") or "0"
-    whole, _, part = re.sub(r"[,'’ \xa0]", "", text).partition(".")
+    whole, _, part = re.sub(r"[,'’]", "", text).partition(".")
     part = re.sub(r"\D", "", part).rstrip("0")
     whole = whole.lstrip("0") or "0"
     return f"{whole}.{part}" if part else whole
@@ -74,7 +75,11 @@ def tokens(text: str | None) -> list[tuple[str, bool]]:
     """
     if not text:
         return []
-    low = text.lower() if text.isascii() else unicodedata.normalize("NFKC", text.replace(" ", "\xa0")).lower()
+    if text.isascii():
+        low = text.lower()
+    else:
+        # Narrow and fixed blanks that group digits would become ordinary ones.
+        low = unicodedata.normalize("NFKC", _GROUP_BLANK.sub(",", text)).lower()
     found = _TOKEN.findall(low)
     wide = not low.isascii() and _WIDE.search(low) is not None
     out: list[tuple[str, bool]] = []
