@@ -1,3 +1,45 @@
-"""SQL twins of the queries that SQL can express."""
+"""SQL twins of the queries that SQL can express.
 
-ORACLE: dict[str, str] = {}
+They state the same results by plainer means: look-alikes by translating
+characters, leaks by joining all windows of 15 words.
+"""
+
+from __future__ import annotations
+
+from .leak import _COMMAND, _ENTITY, _TAG, PASSAGE
+from .lookalike import representatives
+
+
+def _lit(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _form(column: str) -> str:
+    counts = {n: 1000 for n in range(32, 127)} | {n: 1 for n in range(127, 0x10000) if not 0xD800 <= n <= 0xDFFF}
+    pairs = representatives(counts)
+    one = {k: v for k, v in pairs.items() if len(k) == 1 and len(v) == 1}
+    gone = [k for k, v in pairs.items() if len(k) == 1 and not v]
+    many = {k: v for k, v in pairs.items() if len(k) == 1 and len(v) > 1}
+    source, target = "".join(one) + "".join(gone), "".join(one.values())
+    out = f"nfc_normalize(translate(nfc_normalize({column}), {_lit(source)}, {_lit(target)}))"
+    for k, v in many.items():
+        out = f"replace({out}, {_lit(k)}, {_lit(v)})"
+    lines = f"replace({out}, chr(13) || chr(10), chr(10))"
+    return rf"regexp_replace({lines}, '[ \t]+(\n|$)', '\1', 'g')"
+
+
+def _words(column: str) -> str:
+    text = f"lower({_form(column)})"
+    for pattern in (_TAG, _ENTITY, _COMMAND):
+        text = f"regexp_replace({text}, {_lit(pattern.pattern)}, ' ', 'g')"
+    return rf"regexp_extract_all({text}, '[\p{{L}}\p{{N}}]+')"
+
+
+def _windows(table: str, key: str, column: str) -> str:
+    return f"""SELECT DISTINCT {key}, array_to_string(w[i:i + {PASSAGE - 1}], ' ') AS p FROM (SELECT {key}, w, unnest(range(1, len(w) - {PASSAGE - 2})) AS i FROM (SELECT {key}, {_words(column)} AS w FROM {table}))"""
+
+
+ORACLE: dict[str, str] = {
+    "p5_found": f"WITH d AS ({_windows('documents', 'doc_id', 'text')}), e AS ({_windows('eval_items', 'item_id', 'question')}) SELECT DISTINCT doc_id, item_id FROM d JOIN e USING (p)",
+    "p7_found": f"WITH f AS (SELECT doc_id, text, {_form('text')} AS form FROM documents) SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM f a JOIN f b ON a.form = b.form AND a.doc_id < b.doc_id AND a.text <> b.text",
+}

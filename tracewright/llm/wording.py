@@ -130,13 +130,20 @@ def word_bits(words) -> int:
 class Question:
     """Parsed question: word set, quantity multiset and their contexts."""
 
-    __slots__ = ("toks", "words", "numbers", "solution")
+    __slots__ = ("toks", "words", "numbers", "_steps", "_solution")
 
     def __init__(self, text: str | None, steps: str | None = None):
         self.toks = tokens(text)
         self.words = frozenset(t for t, number in self.toks if not number)
         self.numbers = Counter(t for t, number in self.toks if number)
-        self.solution = frozenset(quantities(steps))
+        self._steps, self._solution = steps, None
+
+    @property
+    def solution(self) -> frozenset[str]:
+        """The quantities of the steps; only read where the questions' own differ."""
+        if self._solution is None:
+            self._solution = frozenset(quantities(self._steps))
+        return self._solution
 
     def contexts(self, value: str, reach: int = 4) -> list[frozenset[str]]:
         """The words around each place of a quantity."""
