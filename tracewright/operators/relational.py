@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .tables import small
+
 
 # ------------------------------------------------------------- projections
 
@@ -195,6 +197,16 @@ def member_cluster(members: DataFrame, queries: DataFrame, on: Sequence[str], cl
     return queries.join(first, list(on), "left")
 
 
+def best_of_all(rows: DataFrame, facts: DataFrame, key: str, cost: Column, fact: str, tie: str) -> DataFrame:
+    """(key, best, cost): the cheapest of all facts for each row, the smaller ``tie`` of equal ones.
+
+    Facts are a short list by nature; each row's pairs collapse in a partial
+    aggregate right behind the join and are never shuffled.
+    """
+    pairs = rows.crossJoin(small(facts)).withColumn("_c", cost)
+    return pairs.groupBy(key).agg(F.min_by(fact, F.struct("_c", tie)).alias("best"), F.min("_c").alias("cost"))
+
+
 def upsert(old: DataFrame, new: DataFrame, key: str | Sequence[str], latest: str) -> DataFrame:
     """Saved rows with new ones merged in: one row per key, the latest wins, new before old on ties."""
     keys = [key] if isinstance(key, str) else list(key)
@@ -205,8 +217,8 @@ def upsert(old: DataFrame, new: DataFrame, key: str | Sequence[str], latest: str
 
 
 def dense_grid(cells: DataFrame, rows: DataFrame, columns: DataFrame, row: str, column: str, value: str, fill: Column) -> DataFrame:
-    """Every (row, column) cell; absent ones get ``fill``. ``columns`` is a short list of names."""
-    grid = rows.select(row).distinct().crossJoin(F.broadcast(columns.select(column).distinct()))
+    """Every (row, column) cell; absent ones get ``fill``. The grid is the result: rows times columns."""
+    grid = rows.select(row).distinct().crossJoin(small(columns.select(column).distinct()))
     return grid.join(cells.select(row, column, value), [row, column], "left").withColumn(value, F.coalesce(value, fill))
 
 

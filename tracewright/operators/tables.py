@@ -7,6 +7,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows up to which a side may be broadcast.
+SMALL_ROWS = 10_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -46,3 +50,12 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def small(df: DataFrame, most: int = SMALL_ROWS) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``most`` rows, else as it is.
+
+    The check reads no more than it must to see one row too many; beyond it the
+    optimizer chooses another join.
+    """
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df

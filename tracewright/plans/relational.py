@@ -200,10 +200,8 @@ def j07_required_lookup(spark, d):
 )
 def j08_best_of_cross(spark, d):
     """Each question with each of a handful of facts; the cheapest fact wins."""
-    facts = F.broadcast(table(spark, d, "region"))  # five rows
-    rows = table(spark, d, "part").select("p_partkey", "p_retailprice").crossJoin(facts)
     cost = F.round(F.abs(F.col("p_retailprice") - 300.0 * F.col("r_regionkey")), 6)
-    return rows.withColumn("cost", cost).groupBy("p_partkey").agg(F.min_by("r_name", F.struct("cost", "r_regionkey")).alias("best"), F.min("cost").alias("cost"))
+    return R.best_of_all(table(spark, d, "part").select("p_partkey", "p_retailprice"), table(spark, d, "region"), "p_partkey", cost, "r_name", "r_regionkey")
 
 
 @query(
