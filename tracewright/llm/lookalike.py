@@ -152,8 +152,9 @@ class Rewriter:
             if pattern:
                 self.automaton.add_word(pattern, (len(pattern), new))
         self.automaton.make_automaton()
-        #: Finds the texts worth running the automaton over.
-        first = sorted({k[0] for k in to if k})
+        #: Finds the texts worth running the automaton over: each pattern is
+        #: known by a character that plain text lacks, if it has one.
+        first = sorted({next((c for c in k if c > "\x7f"), k[0]) for k in to if k})
         plane = "".join(re.escape(c) for c in first if c <= "\uffff")
         options = ([f"[{plane}]"] if plane else []) + (["[\U00010000-\U0010ffff]"] if first and first[-1] > "\uffff" else [])
         self.first = re.compile("|".join(options)) if options else None
