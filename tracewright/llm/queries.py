@@ -53,6 +53,18 @@ def p2_summary(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_summary(_packed(spark, folder))
 
 
+def p2_check(spark: SparkSession, folder: str) -> DataFrame:
+    """What every packing must keep: all pieces, tokens and samples, whole samples, no limit broken."""
+    items = _packed(spark, folder)
+    limits = _table(spark, folder, "training_args").select("run_name", F.col("max_packed_tokens").alias("room"), F.col("max_instance_per_batch").alias("most"))
+    samples = items.groupBy("run_name", "capacity", "row_id").agg(F.count("*").alias("pieces"), F.sum("length").alias("tokens"))
+    whole = F.bool_and((F.col("pieces") == 1) | (F.col("tokens") > F.col("capacity")))
+    per_run = samples.groupBy("run_name").agg(F.sum("pieces").alias("n_pieces"), F.sum("tokens").alias("n_tokens"), F.count("*").alias("n_samples"), whole.alias("whole"))
+    sizes = items.groupBy("run_name", "pack_id").agg(F.count("*").alias("n"), F.sum("length").alias("t")).join(limits, "run_name")
+    kept = (F.col("t") <= F.coalesce("room", "t")) & (F.col("n") <= F.coalesce("most", "n"))
+    return per_run.join(sizes.groupBy("run_name").agg(F.bool_and(kept).alias("within")), "run_name")
+
+
 def _mixed(spark: SparkSession, folder: str, temperature: bool = False) -> tuple[DataFrame, DataFrame]:
     sizes = mixing.sized(_table(spark, folder, "documents"))
     plan = mixing.plan_mixes(sizes, _table(spark, folder, "mix_targets"), temperature)
@@ -154,7 +166,7 @@ def p7_canonical(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_classes, p2_packs, p2_summary, p3_found, p3_report, p4_found, p4_summary,
+        p1_found, p1_classes, p2_packs, p2_summary, p2_check, p3_found, p3_report, p4_found, p4_summary,
         p5_found, p5_spans, p5_items, p6_mix, p6_shares, p6_temperature, p7_found, p7_canonical,
     )
 }

@@ -22,6 +22,7 @@ NOT_ALONE = frozenset({"one", "zero"})
 _TOKEN = re.compile(r"\d[\d,.'’]*\d|\d|[^\W\d_]+")
 _GROUP_BLANK = re.compile(r"(?<=\d)[\xa0\u2007\u2009\u202f](?=\d{3}(?!\d))")
 _GROUPED = re.compile(r"\d{1,3}(?:[,.'’]\d{3})+$")
+_WIDE_TOKEN = re.compile(r"\d[\d,.'’]*\d|\d|[⺀-鿿가-힯豈-﫿]|[^\W\d_⺀-鿿가-힯豈-﫿]+")
 _WIDE = re.compile("[⺀-鿿가-힯豈-﫿]")
 
 
@@ -80,8 +81,8 @@ def tokens(text: str | None) -> list[tuple[str, bool]]:
     else:
         # Narrow and fixed blanks that group digits would become ordinary ones.
         low = unicodedata.normalize("NFKC", _GROUP_BLANK.sub(",", text)).lower()
-    found = _TOKEN.findall(low)
     wide = not low.isascii() and _WIDE.search(low) is not None
+    found = (_WIDE_TOKEN if wide else _TOKEN).findall(low)
     out: list[tuple[str, bool]] = []
     i, n = 0, len(found)
     while i < n:
@@ -96,8 +97,6 @@ def tokens(text: str | None) -> list[tuple[str, bool]]:
                 out.append((str(value), True))
             i = j
             continue
-        elif wide and _WIDE.search(tok):
-            out.extend((c, False) for c in tok)
         else:
             out.append((tok, False))
         i += 1
