@@ -94,9 +94,11 @@ def test_same_problem_rules():
     assert not wording.same_problem(q(None), q(None)) and not wording.same_problem(q(""), q(base))
 
 
-@pytest.mark.parametrize("seed, nearest, complete", [(1, 8, 64), (2, 1, 2), (3, 1, 3)])
-def test_classes_match_brute_force(spark, shared, monkeypatch, seed, nearest, complete):
-    """Also with buckets so small that every further round is needed."""
+@pytest.mark.parametrize("seed, nearest, complete, crowd", [(1, 8, 64, 10**6), (2, 1, 2, 10**6), (3, 1, 3, 1), (4, 8, 64, 1)])
+def test_classes_match_brute_force(spark, shared, monkeypatch, seed, nearest, complete, crowd):
+    """Also with buckets so small that every further round is needed, and split ones."""
+    monkeypatch.setattr(neardup, "CROWD", crowd)
+    monkeypatch.setattr(neardup, "SAMPLED", 1)
     monkeypatch.setattr(neardup, "NEAREST", nearest)
     monkeypatch.setattr(neardup, "COMPLETE", complete)
     rows = table(seed) + [(10_000, None, None), (10_001, "", None), (10_002, "?!", "1")]

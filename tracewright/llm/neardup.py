@@ -22,6 +22,11 @@ COORDINATES = 28
 NEAREST = 8
 #: Buckets of up to so many members are compared completely.
 COMPLETE = 64
+#: Rows of a bucket from which on it is split for the neighbour search, and the
+#: share of rows (one in so many) that this is estimated from. Only how the work
+#: is spread depends on it.
+CROWD = 500_000
+SAMPLED = 64
 #: Quantities of one element stand at most this far apart in the sorted order.
 SPAN = 5
 
@@ -113,6 +118,18 @@ def verified(pairs: DataFrame, records: DataFrame) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_verify, "a long, b long")
 
 
+def _crowds(sketched: DataFrame) -> DataFrame | None:
+    """(key, parts) of the buckets that hold a large share of all rows, or None.
+
+    Such a bucket goes through the neighbour search in parts by a hash of the
+    row; what parts keep from meeting, the rounds over whole buckets compare.
+    """
+    some = sketched.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLED)) == 0).select(F.explode("bands").alias("key"))
+    counts = some.groupBy("key").agg((F.count("*") * SAMPLED).alias("n")).where(F.col("n") > CROWD)
+    hot = materialise(counts.select("key", F.ceil(F.col("n") / CROWD).cast("int").alias("parts")), "crowds")
+    return None if hot.isEmpty() else hot
+
+
 def problem_classes(records: DataFrame) -> DataFrame:
     """(id, class_id) of every row of ``records(id, text, steps)``.
 
@@ -134,8 +151,14 @@ def problem_classes(records: DataFrame) -> DataFrame:
     sketched = materialise(records.select("id", "text").mapInArrow(_sketches, "id long, sig long, bands array<long>"), "sketches")
     first = sketched.groupBy("sig").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"))
     banded = first.select(F.col("rep").alias("id"), F.explode("bands").alias("key"))
-    w = Window.partitionBy("key").orderBy("id")
-    placed = banded.select(
+    hot = _crowds(sketched)
+    if hot is None:
+        spread = banded.withColumn("part", F.lit(0))
+    else:
+        parts = F.coalesce("parts", F.lit(1))
+        spread = banded.join(hot, "key", "left").select("key", "id", F.pmod(F.xxhash64("id"), parts).cast("int").alias("part"))
+    w = Window.partitionBy("key", "part").orderBy("id")
+    placed = spread.select(
         "key",
         "id",
         F.row_number().over(w).alias("pos"),
@@ -146,7 +169,8 @@ def problem_classes(records: DataFrame) -> DataFrame:
     pairs = met.select(F.explode("near").alias("a"), F.col("id").alias("b"))
     copies = sketched.join(first.select("sig", "rep"), "sig").where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
 
-    crowded = materialise(met.where("key is not null").select("key").distinct(), "crowded")
+    over = met.where("key is not null").select("key")
+    crowded = materialise((over if hot is None else over.unionByName(hot.select("key"))).distinct(), "crowded")
     open_ = None
     if not crowded.isEmpty():
         members = materialise(banded.join(crowded, "key", "left_semi"), "members")
