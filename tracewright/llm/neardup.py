@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .graph import connected_components
 from .shared import materialise
 from .sketch import fast_similarity_sketch, mix
-from .wording import Question, same_problem, sort_quantities, tokens, word_hash
+from .wording import LEAST_LONG, Question, same_problem, sort_quantities, tokens, word_bits, word_hash
 
 #: Sketch coordinates, each one a band together with its twin in the word sketch.
 COORDINATES = 28
@@ -55,14 +55,15 @@ def quantity_elements(numbers: list[str], words: list[str]) -> list[int]:
     return list(set(out))
 
 
-def band_keys(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """(signatures, an (n, COORDINATES) matrix of band keys) of the texts.
+def band_keys(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """(signatures, an (n, COORDINATES) matrix of band keys, bits of the longer words) of the texts.
 
     The signature covers all quantities and the set of all words; texts
     without any word or quantity have signature 0 and no meaning in the keys.
     """
     n = len(texts)
     sig = np.zeros(n, dtype=np.int64)
+    bits = [0] * n
     el: tuple[list, list] = ([], [])
     at: tuple[list, list] = ([], [])
     for i, text in enumerate(texts):
@@ -71,6 +72,7 @@ def band_keys(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
             continue
         numbers = [t for t, number in toks if number]
         words = [t for t, number in toks if not number]
+        bits[i] = word_bits(set(words))
         q, w = quantity_elements(numbers, words), {word_hash(x) for x in words} or {1}
         sig[i] = hash((len(numbers), *sorted(word_hash(x) for x in numbers), *sorted(w))) or 1
         el[0].extend(q)
@@ -83,18 +85,18 @@ def band_keys(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
             for e, a in zip(el, at)
         ]
         keys = mix(mix(sk[0]) * np.uint64(3) + sk[1] + np.arange(COORDINATES, dtype=np.uint64))
-    return sig, keys.view(np.int64)
+    return sig, keys.view(np.int64), bits
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        sig, keys = band_keys(b.column("text").to_pylist())
+        sig, keys, bits = band_keys(b.column("text").to_pylist())
         known = np.flatnonzero(sig)
         flat = pa.array(keys[known].ravel())
         offsets = pa.array(np.arange(len(known) + 1, dtype=np.int32) * COORDINATES)
         yield pa.RecordBatch.from_arrays(
-            [b.column("id").take(pa.array(known)), pa.array(sig[known]), pa.ListArray.from_arrays(offsets, flat)],
-            ["id", "sig", "bands"],
+            [b.column("id").take(pa.array(known)), pa.array(sig[known]), pa.array([bits[i] for i in known], pa.int64()), pa.ListArray.from_arrays(offsets, flat)],
+            ["id", "sig", "bits", "bands"],
         )
 
 
@@ -112,6 +114,18 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+def plausible(pairs: DataFrame, words: DataFrame) -> DataFrame:
+    """The distinct pairs (a, b) that share enough of the longer words, by ``words(id, bits)``.
+
+    The same test is part of ``same_problem``; here it is made on 16 bytes a
+    row, before any text moves.
+    """
+    side = lambda x: words.select(F.col("id").alias(x), F.col("bits").alias(f"_{x}"))
+    size = lambda x: F.bit_count(F.col(x))
+    enough = F.bit_count(F.col("_a").bitwiseAND(F.col("_b"))) >= LEAST_LONG * F.least(size("_a"), size("_b"))
+    return pairs.distinct().join(side("a"), "a").join(side("b"), "b").where(enough).select("a", "b")
+
+
 def verified(pairs: DataFrame, records: DataFrame) -> DataFrame:
     """The rows (a, b) of ``pairs`` whose records(id, text, steps) are one problem."""
     side = lambda x: records.select(F.col("id").alias(x), F.col("text").alias(f"text_{x}"), F.col("steps").alias(f"steps_{x}"))
@@ -148,7 +162,7 @@ def problem_classes(records: DataFrame) -> DataFrame:
     verified links are closed to classes.
     """
     records = records.select(F.col("id").cast("long").alias("id"), F.col("text").cast("string").alias("text"), F.col("steps").cast("string").alias("steps"))
-    sketched = materialise(records.select("id", "text").mapInArrow(_sketches, "id long, sig long, bands array<long>"), "sketches")
+    sketched = materialise(records.select("id", "text").mapInArrow(_sketches, "id long, sig long, bits long, bands array<long>"), "sketches")
     first = sketched.groupBy("sig").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"))
     banded = first.select(F.col("rep").alias("id"), F.explode("bands").alias("key"))
     hot = _crowds(sketched)
@@ -178,7 +192,7 @@ def problem_classes(records: DataFrame) -> DataFrame:
         few = members.join(sizes.where(F.col("n") <= COMPLETE), "key", "left_semi")
         pairs = pairs.unionByName(few.select("key", F.col("id").alias("a")).join(few.select("key", F.col("id").alias("b")), "key").where("a < b").select("a", "b"))
         open_ = members.join(sizes.where(F.col("n") > COMPLETE), "key", "left_semi")
-    links = materialise(verified(pairs.distinct(), records), "links")
+    links = materialise(verified(plausible(pairs, sketched), records), "links")
     labels = connected_components(links)
 
     # Larger buckets: all members against a first one, those of other classes
@@ -187,7 +201,7 @@ def problem_classes(records: DataFrame) -> DataFrame:
         open_ = materialise(open_.join(open_.groupBy("key").agg(F.min("id").alias("centre")), "key").where("id <> centre"), "centred")
         if open_.isEmpty():
             break
-        links = links.unionByName(materialise(verified(open_.select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct(), records), "links"))
+        links = links.unionByName(materialise(verified(plausible(open_.select(F.col("centre").alias("a"), F.col("id").alias("b")), sketched), records), "links"))
         labels = connected_components(links)
         mine, its = labels.select("id", "label"), labels.select(F.col("id").alias("centre"), F.col("label").alias("centre_label"))
         open_ = (

@@ -19,10 +19,8 @@ from pyspark.sql import functions as F
 
 from .neardup import _question
 from .shared import materialise
-from .wording import Question, same_problem, sort_quantities, tokens, word_bits, word_hash
+from .wording import LEAST_LONG, Question, same_problem, sort_quantities, tokens, word_bits, word_hash
 
-#: The share of the smaller set of longer words that a candidate must share.
-LEAST_WORDS = 0.6
 #: Most edits of any string.
 MOST_EDITS = 2
 
@@ -173,7 +171,7 @@ def split_overlaps(evaluation: DataFrame, training: DataFrame) -> DataFrame:
     both = lambda c: F.bit_count(F.col(f"e{c}").bitwiseAND(F.col(f"t{c}")))
     size = lambda x: F.bit_count(F.col(x))
     # k edits leave all but k symbols of either string in common.
-    enough = (both("s") >= F.greatest(size("es"), size("ts")) - MOST_EDITS) & (both("b") >= LEAST_WORDS * F.least(size("eb"), size("tb")))
+    enough = (both("s") >= F.greatest(size("es"), size("ts")) - MOST_EDITS) & (both("b") >= LEAST_LONG * F.least(size("eb"), size("tb")))
     met = materialise(left.join(right, "key").where(enough).select("e", "t").distinct(), "met")
     side = lambda t, x: t.select(F.col("id").alias(x), F.col("text").alias(f"text_{x}"), F.col("steps").alias(f"steps_{x}"))
     return met.join(side(evaluation, "e"), "e").join(side(training, "t"), "t").mapInArrow(_verify, "e long, t long")

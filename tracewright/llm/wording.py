@@ -129,13 +129,19 @@ def word_bits(words) -> int:
 class Question:
     """Parsed question: word set, quantity multiset and their contexts."""
 
-    __slots__ = ("toks", "words", "numbers", "_steps", "_solution")
+    __slots__ = ("toks", "words", "numbers", "_steps", "_solution", "_bits")
 
     def __init__(self, text: str | None, steps: str | None = None):
         self.toks = tokens(text)
         self.words = frozenset(t for t, number in self.toks if not number)
         self.numbers = Counter(t for t, number in self.toks if number)
-        self._steps, self._solution = steps, None
+        self._steps, self._solution, self._bits = steps, None, None
+
+    @property
+    def bits(self) -> int:
+        if self._bits is None:
+            self._bits = word_bits(self.words) & (1 << 64) - 1
+        return self._bits
 
     @property
     def solution(self) -> frozenset[str]:
@@ -160,11 +166,17 @@ class Question:
         return value not in self.solution
 
 
+#: Share of the bits of the longer words that the text with fewer of them shares.
+LEAST_LONG = 0.5
+
+
 def same_problem(a: Question, b: Question, least: float = 0.42) -> bool:
     """Whether two questions tell one story with the same quantities.
 
     About half of the words must be shared (``least``; copies with another
-    name, order, layout, synonyms and added remarks stay above it). Quantities
+    name, order, layout, synonyms and added remarks stay above it), and
+    ``LEAST_LONG`` of the longer words by their bits, which the joins test
+    first. Quantities
     found on one side only must be remarks: absent from that side's solution
     steps, or, where no steps are known, without a counterpart in the other
     text that stands between the same words.
@@ -174,6 +186,8 @@ def same_problem(a: Question, b: Question, least: float = 0.42) -> bool:
         return False
     if union and len(a.words & b.words) < least * union:
         return False
+    if (a.bits & b.bits).bit_count() < LEAST_LONG * min(a.bits.bit_count(), b.bits.bit_count()):
+        return False
     only_a, only_b = a.numbers - b.numbers, b.numbers - a.numbers
     if not only_a and not only_b:
         return True
