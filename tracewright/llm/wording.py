@@ -167,7 +167,7 @@ class Question:
 
 
 #: Share of the bits of the longer words that the text with fewer of them shares.
-LEAST_LONG = 0.5
+LEAST_LONG = 0.6
 
 
 def same_problem(a: Question, b: Question, least: float = 0.42) -> bool:
