@@ -134,7 +134,7 @@ COT = "Removing the bricks 219 - 120 = <<219-120=99>>99 bricks."
         (None, Q, "copied_question"), (None, "You asked: " + Q.upper(), "copied_question"), (None, "How many bricks remain with Abrask?", "copied_question"), (None, "Mice spoill 120 of them after closing time.", "copied_question"),
         ("Daraus folgt 219 - 120 = 99 Ziegel.\nDie Antwort ist 99.", "99", "other_language"), ("Removing them 219 - 120 = 99.\nВсего получается 99.", "99", "other_language"),
         ("Removing the bricks 219 - 120 = <<219-1", "99", "truncated_answer"), ("Removing the bricks 219 -", "99", "truncated_answer"), (COT + "\nAfter that lo", "99", "truncated_answer"), ("Without them: $219 - 120 = 9", "99", "truncated_answer"),
-        ("219 - 120 = 99\n9", "9", "truncated_answer"), (COT, "\\boxed{99", "truncated_answer"), (COT, "<answer>99", "truncated_answer"), (COT, "So in the end Abrask is left with", "truncated_answer"), ("219 - 100 = 11", "119", "truncated_answer"),
+        ("219 - 120 = 99\n9", "9", "truncated_answer"), (COT, "\\boxed{99", "truncated_answer"), (COT, "99 bri", "truncated_answer"), (COT, "99 Bricks", None), (COT, "99 florins", None), (COT, "<answer>99", "truncated_answer"), (COT, "So in the end Abrask is left with", "truncated_answer"), ("219 - 100 = 11", "119", "truncated_answer"),
         (COT + "\nRefusing to round keeps this exact.", "99", None), ("1) start: 219\n2) 219 - 120 = 99", "99", None),
     ],
 )

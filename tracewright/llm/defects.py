@@ -392,16 +392,19 @@ def cot_broken(question: str | None, cot: str | None) -> bool:
 
 
 _PLAIN = re.compile(r"\s*(?:\#{2,}\s*|\$\s*)?-?\d[\d,]*(?:\.\d*)?\s*[%$€]?\s*")
-_UNIT = re.compile(r"\s*-?\d[\d,]*(?:\.\d+)?\s+[^\W\d_]+\.?\s*")
+_UNIT = re.compile(r"\s*-?\d[\d,]*(?:\.\d+)?\s+([^\W\d_]+)\.?\s*")
 
 
 def answer_broken(question: str | None, cot: str | None, answer: str) -> bool:
-    """Whether the answer breaks off; a bare number or a number with its unit never does."""
+    """Whether the answer breaks off; a bare number never does, one with a unit only if the unit is the beginning of a word of the question."""
     text = answer.strip()
     if _PLAIN.fullmatch(answer):
         return False
-    if _UNIT.fullmatch(answer):
-        return False
+    unit = _UNIT.fullmatch(answer)
+    if unit:
+        words = set(_LETTERS.findall((question or "").lower()))
+        u = unit[1].lower()
+        return not text.endswith(".") and u not in words and any(w.startswith(u) for w in words)
     if left_open(text):
         return True
     if re.fullmatch(r"[^\s]+", text):

@@ -108,7 +108,7 @@ def representatives(counts: dict[int, int], foreign: bool = False) -> dict[str,
     but only to what that text can contain.
 
     A class takes the member whose rarest character is most frequent; of equal
-    ones the shortest, then the first in code point order. A class with the
+    ones the shortest, then the first in code point order; letters with marks are composed. A class with the
     empty string vanishes and one with a space becomes a space whatever the
     counts are. Members that stay as they are do not appear.
     """
@@ -130,7 +130,7 @@ def representatives(counts: dict[int, int], foreign: bool = False) -> dict[str,
             if new == text:
                 break
             text = new
-        return text
+        return unicodedata.normalize("NFC", text)
 
     # A member with a character the corpus lacks cannot occur in it.
     known = lambda x: all(ord(c) in counts for c in x)
