@@ -142,6 +142,18 @@ def x02_batch_reward(spark, d):
     return table(spark, d, "cot_records").select("record_id", score(F.col("answer"), F.col("cot")).alias("s")).select("record_id", "s.score")
 
 
+@query("SELECT record_id, round(scale * least(length(coalesce(answer, '')), 10) / 10, 6)::DOUBLE AS score, scale::DOUBLE AS scale FROM cot_records, (SELECT unnest([1.0, 2.0]) AS scale)")
+def x03_options(spark, d):
+    """Options are bound by name when a function is looked up, never guessed from its signature."""
+    rows = table(spark, d, "cot_records").select("record_id", "answer")
+    out = None
+    for scale in (1.0, 2.0):
+        score = X.scalar_reward(X.rewards.get("length_reward", scale=scale), ["score", "same"])
+        one = rows.select("record_id", F.round(score(F.col("answer"), F.lit(""))["score"], 6).alias("score"), F.lit(scale).alias("scale"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query("SELECT record_id, CASE WHEN contains(coalesce(answer, ''), '1') THEN 'yes' ELSE 'no' END AS reply FROM cot_records")
 def x04_judge_hook(spark, d):
     return X.called(table(spark, d, "cot_records"), "record_id", "answer", X.judges.get("word_judge"), enabled=True)
