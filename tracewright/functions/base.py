@@ -20,7 +20,7 @@ def col(c: Column | str) -> Column:
 
 
 def inf() -> Column:
-    """The reference sentinel for "no number"."""
+    """The sentinel for "no number"."""
     return F.lit(float("inf"))
 
 

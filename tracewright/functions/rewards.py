@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from .base import col, filled, strip
 
-#: Whole-response formats; only "tags_one_line" forbids line ends inside.
+# Whole-response formats; only "tags_one_line" forbids line ends inside.
 FORMATS = {
     "boxed": r"(?s)\\boxed\{.*?\}",
     "think_answer": r"(?s)^<think>.*</think>.*\\boxed\{.*\}.*$",
     "think_then_answer": r"(?s)^<think>.*?</think>\s*<answer>.*?</answer>$",
-    "tags_one_line": r"^<\|lvr_start\|>.*?<\|lvr_end\|>\s*<answer>.*?</answer>$",
+    "tags_one_line": r"^<\|\w+_start\|>.*?<\|\w+_end\|>\s*<answer>.*?</answer>$",
 }
 
 

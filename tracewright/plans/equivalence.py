@@ -141,12 +141,12 @@ def e13_mixed_reward(spark, d):
 
 
 @query(
-    rf"""WITH {RESPONSES}, t AS (SELECT record_id, CASE WHEN record_id % 3 = 0 THEN '<|lvr_start|>' || text || '<|lvr_end|> <answer>A</answer>' WHEN record_id % 3 = 1 THEN '<think>' || text || '</think><answer>B</answer>' ELSE text END AS t FROM responses)
+    rf"""WITH {RESPONSES}, t AS (SELECT record_id, CASE WHEN record_id % 3 = 0 THEN '<|latent_start|>' || text || '<|latent_end|> <answer>A</answer>' WHEN record_id % 3 = 1 THEN '<think>' || text || '</think><answer>B</answer>' ELSE text END AS t FROM responses)
  SELECT record_id, regexp_matches(t, '(?s)\\boxed\{{.*?\}}')::DOUBLE AS boxed, regexp_matches(t, '(?s)^<think>.*?</think>\s*<answer>.*?</answer>$')::DOUBLE AS think_then_answer,
- regexp_matches(t, '^<\|lvr_start\|>.*?<\|lvr_end\|>\s*<answer>.*?</answer>$')::DOUBLE AS one_line FROM t"""
+ regexp_matches(t, '^<\|\w+_start\|>.*?<\|\w+_end\|>\s*<answer>.*?</answer>$')::DOUBLE AS one_line FROM t"""
 )
 def e14_format_reward(spark, d):
-    text = F.expr("CASE WHEN record_id % 3 = 0 THEN '<|lvr_start|>' || text || '<|lvr_end|> <answer>A</answer>' WHEN record_id % 3 = 1 THEN '<think>' || text || '</think><answer>B</answer>' ELSE text END")
+    text = F.expr("CASE WHEN record_id % 3 = 0 THEN '<|latent_start|>' || text || '<|latent_end|> <answer>A</answer>' WHEN record_id % 3 = 1 THEN '<think>' || text || '</think><answer>B</answer>' ELSE text END")
     rows = responses(spark, d).select("record_id", text.alias("t"))
     return rows.select("record_id", R.format_reward("t", "boxed").alias("boxed"), R.format_reward("t", "think_then_answer").alias("think_then_answer"), R.format_reward("t", "tags_one_line").alias("one_line"))
 
