@@ -110,6 +110,31 @@ def test_classes_match_brute_force(spark, shared, monkeypatch, seed, nearest, co
     assert pairs == {(a, b) for a, b in itertools.combinations(sorted(want), 2) if want[a] == want[b]}
 
 
+def chain(seed, around=300):
+    """Texts of which all but the last match the one in the middle and each other; the last matches only that one."""
+    rng = random.Random(seed)
+    pool = ["".join(w) for w in itertools.product("bdfg", "aeiou", "klmnp", "aeiou")]
+    rng.shuffle(pool)
+    middle, last, own = pool[:60], pool[:45] + pool[60:75], pool[75:]
+    sets = [middle + rng.sample(own, 35) for _ in range(2 * around)]
+    return [" ".join(words) + " 123 456 789" for words in (*sets[:around], middle, *sets[around:], last)]
+
+
+@pytest.mark.parametrize("block", [4_000, 100])
+def test_chain_in_a_large_bucket(spark, shared, monkeypatch, block):
+    """A row that matches a member of a class but not its first one belongs to the class."""
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    texts = chain(1)
+    y, x = len(texts) // 2 - 1, len(texts) - 1
+    q = [wording.Question(t) for t in texts]
+    assert [i for i in range(x) if wording.same_problem(q[i], q[x])] == [y] and all(wording.same_problem(q[i], q[y]) for i in range(x))
+    keys = neardup.band_keys(texts)[1]
+    shares = [(keys[:, k] == keys[x, k]).sum() for k in range(neardup.COORDINATES) if keys[x, k] == keys[y, k]]
+    assert shares and min(shares) > neardup.COMPLETE
+    df = spark.createDataFrame([(i, t, None) for i, t in enumerate(texts)], "id long, text string, steps string")
+    assert {r.class_id for r in neardup.problem_classes(df).collect()} == {0}
+
+
 def test_copies_and_empty_tables(spark, shared):
     schema = "id long, text string, steps string"
     same = spark.createDataFrame([(i, "Abe has 12 red hats and 30 blue ones", None) for i in range(40)], schema)

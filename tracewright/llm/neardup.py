@@ -8,7 +8,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import connected_components
@@ -18,10 +18,16 @@ from .wording import LEAST_LONG, Question, same_problem, sort_quantities, tokens
 
 #: Sketch coordinates, each one a band together with its twin in the word sketch.
 COORDINATES = 28
-#: Members of a bucket that every bucket compares with each member.
+#: Members of a bucket that each member is compared with at once.
 NEAREST = 8
-#: Buckets of up to so many members are compared completely.
+#: Buckets of up to so many members are compared completely at once, larger ones
+#: after the labels so far are known.
 COMPLETE = 64
+#: Members of a block of a larger bucket; those with more members first go
+#: through so many rounds that bring large classes together. Only the work
+#: depends on either.
+BLOCK = 4_000
+ROUNDS = 4
 #: Rows of a bucket from which on it is split for the neighbour search, and the
 #: share of rows (one in so many) that this is estimated from. Only how the work
 #: is spread depends on it.
@@ -114,6 +120,11 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+def _enough(a: str, b: str) -> Column:
+    """Whether two columns of bits share enough of the longer words."""
+    return F.bit_count(F.col(a).bitwiseAND(F.col(b))) >= LEAST_LONG * F.least(F.bit_count(F.col(a)), F.bit_count(F.col(b)))
+
+
 def plausible(pairs: DataFrame, words: DataFrame) -> DataFrame:
     """The distinct pairs (a, b) that share enough of the longer words, by ``words(id, bits)``.
 
@@ -121,9 +132,24 @@ def plausible(pairs: DataFrame, words: DataFrame) -> DataFrame:
     row, before any text moves.
     """
     side = lambda x: words.select(F.col("id").alias(x), F.col("bits").alias(f"_{x}"))
-    size = lambda x: F.bit_count(F.col(x))
-    enough = F.bit_count(F.col("_a").bitwiseAND(F.col("_b"))) >= LEAST_LONG * F.least(size("_a"), size("_b"))
-    return pairs.distinct().join(side("a"), "a").join(side("b"), "b").where(enough).select("a", "b")
+    return pairs.distinct().join(side("a"), "a").join(side("b"), "b").where(_enough("_a", "_b")).select("a", "b")
+
+
+def apart(members: DataFrame, labels: DataFrame, words: DataFrame) -> DataFrame:
+    """The distinct plausible pairs (a, b) of ``members(key, id)`` that share a key but no label.
+
+    A key's members are hashed into blocks and every two blocks meet, each
+    pair of members in one place; pairs of one label are in one class already.
+    """
+    known = members.join(words.select("id", "bits"), "id").join(labels.select("id", "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+    sizes = known.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"), F.min("label").alias("low"), F.max("label").alias("high"))
+    own = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
+    placed = materialise(known.join(sizes.where("low <> high"), "key").select("key", "id", "bits", "label", own.alias("own"), "parts"), "placed")
+    spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    side = lambda x, mine, its: spread.select("key", F.col(mine).alias("i"), F.col(its).alias("j"), F.col("id").alias(x), F.col("bits").alias(f"_{x}"), F.col("label").alias(f"{x}_label")).where("i <= j")
+    met = side("a", "own", "other").join(side("b", "other", "own"), ["key", "i", "j"])
+    met = met.where(F.expr("(i < j OR a < b) AND a_label <> b_label") & _enough("_a", "_b"))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def verified(pairs: DataFrame, records: DataFrame) -> DataFrame:
@@ -136,7 +162,7 @@ def _crowds(sketched: DataFrame) -> DataFrame | None:
     """(key, parts) of the buckets that hold a large share of all rows, or None.
 
     Such a bucket goes through the neighbour search in parts by a hash of the
-    row; what parts keep from meeting, the rounds over whole buckets compare.
+    row; what parts keep from meeting, the comparison of whole buckets finds.
     """
     some = sketched.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLED)) == 0).select(F.explode("bands").alias("key"))
     counts = some.groupBy("key").agg((F.count("*") * SAMPLED).alias("n")).where(F.col("n") > CROWD)
@@ -156,10 +182,9 @@ def problem_classes(records: DataFrame) -> DataFrame:
     Steps: equal signatures (all quantities, all words) collapse to their
     smallest id before anything is compared; the rest meet in buckets of one
     coordinate of the quantity sketch and one of the word sketch; in a bucket
-    all rows are compared, or in one of more than ``COMPLETE`` rows each with
-    the ``NEAREST`` before it and with a first row of every class, so that the
-    work of a bucket is its size times its classes and no partner is dropped;
-    verified links are closed to classes.
+    all rows are compared. In one of more than ``COMPLETE`` rows each is first
+    compared with the ``NEAREST`` before it and then, in blocks, with all that
+    are not in its class by then; verified links are closed to classes.
     """
     records = records.select(F.col("id").cast("long").alias("id"), F.col("text").cast("string").alias("text"), F.col("steps").cast("string").alias("steps"))
     sketched = materialise(records.select("id", "text").mapInArrow(_sketches, "id long, sig long, bits long, bands array<long>"), "sketches")
@@ -185,19 +210,20 @@ def problem_classes(records: DataFrame) -> DataFrame:
 
     over = met.where("key is not null").select("key")
     crowded = materialise((over if hot is None else over.unionByName(hot.select("key"))).distinct(), "crowded")
-    open_ = None
+    large = None
     if not crowded.isEmpty():
         members = materialise(banded.join(crowded, "key", "left_semi"), "members")
         sizes = members.groupBy("key").agg(F.count("*").alias("n"))
         few = members.join(sizes.where(F.col("n") <= COMPLETE), "key", "left_semi")
         pairs = pairs.unionByName(few.select("key", F.col("id").alias("a")).join(few.select("key", F.col("id").alias("b")), "key").where("a < b").select("a", "b"))
-        open_ = members.join(sizes.where(F.col("n") > COMPLETE), "key", "left_semi")
+        large = members.join(sizes.where(F.col("n") > COMPLETE), "key", "left_semi")
+        open_ = members.join(sizes.where(F.col("n") > BLOCK), "key", "left_semi")
     links = materialise(verified(plausible(pairs, sketched), records), "links")
     labels = connected_components(links)
 
-    # Larger buckets: all members against a first one, those of other classes
-    # against the first of theirs, until every member is in its first's class.
-    while open_ is not None:
+    # Buckets of more than a block: members against a first one, those of other
+    # classes against the first of theirs, so that few pairs of one class remain.
+    for _ in range(ROUNDS if large is not None else 0):
         open_ = materialise(open_.join(open_.groupBy("key").agg(F.min("id").alias("centre")), "key").where("id <> centre"), "centred")
         if open_.isEmpty():
             break
@@ -210,6 +236,11 @@ def problem_classes(records: DataFrame) -> DataFrame:
             .where(F.coalesce("label", "id") != F.coalesce("centre_label", "centre"))
             .select("key", "id")
         )
+    # One problem is not transitive: a member may match any of a class, not only its first.
+    if large is not None:
+        more = materialise(verified(apart(large, labels, sketched), records), "links")
+        if not more.isEmpty():
+            labels = connected_components(links.unionByName(more))
 
     # Copies hang on their representative, which keeps the class's smallest id.
     rep_label = copies.join(labels.select(F.col("id").alias("a"), "label"), "a", "left").select(F.col("b").alias("id"), F.coalesce("label", "a").alias("label"))
