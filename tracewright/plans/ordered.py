@@ -82,9 +82,9 @@ def w06_zero_backfill(spark, d):
 _SEQ = "e AS (SELECT user_id, event_id, value AS r, (event_type <> 'error')::INT AS m, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS i, coalesce(lead(value) OVER (PARTITION BY user_id ORDER BY event_id), 0) / 10 AS nv FROM events WHERE user_id < 25)"
 
 
-def _sequences(spark, d):
+def _sequences(events):
     item = F.struct("event_id", "value", (F.col("event_type") != "error").cast("int").alias("m"))
-    rows = table(spark, d, "events").where("user_id < 25").groupBy("user_id").agg(F.array_sort(F.collect_list(item)).alias("s"))
+    rows = events.groupBy("user_id").agg(F.array_sort(F.collect_list(item)).alias("s"))
     return rows.select("user_id", *(F.transform("s", f).alias(n) for n, f in (("ids", lambda s: s["event_id"]), ("r", lambda s: s["value"]), ("v", lambda s: s["value"] / 10), ("m", lambda s: s["m"]))))
 
 
@@ -94,14 +94,23 @@ def _sequences(spark, d):
     name="gae",
 )
 def w07_gae(spark, d):
-    out = W.with_gae(_sequences(spark, d), "r", "v", 0.9, 0.8)
+    return _gae_rows(table(spark, d, "events").where("user_id < 25"))  # as its twin, whose recursion is slow
+
+
+@query(name="gae_all")
+def w07_gae_all(spark, d):
+    return _gae_rows(table(spark, d, "events"))
+
+
+def _gae_rows(events):
+    out = W.with_gae(_sequences(events), "r", "v", 0.9, 0.8)
     rows = out.select("user_id", F.explode(F.arrays_zip("ids", "advantages", "returns")).alias("z"))
     return rows.select("user_id", F.col("z.ids").alias("event_id"), R6("z.advantages").alias("advantage"), R6("z.returns").alias("ret"))
 
 
 @query()
 def w07_gae_whitened(spark, d):
-    out = W.with_gae(_sequences(spark, d), "r", "v", 0.9, 0.8)
+    out = W.with_gae(_sequences(table(spark, d, "events")), "r", "v", 0.9, 0.8)
     return W.whiten_arrays(out, "advantages", "m", "white").select("user_id", "white")
 
 
@@ -111,7 +120,16 @@ def w07_gae_whitened(spark, d):
     name="discounted_return",
 )
 def w08_discounted_return(spark, d):
-    out = W.with_discounted(_sequences(spark, d), "r", "m", 0.95)
+    return _discounted_rows(table(spark, d, "events").where("user_id < 25"))  # as its twin, whose recursion is slow
+
+
+@query(name="discounted_return_all")
+def w08_discounted_return_all(spark, d):
+    return _discounted_rows(table(spark, d, "events"))
+
+
+def _discounted_rows(events):
+    out = W.with_discounted(_sequences(events), "r", "m", 0.95)
     rows = out.select("user_id", F.explode(F.arrays_zip("ids", "returns")).alias("z"))
     return rows.select("user_id", F.col("z.ids").alias("event_id"), F.round(F.col("z.returns") + 1e-7, 4).alias("ret"))
 
