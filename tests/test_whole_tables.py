@@ -11,11 +11,14 @@ from tracewright.plans import catalog
 def folder(spark, tmp_path_factory):
     d = tmp_path_factory.mktemp("tables")
     spark.createDataFrame(EVENTS, "event_id long, user_id long, value double, event_type string").write.parquet(f"{d}/events.parquet")
+    spark.createDataFrame(RESULTS, "record_id long, dataset string, correct boolean").write.parquet(f"{d}/sample_results.parquet")
     return str(d)
 
 
 EVENTS = [(i, 7 * i % 60, (i * i % 97) / 3, ("view", "error", "purchase")[i % 3]) for i in range(400)]
 
+RESULTS = [(i // 2 * 5, ("svamp", "gsm8k", None)[i % 3], i % 4 == 0) for i in range(600)]
+
 
 def sequences():
     users = {}
@@ -60,3 +63,9 @@ def test_discounted_return_of_all_users(spark, folder):
             want[u, e] = a
     got = {(r.user_id, r.event_id): r.ret for r in catalog.QUERIES["discounted_return_all"](spark, folder).collect()}
     assert got == {k: pytest.approx(a, abs=1e-4) for k, a in want.items()}
+
+
+def test_summary_of_all_records(spark, folder):
+    got = {r.dataset: (r.num_samples, r.num_correct, r.ids) for r in catalog.QUERIES["s17_summary_lines"](spark, folder).collect()}
+    of = {name: [(i, ok) for i, n, ok in RESULTS if n == name] for name in ("svamp", "gsm8k", None)}
+    assert got == {n: (len(l), sum(ok for _, ok in l), len({i for i, _ in l})) for n, l in of.items()}

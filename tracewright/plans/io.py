@@ -184,6 +184,19 @@ def s17_summary_document(spark, d):
     return top.join(ids, "dataset")
 
 
+@query()
+def s17_summary_lines(spark, d):
+    """The same of all records: the summary and the samples as lines, so that no value grows with the table."""
+    rows = table(spark, d, "sample_results")
+    summary = rows.groupBy("dataset").agg(F.count("*").alias("num_samples"), F.count_if("correct").alias("num_correct"))
+    tops, samples = _place(spark, "summary"), _place(spark, "samples")
+    W.json_lines(summary, tops)
+    W.json_lines(rows.select("dataset", F.col("record_id").alias("id"), "correct"), samples)
+    ids = R.lines(spark, samples, "dataset string, id bigint, correct boolean").groupBy("dataset").agg(F.count_distinct("id").alias("ids"))
+    top = R.lines(spark, tops, "dataset string, num_samples bigint, num_correct bigint")
+    return top.join(ids.withColumnRenamed("dataset", "_dataset"), F.col("dataset").eqNullSafe(F.col("_dataset"))).drop("_dataset")
+
+
 @query("SELECT doc_id, lang, n_chars FROM documents")
 def s18_json_lines(spark, d):
     path = _place(spark, "jsonl")
