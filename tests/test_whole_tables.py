@@ -12,6 +12,7 @@ def folder(spark, tmp_path_factory):
     d = tmp_path_factory.mktemp("tables")
     spark.createDataFrame(EVENTS, "event_id long, user_id long, value double, event_type string").write.parquet(f"{d}/events.parquet")
     spark.createDataFrame(RESULTS, "record_id long, dataset string, correct boolean").write.parquet(f"{d}/sample_results.parquet")
+    spark.createDataFrame(PACKED, "row_id long, ds_name string, input_ids array<int>, labels array<int>, ingested_at long").write.parquet(f"{d}/packed_inputs.parquet")
     return str(d)
 
 
@@ -19,6 +20,15 @@ EVENTS = [(i, 7 * i % 60, (i * i % 97) / 3, ("view", "error", "purchase")[i % 3]
 
 RESULTS = [(i // 2 * 5, ("svamp", "gsm8k", None)[i % 3], i % 4 == 0) for i in range(600)]
 
+#: Lengths from 3 to 70; 103 stands early, behind the 20th place or nowhere, 101 and 102 late.
+IDS = {i: [200 + (i * k) % 50 for k in range(3 + i * 7 % 68)] for i in range(20)}
+for i, x in IDS.items():
+    if i % 3:
+        x[len(x) // (2 if i % 3 == 1 else 4)] = 103
+    if len(x) > 30:
+        x[-5:-3] = [101, 102]
+PACKED = [(i, f"d{i % 2}", x, x, 2) for i, x in IDS.items()] + [(4, "d0", [1], [1], 1)]
+
 
 def sequences():
     users = {}
@@ -69,3 +79,48 @@ def test_summary_of_all_records(spark, folder):
     got = {r.dataset: (r.num_samples, r.num_correct, r.ids) for r in catalog.QUERIES["s17_summary_lines"](spark, folder).collect()}
     of = {name: [(i, ok) for i, n, ok in RESULTS if n == name] for name in ("svamp", "gsm8k", None)}
     assert got == {n: (len(l), sum(ok for _, ok in l), len({i for i, _ in l})) for n, l in of.items()}
+
+
+def text(x):
+    return ",".join(map(str, x))
+
+
+def parts(x):
+    at = x.index(103) + 1 if 103 in x else 0
+    n = (len(x) - at) // 3
+    return x[:at], x[at : at + n], x[at + n : at + 2 * n], x[at + 2 * n :]
+
+
+def got(spark, folder, name, *columns):
+    return {tuple(r) for r in catalog.QUERIES[name](spark, folder).select(*columns).collect()}
+
+
+def test_whole_arrays_are_aligned(spark, folder):
+    place = {i: x.index(103) + 1 if 103 in x else 0 for i, x in IDS.items()}
+    latest = {b: max(p for i, p in place.items() if i % 2 == b) for b in (0, 1)}
+    k = {i: latest[i % 2] - p if p else 0 for i, p in place.items()}
+    want = {(i, text([0] * k[i] + x), text([-100] * k[i] + x), k[i] + len(x)) for i, x in IDS.items()}
+    assert max(place.values()) > 20 and got(spark, folder, "q10_align_on_token_whole", "row_id", "ids", "labels", "n") == want
+
+
+def test_whole_arrays_in_packs(spark, folder):
+    packs = {p: [IDS[i] for i in sorted(IDS) if i // 3 == p] for p in range(7)}
+    want = {(p, text(k for k, x in enumerate(s) for _ in x)) for p, s in packs.items()}
+    assert got(spark, folder, "q17_segment_ids_whole", "pack", "segments") == want
+    assert got(spark, folder, "q18_unpack_whole", "pack", "segment", "ids") == {(p, k, text(x)) for p, s in packs.items() for k, x in enumerate(s)}
+    longest = {b: max(len(x) for i, x in IDS.items() if i % 2 == b) for b in (0, 1)}
+    assert got(spark, folder, "q21_flatten_steps_whole", "row_id", "ids") == {(i, text(x + [0] * (longest[i % 2] - len(x)))) for i, x in IDS.items()}
+
+
+def test_whole_arrays_are_staged(spark, folder):
+    staged, steps, train = set(), set(), set()
+    for i, x in IDS.items():
+        q, s, t, a = parts(x)
+        head, rest = q + [11, 12, 12, 13], t + a
+        staged.add((i, text(head + rest), text([-100] * len(head) + rest), len(head + rest) - 1, text(q + [11, 12, 12, 12, 12, 13] + a)))
+        steps.add((i, text(q + s + [11, 12, 12, 13] + rest), text(s)))
+        at = next((k + 2 for k in range(len(x)) if x[k : k + 2] == [101, 102]), -1)
+        train.add((i, text([-100] * len(q) + x[len(q) :]), at))
+    assert got(spark, folder, "q09_staged_whole", "row_id", "ids", "labels", "last", "skipped") == staged
+    assert got(spark, folder, "q22_staged_with_steps_whole", "row_id", "ids", "target") == steps
+    assert got(spark, folder, "q23_train_row_whole", "row_id", "labels", "answer_at") == train

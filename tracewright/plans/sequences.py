@@ -81,6 +81,15 @@ def _long(spark, d):
     return _parts(latest(spark, d).where(F.size("ids") >= 10).select("row_id", "ids"))
 
 
+def _whole(spark, d):
+    """Whole arrays of any length: the question ends with the first 103, the rest are two steps and the answer."""
+    at = F.coalesce(F.array_position("ids", F.lit(103).cast("int")), F.lit(0)).cast("int")
+    rows = latest(spark, d).select("row_id", "ds_name", "ids", at.alias("at")).withColumn("n", F.expr("CAST((size(ids) - at) DIV 3 AS INT)"))
+    cut = lambda start, size: F.slice("ids", F.col("at") + F.col("n") * start + 1, size)
+    rest = F.size("ids") - F.col("at") - F.col("n") * 2
+    return rows.select("row_id", "ds_name", F.slice("ids", F.lit(1), F.col("at")).alias("q"), F.array(cut(0, F.col("n")), cut(1, F.col("n"))).alias("steps"), cut(2, rest).alias("a"))
+
+
 def _parts(df):
     ids = F.col("ids")
     return df.select("row_id", F.slice(ids, 1, 3).alias("q"), F.array(F.slice(ids, 4, 2), F.slice(ids, 6, 1), F.slice(ids, 7, 2)).alias("steps"), F.slice(ids, 9, 2).alias("a"))
@@ -91,8 +100,17 @@ def _parts(df):
  SELECT row_id, {TXT('t.x')} AS ids, {TXT('list_transform(t.x, lambda v, i: CASE WHEN i <= 7 THEN -100 ELSE v END)')} AS labels, len(t.x) - 1 AS last, {TXT('u.x')} AS skipped FROM t JOIN u USING (row_id)"""
 )
 def q09_staged(spark, d):
+    return _staged(_long(spark, d))
+
+
+@query()
+def q09_staged_whole(spark, d):
+    return _staged(_whole(spark, d))
+
+
+def _staged(rows):
     make = lambda stage, most=9: S.staged(F.col("q"), F.col("steps"), F.col("a"), stage, 2, 11, 12, 13, most)
-    rows = _long(spark, d).select("row_id", make(1).alias("s"), make(5, 4).alias("z"))
+    rows = rows.select("row_id", make(1).alias("s"), make(5, 4).alias("z"))
     return rows.select("row_id", TEXT("s.input_ids").alias("ids"), TEXT("s.labels").alias("labels"), F.array_max("s.position_ids").cast("long").alias("last"), TEXT("z.input_ids").alias("skipped"))
 
 
@@ -106,14 +124,21 @@ def q10_align_on_token(spark, d):
     return out.select("row_id", TEXT("ids").alias("ids"), TEXT("lab").alias("labels"), F.size("position_ids").cast("long").alias("n"))
 
 
+@query()
+def q10_align_on_token_whole(spark, d):
+    rows = latest(spark, d).select("row_id", "ds_name", "ids", F.col("ids").alias("lab"))
+    out = B.align_on_token(rows, "ds_name", "ids", 103, {"lab": -100})
+    return out.select("row_id", TEXT("ids").alias("ids"), TEXT("lab").alias("labels"), F.size("position_ids").cast("long").alias("n"))
+
+
 @query("SELECT record_id, i AS drop, array_to_string(string_split(cot, ' ')[1:greatest(len(string_split(cot, ' ')) - i, 0)], ' ') AS cot FROM cot_records, range(0, 3) r(i) WHERE cot IS NOT NULL")
 def q11_shrinking_prefixes(spark, d):
     rows = table(spark, d, "cot_records").where("cot is not null").select("record_id", F.posexplode(S.shrinking_prefixes(F.split("cot", " "), 3)).alias("drop", "cot"))
     return rows.withColumn("drop", F.col("drop").cast("long"))
 
 
-def _packs(spark, d):
-    rows = latest(spark, d).select(F.floor(F.col("row_id") / 3).alias("pack"), F.struct("row_id", F.slice("ids", 1, 6).alias("x")).alias("s"))
+def _packs(spark, d, ids):
+    rows = latest(spark, d).select(F.floor(F.col("row_id") / 3).alias("pack"), F.struct("row_id", ids.alias("x")).alias("s"))
     packs = rows.groupBy("pack").agg(F.array_sort(F.collect_list("s")).alias("s"))
     return packs.select("pack", F.flatten(F.transform("s", lambda t: t["x"])).alias("ids"), F.transform("s", lambda t: F.size(t["x"])).alias("lengths"))
 
@@ -123,15 +148,26 @@ def _packs(spark, d):
  SELECT pack, string_agg(k::VARCHAR, ',' ORDER BY k, j) AS segments FROM e GROUP BY 1"""
 )
 def q17_segment_ids(spark, d):
-    return _packs(spark, d).select("pack", TEXT(S.segment_ids(F.col("lengths"))).alias("segments"))
+    return _packs(spark, d, F.slice("ids", 1, 6)).select("pack", TEXT(S.segment_ids(F.col("lengths"))).alias("segments"))
+
+
+@query()
+def q17_segment_ids_whole(spark, d):
+    return _packs(spark, d, F.col("ids")).select("pack", TEXT(S.segment_ids(F.col("lengths"))).alias("segments"))
 
 
 @query(f"WITH {_LATEST} SELECT row_id // 3 AS pack, row_number() OVER (PARTITION BY row_id // 3 ORDER BY row_id) - 1 AS segment, {TXT('ids[1:6] || list_resize([]::INT[], greatest(6 - len(ids), 0)::INT, 0)')} AS ids FROM latest")
 def q18_unpack(spark, d):
-    rows = _packs(spark, d).select("pack", F.posexplode(S.unpack(F.col("ids"), F.col("lengths"))).alias("segment", "x"))
+    rows = _packs(spark, d, F.slice("ids", 1, 6)).select("pack", F.posexplode(S.unpack(F.col("ids"), F.col("lengths"))).alias("segment", "x"))
     return rows.select("pack", F.col("segment").cast("long").alias("segment"), TEXT(S.pad(F.col("x"), 6, 0)).alias("ids"))
 
 
+@query()
+def q18_unpack_whole(spark, d):
+    rows = _packs(spark, d, F.col("ids")).select("pack", F.posexplode(S.unpack(F.col("ids"), F.col("lengths"))).alias("segment", "x"))
+    return rows.select("pack", F.col("segment").cast("long").alias("segment"), TEXT("x").alias("ids"))
+
+
 @query(
     """WITH e AS (SELECT event_id // 5 AS batch, event_id % 5 AS row, user_id, 2 + event_id % 3 AS len FROM events), c AS (SELECT *, i, i < 6 AND (i + row) % 4 <> 0 AS m FROM e, range(0, 8) r(i)),
  o AS (SELECT batch, row, i, m, len, sum(m::INT) OVER (PARTITION BY batch ORDER BY row, i) - 1 AS idx FROM c)
@@ -152,10 +188,26 @@ def q21_flatten_steps(spark, d):
     return B.flatten_steps(rows, "ds_name", "nested").select("row_id", TEXT("nested").alias("ids"))
 
 
+@query()
+def q21_flatten_steps_whole(spark, d):
+    nested = F.concat(F.array("q"), F.col("steps"), F.array("a"))
+    rows = _whole(spark, d).select("row_id", "ds_name", nested.alias("nested"))
+    return B.flatten_steps(rows, "ds_name", "nested").select("row_id", TEXT("nested").alias("ids"))
+
+
 @query(f"WITH {_LATEST} SELECT row_id, {TXT('ids[1:5] || [11, 12, 12, 13] || ids[6:10]')} AS ids, {TXT('ids[4:5]')} AS target FROM latest WHERE len(ids) >= 10")
 def q22_staged_with_steps(spark, d):
+    return _with_steps(_long(spark, d))
+
+
+@query()
+def q22_staged_with_steps_whole(spark, d):
+    return _with_steps(_whole(spark, d))
+
+
+def _with_steps(rows):
     made = S.staged_with_steps(F.col("q"), F.col("steps"), F.col("a"), 1, 2, 11, 12, 13)
-    return _long(spark, d).select("row_id", made.alias("s")).select("row_id", TEXT("s.input_ids").alias("ids"), TEXT(F.flatten("s.targets")).alias("target"))
+    return rows.select("row_id", made.alias("s")).select("row_id", TEXT("s.input_ids").alias("ids"), TEXT(F.flatten("s.targets")).alias("target"))
 
 
 @query(
@@ -163,8 +215,17 @@ def q22_staged_with_steps(spark, d):
  SELECT row_id, {TXT('list_transform(ids, lambda v, i: CASE WHEN i <= 3 THEN -100 ELSE v END)')} AS labels, CASE WHEN place >= 0 THEN place + 2 ELSE -1 END::BIGINT AS answer_at FROM a"""
 )
 def q23_train_row(spark, d):
+    return _train_rows(_long(spark, d))
+
+
+@query()
+def q23_train_row_whole(spark, d):
+    return _train_rows(_whole(spark, d))
+
+
+def _train_rows(rows):
     row = S.train_row(F.col("q"), F.flatten("steps"), F.col("a"), [101, 102])
-    return _long(spark, d).select("row_id", row.alias("s")).select("row_id", TEXT("s.labels").alias("labels"), F.col("s.answer_at").cast("long").alias("answer_at"))
+    return rows.select("row_id", row.alias("s")).select("row_id", TEXT("s.labels").alias("labels"), F.col("s.answer_at").cast("long").alias("answer_at"))
 
 
 # ------------------------------------------------------- partitions and packs
