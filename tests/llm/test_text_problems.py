@@ -168,3 +168,12 @@ def test_defective_table(spark):
     df = spark.createDataFrame(rows, "id long, question string, cot string, answer string, defect int")
     assert sorted((r.id, r.defect) for r in defects.defective_pairs(df).collect()) == [(2, "empty_answer"), (2, "empty_answer"), (3, "truncated_answer"), (4, "empty_answer")]
     assert defects.defective_pairs(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("capital", ["\uff38", "\u0425", "\u03a7"])
+def test_capital_look_alikes_that_no_item_has(capital):
+    """Full-width, Cyrillic and Greek capitals read as the items' small letter."""
+    item = "six boxes of wax stood behind the old mill while the fox went around the northern brewery"
+    searched = leak.prepare([(1, item)], 15)
+    text = item.upper().replace("X", capital)
+    assert leak.words(text, lookalike.Rewriter(searched.pairs)) == item.split()

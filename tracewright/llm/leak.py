@@ -56,8 +56,10 @@ def words(text: str, rewrite: Rewriter) -> list[str]:
 def prepare(items: list[tuple[int, str]], passage: int) -> Searched:
     counts: dict[int, int] = {32: 1}
     for _, text in items:
-        for c in text:
-            counts[ord(c)] = counts.get(ord(c), 0) + 1
+        for c in text:  # in both cases: case is folded after the rewriting
+            for x in {c, c.lower(), c.upper()}:
+                if len(x) == 1:
+                    counts[ord(x)] = counts.get(ord(x), 0) + 1
     pairs = representatives(counts, foreign=True)
     rewrite = Rewriter(pairs)
     vocabulary: dict[str, int] = {}
