@@ -230,3 +230,30 @@ def test_calls_retry_and_give_up(spark):
     assert rows(X.called(df, "k", "q", call)) == [(1, None), (2, None)]
     with pytest.raises(KeyError):
         X.rewards.get("unknown")
+
+
+def test_a_cluster_needs_a_shared_folder():
+    """A machine's own folder is never used where executors run elsewhere."""
+    from types import SimpleNamespace
+
+    from tracewright.operators.tables import shared_dir
+
+    def session(master, folder=None):
+        context = SimpleNamespace(master=master, getCheckpointDir=lambda: None, getConf=dict, setCheckpointDir=lambda x: None)
+        return SimpleNamespace(sparkContext=context)
+
+    for master in ("local-cluster[3,2,1024]", "spark://host:7077", "yarn"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            shared_dir(session(master))
+
+
+def test_tables_are_removed_when_released(spark):
+    import os
+
+    from tracewright.operators.tables import materialise, release
+
+    t = materialise(spark.range(3), "some")
+    path = t._tracewright_table.removeprefix("file:")
+    assert t.count() == 3 and os.path.isdir(path)
+    release(t)
+    assert not os.path.exists(path)
