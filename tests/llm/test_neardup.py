@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import time
 
 import numpy as np
 import pytest
@@ -94,13 +95,10 @@ def test_same_problem_rules():
     assert not wording.same_problem(q(None), q(None)) and not wording.same_problem(q(""), q(base))
 
 
-@pytest.mark.parametrize("seed, nearest, complete, crowd", [(1, 8, 64, 10**6), (2, 1, 2, 10**6), (3, 1, 3, 1), (4, 8, 64, 1)])
-def test_classes_match_brute_force(spark, shared, monkeypatch, seed, nearest, complete, crowd):
-    """Also with buckets so small that every further round is needed, and split ones."""
-    monkeypatch.setattr(neardup, "CROWD", crowd)
-    monkeypatch.setattr(neardup, "SAMPLED", 1)
-    monkeypatch.setattr(neardup, "NEAREST", nearest)
-    monkeypatch.setattr(neardup, "COMPLETE", complete)
+@pytest.mark.parametrize("seed, block", [(1, 4_000), (2, 2), (3, 5)])
+def test_classes_match_brute_force(spark, shared, monkeypatch, seed, block):
+    """Also with buckets that take many blocks."""
+    monkeypatch.setattr(neardup, "BLOCK", block)
     rows = table(seed) + [(10_000, None, None), (10_001, "", None), (10_002, "?!", "1")]
     df = spark.createDataFrame([(*r, "x") for r in rows], "id long, text string, steps string, class_id string")
     got = {r.id: r.class_id for r in neardup.problem_classes(df).collect()}
@@ -128,13 +126,37 @@ def test_chain_in_a_large_bucket(spark, shared, monkeypatch, block):
     y, x = len(texts) // 2 - 1, len(texts) - 1
     q = [wording.Question(t) for t in texts]
     assert [i for i in range(x) if wording.same_problem(q[i], q[x])] == [y] and all(wording.same_problem(q[i], q[y]) for i in range(x))
-    keys = neardup.band_keys(texts)[1]
-    shares = [(keys[:, k] == keys[x, k]).sum() for k in range(neardup.COORDINATES) if keys[x, k] == keys[y, k]]
-    assert shares and min(shares) > neardup.COMPLETE
     df = spark.createDataFrame([(i, t, None) for i, t in enumerate(texts)], "id long, text string, steps string")
     assert {r.class_id for r in neardup.problem_classes(df).collect()} == {0}
 
 
+def test_template_bucket_against_brute_force(spark, shared):
+    """Many problems of one template and the same quantities, each with a reordered copy: one bucket, compared completely."""
+    rng = random.Random(1)
+    pool = ["".join(w) for w in itertools.product("bdfg", "aeiou", "klmnp", "aeiou")]
+    rows = []
+    for i in range(120):
+        own = rng.sample(pool, 18)
+        for k in range(2):
+            rows.append((2 * i + k, " ".join(["template words that every single row of this table shares with others", *rng.sample(own, 18)[k:], "12 34 56"]), None))
+    started = time.perf_counter()
+    got = {r.id: r.class_id for r in neardup.problem_classes(spark.createDataFrame(rows, "id long, text string, steps string")).collect()}
+    assert time.perf_counter() - started < 60
+    want = closed(truth(rows))
+    assert got == {i: want.get(i, i) for i, _, _ in rows} and 100 <= len(set(got.values())) <= 120
+
+
+@given(st.sets(st.sampled_from([f"w{i}" for i in range(400)]), max_size=80), st.sets(st.sampled_from([f"w{i}" for i in range(400)]), max_size=80))
+@settings(max_examples=20, deadline=None)
+def test_word_sets_drop_no_pair(spark, a, b):
+    """The test on bits never rejects what the words themselves accept."""
+    column = neardup.word_sets([(len(x), wording.word_set_bits(x)) for x in (a, b)]).to_pylist()
+    df = spark.createDataFrame([tuple(tuple(v.values()) for v in column)], f"x {neardup.WORDS}, y {neardup.WORDS}")
+    union = a | b
+    accepted = not union or len(a & b) >= wording.LEAST_WORDS * len(union)
+    assert df.select(neardup.share_words("x", "y").alias("k")).first().k or not accepted
+
+
 def test_copies_and_empty_tables(spark, shared):
     schema = "id long, text string, steps string"
     same = spark.createDataFrame([(i, "Abe has 12 red hats and 30 blue ones", None) for i in range(40)], schema)
@@ -179,11 +201,15 @@ def test_a_segment_survives_every_edit(a, data):
                 del b[at]
             else:
                 b[at] = data.draw(st.integers(0, 4))
+    # The columns of the join are those of the functions that are tested here.
     hit = any(a[s : s + n] == b[p : p + n] for i, (s, n) in enumerate(segjoin.segments(len(a), k)) for p in segjoin.starts(i, s, n, len(a), k, len(b)))
     assert hit
 
 
-def test_overlaps_match_brute_force(spark, shared):
+@pytest.mark.parametrize("block", [4_000, 2])
+def test_overlaps_match_brute_force(spark, shared, monkeypatch, block):
+    """Also with keys that are cut into blocks."""
+    monkeypatch.setattr(segjoin, "BLOCK", block)
     rows = table(7, 60) + [(9_000, None, None), (9_001, "", None)]
     df = spark.createDataFrame([(*r, 1) for r in rows], "id long, text string, steps string, e int")
     evaluation = {i for i, _, _ in rows if i % 3 == 0}
@@ -194,6 +220,22 @@ def test_overlaps_match_brute_force(spark, shared):
     assert segjoin.split_overlaps(df.limit(0), df).count() == 0 and segjoin.split_overlaps(df, df.limit(0)).count() == 0
 
 
+@given(st.lists(st.lists(st.integers(0, 3), max_size=9), min_size=2, max_size=8))
+@settings(max_examples=10, deadline=None)
+def test_join_keys_meet_where_segments_do(spark, strings):
+    words = (0, 0, *[0] * (wording.SET_BITS // 64))
+    df = spark.createDataFrame([(i, x, 0, words) for i, x in enumerate(strings)], f"id long, string array<long>, symbols long, words {neardup.WORDS}")
+    left, right = segjoin.segment_keys(df), segjoin.substring_keys(df)
+    got = {(r.a, r.b) for r in left.selectExpr("key", "id a").join(right.selectExpr("key", "id b"), "key").collect()}
+    want = set()
+    for i, a in enumerate(strings):
+        k = segjoin.edits(len(a))
+        for j, b in enumerate(strings):
+            if a and b and abs(len(a) - len(b)) <= k and any(a[s : s + n] == b[p : p + n] for x, (s, n) in enumerate(segjoin.segments(len(a), k)) for p in segjoin.starts(x, s, n, len(a), k, len(b))):
+                want.add((i, j))
+    assert got == want
+
+
 def _near(rows, pair):
     text = {i: t for i, t, _ in rows}
     a, b = (wording.sort_quantities(wording.quantities(text[i])) for i in pair)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialise
+from .shared import materialise, release
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -17,7 +17,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     which halve at least; the round tables lie in the shared folder.
     """
     edges = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b")
-    nodes = None
+    nodes, read = None, []
     while True:
         both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         step = materialise(both.groupBy("a").agg(F.min("b").alias("to")).select(F.col("a").alias("id"), F.least("a", "to").alias("to")), "step")
@@ -28,6 +28,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
                 "id", F.coalesce("to", "label").alias("label")
             )
         left, right = step.select(F.col("id").alias("a"), F.col("to").alias("a2")), step.select(F.col("id").alias("b"), F.col("to").alias("b2"))
+        read.append(step)
         edges = materialise(
             edges.join(left, "a")
             .join(right, "b")
@@ -36,5 +37,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
             .distinct(),
             "edges",
         )
+        read.append(edges)
         if edges.isEmpty():
-            return materialise(nodes, "labels")
+            break
+    labels = materialise(nodes, "labels")
+    release(*read)
+    return labels

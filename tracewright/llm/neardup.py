@@ -8,34 +8,25 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .graph import connected_components
-from .shared import materialise
+from .shared import materialise, release
 from .sketch import fast_similarity_sketch, mix
-from .wording import LEAST_LONG, Question, same_problem, sort_quantities, tokens, word_bits, word_hash
+from .wording import LEAST_WORDS, SET_BITS, Question, same_problem, sort_quantities, tokens, word_hash, word_set_bits
 
 #: Sketch coordinates, each one a band together with its twin in the word sketch.
 COORDINATES = 28
-#: Members of a bucket that each member is compared with at once.
-NEAREST = 8
-#: Buckets of up to so many members are compared completely at once, larger ones
-#: after the labels so far are known.
-COMPLETE = 64
-#: Members of a block of a larger bucket; those with more members first go
-#: through so many rounds that bring large classes together. Only the work
-#: depends on either.
+#: Rows of a bucket that meet in one task at a time; only how the work is spread depends on it.
 BLOCK = 4_000
-ROUNDS = 4
-#: Rows of a bucket from which on it is split for the neighbour search, and the
-#: share of rows (one in so many) that this is estimated from. Only how the work
-#: is spread depends on it.
-CROWD = 500_000
-SAMPLED = 64
 #: Quantities of one element stand at most this far apart in the sorted order.
 SPAN = 5
 
+_LONGS = SET_BITS // 64
+#: A set of words: how many, how many of them share their bit with another one, and the bits.
+WORDS = "struct<size int, lost int, " + ", ".join(f"w{i} long" for i in range(_LONGS)) + ">"
+
 
 def quantity_elements(numbers: list[str], words: list[str]) -> list[int]:
     """Set elements that few different problems share.
@@ -61,15 +52,35 @@ def quantity_elements(numbers: list[str], words: list[str]) -> list[int]:
     return list(set(out))
 
 
-def band_keys(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[int]]:
-    """(signatures, an (n, COORDINATES) matrix of band keys, bits of the longer words) of the texts.
+def word_sets(sets: list[tuple[int, int]]) -> pa.StructArray:
+    """A column of ``WORDS`` from (number of words, bits)."""
+    raw = b"".join(bits.to_bytes(SET_BITS // 8, "little") for _, bits in sets)
+    longs = np.frombuffer(raw, dtype="<i8").reshape(-1, _LONGS)
+    columns = [pa.array([n for n, _ in sets], pa.int32()), pa.array([n - bits.bit_count() for n, bits in sets], pa.int32())]
+    return pa.StructArray.from_arrays([*columns, *(pa.array(np.ascontiguousarray(longs[:, i])) for i in range(_LONGS))], ["size", "lost", *(f"w{i}" for i in range(_LONGS))])
+
+
+def share_words(a: str, b: str) -> Column:
+    """Whether two columns of ``WORDS`` can share ``LEAST_WORDS`` of their words.
+
+    A share of t among n and m words is t / (1 + t) * (n + m) words, and on
+    either side no more of them than it has lost can be missing in the bits.
+    So this never drops a pair that ``same_problem`` accepts.
+    """
+    both = sum(F.bit_count(F.col(f"{a}.w{i}").bitwiseAND(F.col(f"{b}.w{i}"))) for i in range(_LONGS))
+    needed = LEAST_WORDS / (1 + LEAST_WORDS) * (F.col(f"{a}.size") + F.col(f"{b}.size")) - F.least(f"{a}.lost", f"{b}.lost")
+    return both >= needed - 1e-6
+
+
+def band_keys(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
+    """(signatures, an (n, COORDINATES) matrix of band keys, word sets) of the texts.
 
     The signature covers all quantities and the set of all words; texts
     without any word or quantity have signature 0 and no meaning in the keys.
     """
     n = len(texts)
     sig = np.zeros(n, dtype=np.int64)
-    bits = [0] * n
+    sets = [(0, 0)] * n
     el: tuple[list, list] = ([], [])
     at: tuple[list, list] = ([], [])
     for i, text in enumerate(texts):
@@ -78,8 +89,9 @@ def band_keys(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[int
             continue
         numbers = [t for t, number in toks if number]
         words = [t for t, number in toks if not number]
-        bits[i] = word_bits(set(words))
-        q, w = quantity_elements(numbers, words), {word_hash(x) for x in words} or {1}
+        distinct = set(words)
+        sets[i] = len(distinct), word_set_bits(distinct)
+        q, w = quantity_elements(numbers, words), {word_hash(x) for x in distinct} or {1}
         sig[i] = hash((len(numbers), *sorted(word_hash(x) for x in numbers), *sorted(w))) or 1
         el[0].extend(q)
         at[0].extend([i] * len(q))
@@ -91,19 +103,17 @@ def band_keys(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[int
             for e, a in zip(el, at)
         ]
         keys = mix(mix(sk[0]) * np.uint64(3) + sk[1] + np.arange(COORDINATES, dtype=np.uint64))
-    return sig, keys.view(np.int64), bits
+    return sig, keys.view(np.int64), sets
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        sig, keys, bits = band_keys(b.column("text").to_pylist())
+        sig, keys, sets = band_keys(b.column("text").to_pylist())
         known = np.flatnonzero(sig)
         flat = pa.array(keys[known].ravel())
         offsets = pa.array(np.arange(len(known) + 1, dtype=np.int32) * COORDINATES)
-        yield pa.RecordBatch.from_arrays(
-            [b.column("id").take(pa.array(known)), pa.array(sig[known]), pa.array([bits[i] for i in known], pa.int64()), pa.ListArray.from_arrays(offsets, flat)],
-            ["id", "sig", "bits", "bands"],
-        )
+        columns = [b.column("id").take(pa.array(known)), pa.array(sig[known]), word_sets([sets[i] for i in known]), pa.ListArray.from_arrays(offsets, flat)]
+        yield pa.RecordBatch.from_arrays(columns, ["id", "sig", "words", "bands"])
 
 
 @lru_cache(maxsize=4096)
@@ -120,54 +130,32 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _enough(a: str, b: str) -> Column:
-    """Whether two columns of bits share enough of the longer words."""
-    return F.bit_count(F.col(a).bitwiseAND(F.col(b))) >= LEAST_LONG * F.least(F.bit_count(F.col(a)), F.bit_count(F.col(b)))
-
-
-def plausible(pairs: DataFrame, words: DataFrame) -> DataFrame:
-    """The distinct pairs (a, b) that share enough of the longer words, by ``words(id, bits)``.
-
-    The same test is part of ``same_problem``; here it is made on 16 bytes a
-    row, before any text moves.
-    """
-    side = lambda x: words.select(F.col("id").alias(x), F.col("bits").alias(f"_{x}"))
-    return pairs.distinct().join(side("a"), "a").join(side("b"), "b").where(_enough("_a", "_b")).select("a", "b")
-
-
-def apart(members: DataFrame, labels: DataFrame, words: DataFrame) -> DataFrame:
-    """The distinct plausible pairs (a, b) of ``members(key, id)`` that share a key but no label.
-
-    A key's members are hashed into blocks and every two blocks meet, each
-    pair of members in one place; pairs of one label are in one class already.
-    """
-    known = members.join(words.select("id", "bits"), "id").join(labels.select("id", "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
-    sizes = known.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"), F.min("label").alias("low"), F.max("label").alias("high"))
-    own = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
-    placed = materialise(known.join(sizes.where("low <> high"), "key").select("key", "id", "bits", "label", own.alias("own"), "parts"), "placed")
-    spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    side = lambda x, mine, its: spread.select("key", F.col(mine).alias("i"), F.col(its).alias("j"), F.col("id").alias(x), F.col("bits").alias(f"_{x}"), F.col("label").alias(f"{x}_label")).where("i <= j")
-    met = side("a", "own", "other").join(side("b", "other", "own"), ["key", "i", "j"])
-    met = met.where(F.expr("(i < j OR a < b) AND a_label <> b_label") & _enough("_a", "_b"))
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
 def verified(pairs: DataFrame, records: DataFrame) -> DataFrame:
     """The rows (a, b) of ``pairs`` whose records(id, text, steps) are one problem."""
     side = lambda x: records.select(F.col("id").alias(x), F.col("text").alias(f"text_{x}"), F.col("steps").alias(f"steps_{x}"))
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_verify, "a long, b long")
 
 
-def _crowds(sketched: DataFrame) -> DataFrame | None:
-    """(key, parts) of the buckets that hold a large share of all rows, or None.
+def blocks(rows: DataFrame, size: int) -> DataFrame:
+    """``rows(key, id, n, ...)``, n of a key, spread for a self join: each with its block ``own`` and every block ``other``."""
+    parts = F.ceil(F.col("n") / size).cast("int")
+    own = F.pmod(F.xxhash64("id"), parts).cast("int")
+    return rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+
+
+def meetings(members: DataFrame) -> DataFrame:
+    """The distinct pairs (a, b) of ``members(key, id, label, words)`` that share a key but no label and can share their words.
 
-    Such a bucket goes through the neighbour search in parts by a hash of the
-    row; what parts keep from meeting, the comparison of whole buckets finds.
+    All rows of a key meet, however many they are: they are hashed into blocks
+    and every two blocks are one cell of the join, each pair of rows in one
+    cell. Keys of a single label hold no such pair and never enter the join.
     """
-    some = sketched.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLED)) == 0).select(F.explode("bands").alias("key"))
-    counts = some.groupBy("key").agg((F.count("*") * SAMPLED).alias("n")).where(F.col("n") > CROWD)
-    hot = materialise(counts.select("key", F.ceil(F.col("n") / CROWD).cast("int").alias("parts")), "crowds")
-    return None if hot.isEmpty() else hot
+    sizes = members.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
+    spread = blocks(members.join(sizes.select("key", "n"), "key"), BLOCK)
+    side = lambda x, i, j: spread.select("key", F.col(i).alias("i"), F.col(j).alias("j"), *(F.col(c).alias(f"{c}_{x}") for c in ("id", "label", "words"))).where("i <= j")
+    met = side("a", "own", "other").join(side("b", "other", "own"), ["key", "i", "j"])
+    met = met.where(F.expr("(i < j OR id_a < id_b) AND label_a <> label_b") & share_words("words_a", "words_b"))
+    return met.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
 
 
 def problem_classes(records: DataFrame) -> DataFrame:
@@ -179,73 +167,37 @@ def problem_classes(records: DataFrame) -> DataFrame:
     repeated rows and ties fall into one class; an empty table gives an empty
     result. Ids must be unique and not null.
 
-    Steps: equal signatures (all quantities, all words) collapse to their
-    smallest id before anything is compared; the rest meet in buckets of one
-    coordinate of the quantity sketch and one of the word sketch; in a bucket
-    all rows are compared. In one of more than ``COMPLETE`` rows each is first
-    compared with the ``NEAREST`` before it and then, in blocks, with all that
-    are not in its class by then; verified links are closed to classes.
+    Equal signatures (all quantities, all words) collapse to their smallest id
+    before anything is compared; the rest meet in buckets of one coordinate of
+    the quantity sketch and one of the word sketch. In every bucket all rows
+    are compared with its smallest id first; then all those of it that are not
+    known to be one class by then with each other, as one problem is not
+    transitive. Verified links are closed to classes.
     """
     records = records.select(F.col("id").cast("long").alias("id"), F.col("text").cast("string").alias("text"), F.col("steps").cast("string").alias("steps"))
-    sketched = materialise(records.select("id", "text").mapInArrow(_sketches, "id long, sig long, bits long, bands array<long>"), "sketches")
+    sketched = materialise(records.select("id", "text").mapInArrow(_sketches, f"id long, sig long, words {WORDS}, bands array<long>"), "sketches")
     first = sketched.groupBy("sig").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"))
     banded = first.select(F.col("rep").alias("id"), F.explode("bands").alias("key"))
-    hot = _crowds(sketched)
-    if hot is None:
-        spread = banded.withColumn("part", F.lit(0))
-    else:
-        parts = F.coalesce("parts", F.lit(1))
-        spread = banded.join(hot, "key", "left").select("key", "id", F.pmod(F.xxhash64("id"), parts).cast("int").alias("part"))
-    w = Window.partitionBy("key", "part").orderBy("id")
-    placed = spread.select(
-        "key",
-        "id",
-        F.row_number().over(w).alias("pos"),
-        *(F.lag("id", k).over(w).alias(f"lag{k}") for k in range(1, NEAREST + 1)),
-    ).where("pos > 1")
-    near = F.filter(F.array(*(F.col(f"lag{k}") for k in range(1, NEAREST + 1))), lambda x: x.isNotNull())
-    met = materialise(placed.select(F.when(F.col("pos") > NEAREST + 1, F.col("key")).alias("key"), "id", near.alias("near")), "met")
-    pairs = met.select(F.explode("near").alias("a"), F.col("id").alias("b"))
-    copies = sketched.join(first.select("sig", "rep"), "sig").where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
-
-    over = met.where("key is not null").select("key")
-    crowded = materialise((over if hot is None else over.unionByName(hot.select("key"))).distinct(), "crowded")
-    large = None
-    if not crowded.isEmpty():
-        members = materialise(banded.join(crowded, "key", "left_semi"), "members")
-        sizes = members.groupBy("key").agg(F.count("*").alias("n"))
-        few = members.join(sizes.where(F.col("n") <= COMPLETE), "key", "left_semi")
-        pairs = pairs.unionByName(few.select("key", F.col("id").alias("a")).join(few.select("key", F.col("id").alias("b")), "key").where("a < b").select("a", "b"))
-        large = members.join(sizes.where(F.col("n") > COMPLETE), "key", "left_semi")
-        open_ = members.join(sizes.where(F.col("n") > BLOCK), "key", "left_semi")
-    links = materialise(verified(plausible(pairs, sketched), records), "links")
-    labels = connected_components(links)
-
-    # Buckets of more than a block: members against a first one, those of other
-    # classes against the first of theirs, so that few pairs of one class remain.
-    for _ in range(ROUNDS if large is not None else 0):
-        open_ = materialise(open_.join(open_.groupBy("key").agg(F.min("id").alias("centre")), "key").where("id <> centre"), "centred")
-        if open_.isEmpty():
-            break
-        links = links.unionByName(materialise(verified(plausible(open_.select(F.col("centre").alias("a"), F.col("id").alias("b")), sketched), records), "links"))
-        labels = connected_components(links)
-        mine, its = labels.select("id", "label"), labels.select(F.col("id").alias("centre"), F.col("label").alias("centre_label"))
-        open_ = (
-            open_.join(mine, "id", "left")
-            .join(its, "centre", "left")
-            .where(F.coalesce("label", "id") != F.coalesce("centre_label", "centre"))
-            .select("key", "id")
-        )
-    # One problem is not transitive: a member may match any of a class, not only its first.
-    if large is not None:
-        more = materialise(verified(apart(large, labels, sketched), records), "links")
-        if not more.isEmpty():
-            labels = connected_components(links.unionByName(more))
-
+    # Counted before they are shuffled, so a bucket that a third of all rows share is a few rows here.
+    buckets = banded.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("centre")).where("n > 1")
+    members = materialise(banded.join(buckets, "key").join(sketched.select("id", "words"), "id"), "members")
+
+    centres = sketched.select(F.col("id").alias("centre"), F.col("words").alias("its"))
+    starred = members.where("id <> centre").select("id", "centre", "words").join(centres, "centre").where(share_words("words", "its"))
+    links = materialise(verified(starred.select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct(), records), "links")
+    # What a row and its centre are known to belong to; any id of the class will do.
+    nearest = links.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("up"))
+    labels = nearest.join(nearest.select(F.col("id").alias("up"), F.col("up").alias("top")), "up", "left").select("id", F.coalesce("top", "up").alias("label"))
+    open_ = members.where("n > 2 and id <> centre").select("key", "id", "words").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    more = materialise(verified(meetings(open_), records), "links")
+
+    labels = connected_components(links.unionByName(more))
     # Copies hang on their representative, which keeps the class's smallest id.
-    rep_label = copies.join(labels.select(F.col("id").alias("a"), "label"), "a", "left").select(F.col("b").alias("id"), F.coalesce("label", "a").alias("label"))
-    known = labels.unionByName(rep_label)
-    return records.select("id").join(known, "id", "left").select("id", F.coalesce("label", "id").alias("class_id"))
+    copies = sketched.select("id", "sig").join(sketched.groupBy("sig").agg(F.min("id").alias("rep")), "sig").select("id", "rep")
+    known = copies.join(labels.select(F.col("id").alias("rep"), "label"), "rep", "left").select("id", F.coalesce("label", "rep").alias("class_id"))
+    out = materialise(records.select("id").join(known, "id", "left").select("id", F.coalesce("class_id", "id").alias("class_id")), "classes")
+    release(sketched, members, links, more, labels)
+    return out
 
 
 def class_pairs(classes: DataFrame) -> DataFrame:

@@ -1,5 +1,5 @@
 """Session helpers of the subpackage."""
 
-from ..operators.tables import materialise, shared_dir
+from ..operators.tables import materialise, release, shared_dir
 
-__all__ = ["materialise", "shared_dir"]
+__all__ = ["materialise", "release", "shared_dir"]

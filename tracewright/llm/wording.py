@@ -117,31 +117,32 @@ def word_hash(word: str) -> int:
     return crc32(word.encode("utf-8", "surrogatepass"))
 
 
-def word_bits(words) -> int:
-    """A signed 64-bit set of the longer words; two bits agree where words do."""
+#: Bits of a word set; more bits lose fewer words to collisions.
+SET_BITS = 256
+
+
+def word_set_bits(words) -> int:
+    """The bits of a set of words; two sets share at least the bits of the words they share.
+
+    >>> word_set_bits(["a", "b"]) & word_set_bits(["b", "c"]) >= word_set_bits(["b"])
+    True
+    """
     bits = 0
     for w in words:
-        if len(w) >= 5 or _WIDE.match(w):
-            bits |= 1 << (word_hash(w) & 63)
-    return bits - (1 << 64) if bits >> 63 else bits
+        bits |= 1 << (word_hash(w) & SET_BITS - 1)
+    return bits
 
 
 class Question:
     """Parsed question: word set, quantity multiset and their contexts."""
 
-    __slots__ = ("toks", "words", "numbers", "_steps", "_solution", "_bits")
+    __slots__ = ("toks", "words", "numbers", "_steps", "_solution")
 
     def __init__(self, text: str | None, steps: str | None = None):
         self.toks = tokens(text)
         self.words = frozenset(t for t, number in self.toks if not number)
         self.numbers = Counter(t for t, number in self.toks if number)
-        self._steps, self._solution, self._bits = steps, None, None
-
-    @property
-    def bits(self) -> int:
-        if self._bits is None:
-            self._bits = word_bits(self.words) & (1 << 64) - 1
-        return self._bits
+        self._steps, self._solution = steps, None
 
     @property
     def solution(self) -> frozenset[str]:
@@ -166,17 +167,15 @@ class Question:
         return value not in self.solution
 
 
-#: Share of the bits of the longer words that the text with fewer of them shares.
-LEAST_LONG = 0.6
+#: "About half" of the words: the share of all words of both texts that both have.
+LEAST_WORDS = 0.42
 
 
-def same_problem(a: Question, b: Question, least: float = 0.42) -> bool:
+def same_problem(a: Question, b: Question, least: float = LEAST_WORDS) -> bool:
     """Whether two questions tell one story with the same quantities.
 
     About half of the words must be shared (``least``; copies with another
-    name, order, layout, synonyms and added remarks stay above it), and
-    ``LEAST_LONG`` of the longer words by their bits, which the joins test
-    first. Quantities
+    name, order, layout, synonyms and added remarks stay above it). Quantities
     found on one side only must be remarks: absent from that side's solution
     steps, or, where no steps are known, without a counterpart in the other
     text that stands between the same words.
@@ -186,8 +185,6 @@ def same_problem(a: Question, b: Question, least: float = 0.42) -> bool:
         return False
     if union and len(a.words & b.words) < least * union:
         return False
-    if (a.bits & b.bits).bit_count() < LEAST_LONG * min(a.bits.bit_count(), b.bits.bit_count()):
-        return False
     only_a, only_b = a.numbers - b.numbers, b.numbers - a.numbers
     if not only_a and not only_b:
         return True
