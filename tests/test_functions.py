@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tracewright.functions import answers as A
 from tracewright.functions import equivalence as E
+from tracewright.functions import latex as L
 from tracewright.functions import rewards as R
 from tracewright.functions import sequences as S
 from tracewright.functions import text as X
@@ -23,7 +24,7 @@ def one(spark, rows, schema, *columns):
     return [tuple(r) if len(r) > 1 else r[0] for r in got]
 
 
-@pytest.mark.parametrize("module", [A, E, D])
+@pytest.mark.parametrize("module", [A, L, D])
 def test_examples(module):
     failed, run = doctest.testmod(module)
     assert run and not failed
@@ -96,12 +97,39 @@ def test_math_equal(a, b, same):
 
 def test_latex_checks():
     assert E.same_latex(None, None) and not E.same_latex(None, "1")
-    assert E.same_latex("12 apples.", "$12$")
+    assert E.same_latex("12 apple.", "$12$")
     assert E.latex_number_check("The sum is 12 apples", "12") and not E.latex_number_check("3 and 12", "12")
     assert E.check_with_retries(r"so \boxed{12}", "12") and E.check_with_retries("value: 12", "12") and not E.check_with_retries("13", "12")
     assert E.symbolic_equal("(x+1)^2", "x^2+2x+1") and not E.symbolic_equal("x", "y")
 
 
+@pytest.mark.parametrize(
+    "a, b, same",
+    [("+".join(["x"] * 120), "120*x", True), ("+".join(["x"] * 500), "499x", False), ("(" * 400 + "x" + ")" * 400, "x", True), (r"\frac{\frac{1}{2}}{3}x", "x/6", True), (r"\sqrt{x}\sqrt{x}", "x", True),
+     (r"\frac{1}{3}", "0.33333", True), ("-x^2", "-(x^2)", True), ("x^2^3", "x^8", True), ("2^{-3}", "1/8", True), ("x+", "x", False), ("1/(x-x)", "2", False), ("sin(x)^2+cos(x)^2", "1", True), (r"\int x", "x", False)],
+)
+def test_expressions_of_any_length(a, b, same):
+    assert E.symbolic_equal(a, b) is same
+
+
+@pytest.mark.parametrize(
+    "text, form",
+    [("5 sq . m", "5"), ("12 lb", "12"), ("7 deg", "7"), ("3 monkey", "3"), ("apple", "apple"), ("2x", "2x"), (r"(-\infty, \infty)", r"\mathbb{R}"), (r"\begin{array}{cc}1&2\\3&4\end{array}", r"\begin{pmatrix}1&2\\3&4\end{pmatrix}"),
+     (r"x\in[1,2]", "[1,2]"), (r"\frac1{72}", r"\frac{1}{72}"), (r"\frac123", r"\frac{1}{2}3"), ("two hundred and forty-one", "241"), ("thousand hands", "thousandhands"), ("3.50", "3.50"), ("", ""), ("%", "")],
+)
+def test_latex_forms(text, form):
+    assert E.normal_latex(text) == form
+
+
+def test_math_equal_columns(spark):
+    """What is settled without Python is what the rule says."""
+    texts = ["5", "5.0", "500", "0.05", "5%", "a", "A", "A.", "", " 5 ", None, "(1,2)", "x=5", "1e3", "1,000"]
+    rows = [(a, b) for a in texts for b in texts]
+    assert one(spark, rows, "a string, b string", E.equal_math("a", "b")) == [E.math_equal(a, b) for a, b in rows]
+    assert one(spark, rows, "a string, b string", E.equal_latex("a", "b")) == [E.same_latex(a, b) for a, b in rows]
+    assert one(spark, rows, "a string, b string", E.equal_any("a", "b")) == [E.any_equal(a, b) for a, b in rows]
+
+
 def test_judges(spark):
     rows = [("Yes",), ("yes, I know",), ("no",), ("",)]
     assert one(spark, rows, "t string", R.judge_yes_no("t")) == [1.0, 1.0, 0.0, 0.0]

@@ -86,32 +86,46 @@ def e06_math_equal(spark, d):
     return rows.withColumn("same", E.equal_math(F.col("q").cast("string"), F.col("k").cast("string")))
 
 
-@query("SELECT record_id, true AS expands, false AS other FROM cot_records")
+# Whole quantities and line numbers, each pair once with its rows.
+_PAIRS = "(SELECT l_quantity::INT AS q, l_linenumber AS k, count(*) AS n FROM lineitem GROUP BY ALL)"
+
+
+def _pairs(spark, d):
+    return table(spark, d, "lineitem").groupBy(F.col("l_quantity").cast("int").alias("q"), F.col("l_linenumber").alias("k")).agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT q, k, n, q = k AS expands, q = k AS sum, q = 7 * k AS ratio FROM {_PAIRS}")
 def e07_symbolic_equal(spark, d):
-    n = F.col("record_id").cast("string")
-    square = F.concat(F.lit("(x+"), n, F.lit(")^2"))
-    long = F.concat(F.lit("x^2 + 2*"), n, F.lit("*x + "), n, F.lit("^2"))
-    rows = table(spark, d, "cot_records")
-    return rows.select("record_id", E.equal_symbolic(square, long).alias("expands"), E.equal_symbolic(square, F.concat(long, F.lit("+1"))).alias("other"))
+    square, expanded = F.expr("'(x+' || q || ')^2'"), F.expr("'x^2 + 2*' || k || '*x + ' || k || '^2'")
+    # Long sums of equal terms, and a fraction against an implied product.
+    terms, product = F.expr("array_join(array_repeat('y', q), '+')"), F.expr("k || 'y'")
+    ratio, times = F.expr("chr(92) || 'frac{' || q || 'z}{7}'"), F.expr("k || 'z'")
+    return _pairs(spark, d).select("q", "k", "n", E.equal_symbolic(square, expanded).alias("expands"), E.equal_symbolic(terms, product).alias("sum"), E.equal_symbolic(ratio, times).alias("ratio"))
 
 
-@query("SELECT record_id, true AS only_number FROM cot_records")
+@query(f"SELECT q, k, n, q = k AND (q + n) % 3 <> 0 AS only_number FROM {_PAIRS}")
 def e08_latex_number(spark, d):
-    said = F.expr("'The sum is $' || record_id || '.0$ in all'")
-    return table(spark, d, "cot_records").select("record_id", E.equal_latex_number(said, F.col("record_id").cast("string")).alias("only_number"))
+    said = F.expr("'The sum is $' || q || '.0$' || if((q + n) % 3 = 0, ' and 1999 more', ' in all')")
+    return _pairs(spark, d).select("q", "k", "n", E.equal_latex_number(said, F.col("k").cast("string")).alias("only_number"))
 
 
-@query("SELECT record_id, chr(92) || 'frac{' || record_id || '}{7}' AS form FROM cot_records")
+@query(
+    f"""SELECT q, k, n, CASE (q + k) % 6 WHEN 0 THEN chr(92) || 'frac{{' || q || '}}{{' || k || '}}' WHEN 1 THEN q || '' WHEN 2 THEN q || '.5' WHEN 3 THEN chr(92) || 'frac{{' || q || '}}{{' || k || '}}'
+ WHEN 4 THEN chr(92) || 'sqrt{{' || q || '}}' ELSE k || ',' || q END AS form FROM {_PAIRS}"""
+)
 def e09_latex_form(spark, d):
-    text = F.expr("CASE record_id % 3 WHEN 0 THEN record_id || '/7' WHEN 1 THEN '$' || chr(92) || 'dfrac{' || record_id || '}{7}$ apples.' ELSE 'x = ' || chr(92) || 'left' || chr(92) || 'frac{' || record_id || '}{7}' END")
-    return table(spark, d, "cot_records").select("record_id", E.latex_form(text).alias("form"))
+    text = F.expr(
+        """CASE (q + k) % 6 WHEN 0 THEN q || '/' || k WHEN 1 THEN '$' || q || '.0$ sq m.' WHEN 2 THEN 'x = ' || q || '.5 ' || chr(92) || 'text{ cm}'
+ WHEN 3 THEN chr(92) || 'left' || chr(92) || 'dfrac{' || q || '}{' || k || '}' WHEN 4 THEN chr(92) || 'sqrt' || q || '^' || chr(92) || 'circ' ELSE k || ', ' || q || chr(92) || '% profit' END"""
+    )
+    return _pairs(spark, d).select("q", "k", "n", E.latex_form(text).alias("form"))
 
 
-@query("SELECT record_id, record_id % 2 = 0 AS latex, true AS any FROM cot_records")
+@query(f"SELECT q, k, n, q = k AND q % 2 = 0 AS latex, q = k AS any FROM {_PAIRS}")
 def e10_any_equal(spark, d):
-    a = F.expr("CASE WHEN record_id % 2 = 0 THEN record_id || ' apples' ELSE record_id || '%' END")
-    b = F.expr("CASE WHEN record_id % 2 = 0 THEN '$' || record_id || '$' ELSE CAST(record_id / 100.0 AS DECIMAL(12, 2)) || '' END")
-    return table(spark, d, "cot_records").select("record_id", E.equal_latex(a, b).alias("latex"), E.equal_any(a, b).alias("any"))
+    a = F.expr("CASE WHEN q % 2 = 0 THEN q || ' apple' ELSE q || '%' END")
+    b = F.expr("CASE WHEN q % 2 = 0 THEN '$' || k || '$' ELSE CAST(k / 100.0 AS DECIMAL(12, 2)) || '' END")
+    return _pairs(spark, d).select("q", "k", "n", E.equal_latex(a, b).alias("latex"), E.equal_any(a, b).alias("any"))
 
 
 @query(
@@ -123,10 +137,10 @@ def e11_parsed_digits(spark, d):
     return table(spark, d, "cot_records").select("record_id", E.parsed_digits(text).alias("value"))
 
 
-@query("SELECT record_id, true AS same FROM cot_records")
+@query(f"SELECT q, k, n, q = k AS same FROM {_PAIRS}")
 def e12_check_with_retries(spark, d):
-    said = F.expr("CASE record_id % 3 WHEN 0 THEN 'so ' || chr(92) || 'boxed{' || record_id || '}' WHEN 1 THEN 'value: ' || record_id ELSE 'for 3 the sum is ' || record_id END")
-    return table(spark, d, "cot_records").select("record_id", E.equal_with_retries(said, F.col("record_id").cast("string")).alias("same"))
+    said = F.expr("CASE n % 3 WHEN 0 THEN 'so ' || chr(92) || 'boxed{' || q || '}' WHEN 1 THEN 'value: ' || q ELSE 'for 1999 the sum is ' || q END")
+    return _pairs(spark, d).select("q", "k", "n", E.equal_with_retries(said, F.col("k").cast("string")).alias("same"))
 
 
 @query(
