@@ -143,15 +143,15 @@ def blocks(rows: DataFrame, size: int) -> DataFrame:
     return rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
 
 
-def meetings(members: DataFrame) -> DataFrame:
-    """The distinct pairs (a, b) of ``members(key, id, label, words)`` that share a key but no label and can share their words.
+def meetings(members: DataFrame, words: DataFrame) -> DataFrame:
+    """The distinct pairs (a, b) of ``members(key, id, label)`` that share a key but no label and, by ``words(id, words)``, can share their words.
 
     All rows of a key meet, however many they are: they are hashed into blocks
     and every two blocks are one cell of the join, each pair of rows in one
     cell. Keys of a single label hold no such pair and never enter the join.
     """
     sizes = members.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
-    spread = blocks(members.join(sizes.select("key", "n"), "key"), BLOCK)
+    spread = blocks(members.join(sizes.select("key", "n"), "key").join(words, "id"), BLOCK)
     side = lambda x, i, j: spread.select("key", F.col(i).alias("i"), F.col(j).alias("j"), *(F.col(c).alias(f"{c}_{x}") for c in ("id", "label", "words"))).where("i <= j")
     met = side("a", "own", "other").join(side("b", "other", "own"), ["key", "i", "j"])
     met = met.where(F.expr("(i < j OR id_a < id_b) AND label_a <> label_b") & share_words("words_a", "words_b"))
@@ -180,16 +180,18 @@ def problem_classes(records: DataFrame) -> DataFrame:
     banded = first.select(F.col("rep").alias("id"), F.explode("bands").alias("key"))
     # Counted before they are shuffled, so a bucket that a third of all rows share is a few rows here.
     buckets = banded.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("centre")).where("n > 1")
-    members = materialise(banded.join(buckets, "key").join(sketched.select("id", "words"), "id"), "members")
+    members = materialise(banded.join(buckets, "key"), "members")
 
-    centres = sketched.select(F.col("id").alias("centre"), F.col("words").alias("its"))
-    starred = members.where("id <> centre").select("id", "centre", "words").join(centres, "centre").where(share_words("words", "its"))
-    links = materialise(verified(starred.select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct(), records), "links")
+    words = sketched.select("id", "words")
+    side = lambda x: words.select(F.col("id").alias(x), F.col("words").alias(f"{x}_words"))
+    starred = members.where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
+    starred = starred.join(side("a"), "a").join(side("b"), "b").where(share_words("a_words", "b_words")).select("a", "b")
+    links = materialise(verified(starred, records), "links")
     # What a row and its centre are known to belong to; any id of the class will do.
     nearest = links.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("up"))
     labels = nearest.join(nearest.select(F.col("id").alias("up"), F.col("up").alias("top")), "up", "left").select("id", F.coalesce("top", "up").alias("label"))
-    open_ = members.where("n > 2 and id <> centre").select("key", "id", "words").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    more = materialise(verified(meetings(open_), records), "links")
+    open_ = members.where("n > 2 and id <> centre").select("key", "id").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    more = materialise(verified(meetings(open_, words), records), "links")
 
     labels = connected_components(links.unionByName(more))
     # Copies hang on their representative, which keeps the class's smallest id.
