@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import time
 import unicodedata
 
 import numpy as np
@@ -130,6 +131,8 @@ COT = "Removing the bricks 219 - 120 = <<219-120=99>>99 bricks."
         (COT, "99", None), (None, "99", None), ("", "99 bricks", None), (COT, "The answer is 98.", None), (COT.rstrip("."), "\\boxed{99}", None),
         (COT, None, "empty_answer"), (COT, " ​", "empty_answer"), (COT, "N/A", "empty_answer"), (COT, "\\boxed{}", "empty_answer"), (COT, "<answer></answer>", "empty_answer"), (COT, "Answer:", "empty_answer"), (COT, "'...'", "empty_answer"),
         (None, "I'm sorry, but I can't help with that.", "refusal"), (None, "Diese Frage darf ich nicht beantworten.", "refusal"), (None, "我不能处理这样的请求。", "refusal"),
+        (None, "我不能回答", "refusal"), (None, "我不太方便解答这道题。", "refusal"), (None, "I'm sorry, but I cannot help with question 3.", "refusal"), (None, "To be honest, no answer can be offered from my side.", "refusal"), (None, "Je préfère ne pas résoudre l'exercice 12.", "refusal"), (None, "No me es posible responder a esto.", "refusal"),
+        (None, "There is nothing left in the barn.", None), (None, "The baker cannot sell the rest.", None),
         (COT, "I'm sorry for the detour, but the result stays 99 bricks.", None), (COT, "Unable to find a shorter way, we simply count and arrive at 99 bricks.", None),
         (None, Q, "copied_question"), (None, "You asked: " + Q.upper(), "copied_question"), (None, "How many bricks remain with Abrask?", "copied_question"), (None, "Mice spoill 120 of them after closing time.", "copied_question"),
         ("Daraus folgt 219 - 120 = 99 Ziegel.\nDie Antwort ist 99.", "99", "other_language"), ("Removing them 219 - 120 = 99.\nВсего получается 99.", "99", "other_language"),
@@ -163,6 +166,33 @@ def test_tiles_do_not_overlap(a, b):
     assert [n for *_, n in tiles] == sorted((n for *_, n in tiles), reverse=True)
 
 
+def _tiles_by_definition(a, b, least):
+    """Longest common free stretch first, earliest places first."""
+    free_a, free_b, out = [True] * len(a), [True] * len(b), []
+    for size in range(min(len(a), len(b)), least - 1, -1):
+        for i in range(len(a) - size + 1):
+            for j in range(len(b) - size + 1):
+                if a[i : i + size] == b[j : j + size] and all(free_a[i : i + size]) and all(free_b[j : j + size]):
+                    out.append((i, j, size))
+                    free_a[i : i + size] = free_b[j : j + size] = [False] * size
+    return out
+
+
+@given(st.lists(st.integers(0, 2), max_size=24), st.lists(st.integers(0, 2), max_size=24))
+@settings(max_examples=200, deadline=None)
+def test_tiles_are_those_of_the_definition(a, b):
+    a, b = list(map(str, a)), list(map(str, b))
+    assert defects.tile(a, b, 2) == _tiles_by_definition(a, b, 2)
+
+
+def test_long_repetitive_texts_are_tiled_quickly():
+    started = time.perf_counter()
+    assert defects.tile(["x"] * 10_000, ["x"] * 10_000) == [(0, 0, 10_000)]
+    assert defects.is_copy("ab cd ef gh. " * 4000, "ab cd ef gh. " * 4000)
+    assert not defects.is_copy("ab cd ef gh. " * 4000, "ab cd xx " * 4000)
+    assert time.perf_counter() - started < 5
+
+
 def test_defective_table(spark):
     rows = [(1, Q, COT, "99", 5), (2, Q, COT, None, 5), (2, Q, COT, None, 5), (3, Q, "x " * 100_000, "99", 5), (4, None, None, "", 5)]
     df = spark.createDataFrame(rows, "id long, question string, cot string, answer string, defect int")

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,7 +47,7 @@ def is_empty(answer: str | None) -> bool:
     if answer is None:
         return True
     text = _bare(answer)
-    for _ in range(6):
+    while True:  # each turn shortens the text
         low = text.lower()
         if not low or low in PLACEHOLDERS:
             return True
@@ -64,35 +66,139 @@ def is_empty(answer: str | None) -> bool:
 
 # ---------------------------------------------------------------- refusal
 
-# Ways to decline, per language; alternatives of one pattern.
-DECLINES = (
-    r"\b(?:(?:i|we)(?:'m| am|'re| are) (?:unable|not able|not in a position) to|can(?:no|')t|can not|could not|won't|will not|must decline|have to decline|decline to|refuse to|"
-    r"(?:would|'d) rather not|prefer not to|not (?:feel )?comfortable|not allowed|not permitted|"
-    r"not be (?:right|appropriate|able)|outside (?:of )?(?:what|my)|beyond what|against my|keep(?:s)? me from|prevent(?:s)? me from|"
-    r"have to pass|pass on (?:this|it)|unanswered|no answer can|no solution can|another topic|something else instead|"
-    r"not expect (?:a|an|any) (?:solution|answer|help)|rules (?:do not|don't) (?:let|allow))\b",
-    r"\b(?:kann|darf|möchte|will|werde|können|muss)\b.*\b(?:nicht|ablehnen|keine)\b|\bnicht möglich\b|\blieber nicht\b|\bes tut mir leid\b|\blehne\b.*\bab\b",
-    r"\bje (?:ne|n'|regrette|préfère ne|refuse|dois refuser)|\bimpossible de\b|\bne m'est pas\b|\bne suis pas en mesure\b|\bdésolée?\b",
-    r"\bno (?:puedo|me es posible|me está permitido|estoy en condiciones|voy a|debo)\b|\bprefiero no\b|\blo siento\b|\bdebo rechazar\b|\bno se me permite\b|\bme niego\b",
-    r"\bnão (?:posso|consigo|me é|vou|devo|estou autorizad)|\bprefiro não\b|\bdesculpe\b|\blamento\b|\brecuso\b|\bsinto muito\b",
-    r"\bне (?:могу|буду|смогу|стану|имею права|хочу|готов)|\bотказ|\bизвините\b|\bпростите\b|\bк сожалению\b|\bпредпочитаю не\b|\bмне нельзя\b|\bне разрешено\b|\bвынужден",
-    r"不能|无法|不可以|抱歉|对不起|拒绝|不便|不愿|不会回答|不予|恕",
-    r"\bnon (?:posso|sono in grado|mi è)|\bmi dispiace\b|\bpreferisco non\b",
+# Words of the refusal grammar, per language; an ending "~" stands for any ending, "_" for a blank.
+#   negated: negations and words that hold one, such as cannot;  able: ability, leave, will and readiness;
+#   act: what a reader asks for;  decline: words that decline by themselves;  bound: what holds a speaker back;
+#   limit: rules that do;  speaker: who declines;  regret: openings of an apology or a disclaimer.
+GRAMMAR = {
+    "en": {
+        "negated": "not no cannot can't can’t won't don't unable never nothing wouldn't couldn't shouldn't mustn't neither",
+        "able": "can cannot can't could able unable allowed permitted may will won't would do don't feel comfortable right appropriate position willing ready wish want expect couldn't wouldn't",
+        "act": "help~ assist~ answer~ respond~ solve~ solving solution~ provid~ giv~ offer~ work~ comply discuss~ deal~ handle~ process take_part go~ support~ complete~ fulfil~ address~ share~ say~ speak~ talk~ tell~ continue~ proceed~ do",
+        "decline": "decline~ refus~ unanswered rather_not prefer_not pass_on have_to_pass another_topic something_else_instead abstain~ different_topic",
+        "bound": "outside beyond against keep~ prevent~ forbid~ prohibit~ stop~ let allow~ violat~",
+        "limit": "policy policies guidelines rules instructions programming allowed may principles what_i permitted me",
+        "speaker": "i i'm i'd i'll i've me my mine we we're us our myself assistant",
+        "regret": "sorry i'm_sorry i_am_sorry so_sorry very_sorry i_apologi~ unfortunately regrettably as_an_ai under_my_guidelines my_apologies my_instructions my_guidelines my_policy",
+    },
+    "de": {
+        "negated": "nicht keine keinen kein nie",
+        "able": "kann darf möchte will werde können muss dürfen möglich erlaubt gestattet lieber imstande",
+        "act": "helf~ beantwort~ antwort~ lös~ bearbeit~ behilflich mach~ geb~ übernehm~ anbiet~ eingeh~ weiterhelf~ möglich",
+        "decline": "lehne~ ablehn~ verweiger~ lieber_nicht",
+        "bound": "gegen außerhalb hindern verbieten",
+        "limit": "richtlinie~ regeln vorgaben anweisungen",
+        "speaker": "ich wir mir mich meine~ uns",
+        "regret": "es_tut_mir_leid tut_mir_leid leider entschuldig~ bedauerlich~",
+    },
+    "fr": {
+        "negated": "ne n'~ pas impossible non",
+        "able": "peux puis pouvons suis mesure permis possible impossible veux préfère souhaite vais dois",
+        "act": "répondre répond~ aider aide résoudre trait~ donner fournir faire assister",
+        "decline": "refuse~ préfère_ne décline~ regrette",
+        "bound": "contre empêch~ interdi~",
+        "limit": "règles consignes directives instructions",
+        "speaker": "je j'~ me m'~ mon ma mes nous moi",
+        "regret": "désolé désolée malheureusement pardon je_suis_désolé je_regrette",
+    },
+    "es": {
+        "negated": "no nunca imposible",
+        "able": "puedo podemos posible permitido permite condiciones voy debo quiero deseo prefiero imposible",
+        "act": "respond~ ayud~ resolv~ contest~ dar tratar hacer atend~ proporcion~",
+        "decline": "prefiero_no rechaz~ me_niego declino",
+        "bound": "contra impid~ prohíb~",
+        "limit": "reglas normas política directrices instrucciones",
+        "speaker": "me mi mis yo puedo prefiero voy debo podemos nosotros estoy",
+        "regret": "lo_siento lamentablemente disculpa~ perdón",
+    },
+    "pt": {
+        "negated": "não nunca impossível",
+        "able": "posso podemos consigo possível permitido vou devo autorizad~ quero prefiro impossível",
+        "act": "respond~ ajud~ resolv~ dar tratar fazer atend~ fornec~",
+        "decline": "prefiro_não recus~ declino",
+        "bound": "contra impede~ proíb~",
+        "limit": "regras normas política diretrizes instruções",
+        "speaker": "me meu minha eu posso prefiro vou devo consigo podemos nós estou",
+        "regret": "desculp~ lamento sinto_muito infelizmente",
+    },
+    "ru": {
+        "negated": "не нельзя нет невозможно",
+        "able": "могу можем буду будем смогу стану имею хочу готов~ можно нельзя разрешено вправе хотел~ возможно невозможно",
+        "act": "помо~ ответ~ отвеч~ реш~ дать давать выполн~ обсужд~ обработ~ заним~ браться",
+        "decline": "отказ~ предпочитаю_не вынужден~ воздерж~",
+        "bound": "против запрещ~ вне",
+        "limit": "правил~ инструкц~ политик~",
+        "speaker": "я мы мне мой моих мои нам меня буду могу хочу готов~ отказ~ предпочитаю",
+        "regret": "извините простите к_сожалению прошу_прощения",
+    },
+    "it": {
+        "negated": "non impossibile",
+        "able": "posso possiamo grado possibile permesso voglio preferisco devo",
+        "act": "rispond~ aiut~ risolv~ dare trattare fare fornire",
+        "decline": "preferisco_non rifiut~ declino",
+        "bound": "contro impedi~",
+        "limit": "regole linee istruzioni",
+        "speaker": "mi mio mia io posso preferisco devo possiamo noi sono",
+        "regret": "mi_dispiace purtroppo scusa~ spiacente",
+    },
+}
+# The same for a script without blanks, as parts of a clause.
+GRAMMAR_HAN = {
+    "negated": "不 无法 没法 没有办法 不能 恕 勿 别",
+    "able": "能 可 可以 会 便 愿 想 予 无法 没法 应 适合 允许 方便",
+    "act": "回答 解答 帮 处理 提供 回应 答复 解决 协助 讨论 作答 满足 完成",
+    "decline": "拒绝 谢绝 婉拒",
+    "speaker": "我 恕 本人 抱歉 对不起 这 请",
+    "regret": "抱歉 对不起 很遗憾",
+}
+#: Nouns whose number names a task and is no result.
+_NUMBERED = re.compile(
+    r"(?:question|problem|exercise|task|part|item|number|no\.?|prompt|request|chapter|frage|aufgabe|exercice|numéro|pregunta|ejercicio|problema|questão|exercício|вопрос\w*|задач\w*|题)\s*(?:#|№|no\.?|nr\.?)?\s*\d+|第\s*\d+\s*[题问个]",
+    re.I,
 )
-_DECLINE = re.compile("|".join(f"(?:{p})" for p in DECLINES), re.I)
-# Openings that only an apology or a disclaimer has.
-_OPENING = re.compile(r"^\W*(?:(?:i'?m |i am )?(?:so |very )?sorry\b|i apologi[sz]e|unfortunately\b|regrettably\b|as an ai\b|under my guidelines\b|i (?:must|have to) decline|my (?:apologies|instructions|guidelines|policy)\b)", re.I)
+_CLAUSE = re.compile(r"[^.!?;:。！？；：…\n]+")
+_SAID = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*['’]?")
+
+
+def _word_class(words: str) -> re.Pattern:
+    """The words of a class in a text of words between single blanks."""
+    one = lambda w: re.escape(w.rstrip("~").replace("_", " ")) + ("[^ ]*" if w.endswith("~") else "")
+    return re.compile("(?:^| )(?:" + "|".join(one(w) for w in words.split()) + ")(?= |$)")
+
+
+_GRAMMAR = {lang: {kind: _word_class(words) for kind, words in kinds.items()} for lang, kinds in GRAMMAR.items()}
+_HAN = {kind: re.compile("|".join(words.split())) for kind, words in GRAMMAR_HAN.items()}
+
+
+def _declines(said: str, g: dict[str, re.Pattern]) -> bool:
+    """Whether a clause declines: a negated ability to act, a word of declining, or a rule that holds the speaker back."""
+    has = lambda kind: kind in g and g[kind].search(said) is not None
+    return has("negated") and has("able") and has("act") or has("decline") or has("bound") and has("limit")
 
 
 def is_refusal(answer: str) -> bool:
-    """A text without any result that declines, apologises or disclaims."""
-    if any(c.isdigit() for c in answer):
+    """A text without any result that declines, apologises or disclaims.
+
+    A number is a result unless it counts a question or a task. The speaker
+    declines in some clause by the grammar of the language, or opens with an
+    apology or a disclaimer; of a text that breaks off, only the former counts.
+    """
+    if any(c.isdigit() for c in _NUMBERED.sub(" ", answer)):
         return False
-    text = answer.replace("’", "'")
-    if not broken_off(text, prose=True):
-        return bool(_DECLINE.search(text) or _OPENING.search(text))
-    # Without an end mark only a whole phrase of declining counts.
-    return bool(_DECLINE.search(text)) and len(text.split()) >= 4
+    low = answer.lower().replace("’", "'")
+    whole = not broken_off(low, prose=True)
+    if _SCRIPTS[0][1].search(low):
+        return bool(_HAN["speaker"].search(low)) and any(_declines(c, _HAN) for c in _CLAUSE.findall(low)) or whole and bool(_HAN["regret"].match(low.strip()))
+    clauses = [" ".join(_SAID.findall(c)) for c in _CLAUSE.findall(low)]
+    said = " ".join(clauses)
+    for g in _GRAMMAR.values():
+        if whole and (m := g["regret"].search(said)) and m.start() == 0:
+            return True
+        if not whole and said.count(" ") < 3:
+            continue
+        if any(_declines(c, g) for c in clauses) and (g["speaker"].search(said) or g["decline"].search(said)):
+            return True
+    return False
 
 
 # ---------------------------------------------------------- copied question
@@ -108,35 +214,64 @@ def tile(a: list[str], b: list[str], least: int = TILE) -> list[tuple[int, int,
     """Greedy string tiling: (place in a, place in b, size), longest tiles first.
 
     Every token belongs to at most one tile; ties go to the earliest place.
-    Places that can begin a tile are found by hashed runs of ``least`` tokens.
+    Stretches of any length get names by doubling, equal ones the same name;
+    the longest length that two free stretches share is found by bisection,
+    and all tiles of that length are set from a queue of places per name. So
+    each length that occurs costs a few passes, however repetitive the texts are.
     """
-    places: dict[tuple, list[int]] = {}
-    for j in range(len(b) - least + 1):
-        places.setdefault(tuple(b[j : j + least]), []).append(j)
-    free_a, free_b = [True] * len(a), [True] * len(b)
-    tiles = []
-    while True:
-        best: list[tuple[int, int]] = []
-        size = least
-        i = 0
-        while i + least <= len(a):
-            if free_a[i]:
-                for j in places.get(tuple(a[i : i + least]), ()):
-                    n = 0
-                    while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n] and free_a[i + n] and free_b[j + n]:
-                        n += 1
-                    if n > size:
-                        best, size = [(i, j)], n
-                    elif n == size:
-                        best.append((i, j))
-            i += 1
-        if not best:
-            return tiles
-        for i, j in best:
-            if all(free_a[i : i + size]) and all(free_b[j : j + size]):
-                tiles.append((i, j, size))
-                free_a[i : i + size] = [False] * size
-                free_b[j : j + size] = [False] * size
+    n, total = len(a), len(a) + len(b)
+    ids: dict[str, int] = {}
+    named = [np.array([ids.setdefault(t, len(ids)) for t in (*a, *b)], dtype=np.int64)]
+    free = np.ones(total, dtype=bool)
+
+    def names(size: int) -> np.ndarray:
+        k = size.bit_length() - 1
+        while len(named) <= k:
+            half, last = 1 << len(named) - 1, named[-1]
+            named.append(np.unique(last[:-half] * total + last[half:], return_inverse=True)[1])
+        gap, whole = size - (1 << k), named[k]
+        return whole[:-gap] * total + whole[gap:] if gap else whole
+
+    def stretches(size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Free places of a and of b, and the names of their stretches."""
+        until = np.concatenate([[0], np.cumsum(free)])
+        at = np.flatnonzero(until[size:] - until[:-size] == size)
+        name = names(size)
+        mine, its = at[at + size <= n], at[at >= n]
+        return mine, name[mine], its, name[its]
+
+    def shared(size: int) -> bool:
+        _, x, _, y = stretches(size)
+        return len(x) > 0 and len(y) > 0 and bool(np.isin(x, y).any())
+
+    tiles, size = [], min(n, len(b))
+    while size >= least:
+        low, high = least - 1, size
+        while low < high:
+            mid = (low + high + 1) // 2
+            low, high = (mid, high) if shared(mid) else (low, mid - 1)
+        size = low
+        if size < least:
+            break
+        mine, x, its, y = stretches(size)
+        places: dict[int, deque[int]] = {}
+        wanted = np.isin(y, x)
+        for j, name in zip(its[wanted].tolist(), y[wanted].tolist()):
+            places.setdefault(name, deque()).append(j)
+        held = np.isin(x, y)
+        for i, name in zip(mine[held].tolist(), x[held].tolist()):
+            queue = places[name]
+            if not free[i] or not free[i + size - 1]:
+                continue  # tiles of this length are as long as the stretch, so its ends tell
+            while queue and not (free[queue[0]] and free[queue[0] + size - 1]):
+                queue.popleft()
+            if queue:
+                j = queue.popleft()
+                tiles.append((i, j - n, size))
+                free[i : i + size] = False
+                free[j : j + size] = False
+        size -= 1
+    return tiles
 
 
 def is_copy(question: str | None, answer: str) -> bool:
@@ -152,6 +287,14 @@ def is_copy(question: str | None, answer: str) -> bool:
         if toks:
             ends.append((len(q), len(q) + len(toks)))
             q.extend(toks)
+    # Tiles lie within runs of TILE tokens that the question has, so those bound what tiles can cover.
+    runs, reach, bound = {tuple(q[i : i + TILE]) for i in range(len(q) - TILE + 1)}, 0, 0
+    for i in range(len(a) - TILE + 1):
+        if tuple(a[i : i + TILE]) in runs:
+            bound += i + TILE - max(i, reach)
+            reach = i + TILE
+    if bound < COVERED * len(a):
+        return False
     hit_a, hit_q = [False] * len(a), [False] * len(q)
     for i, j, n in tile(a, q):
         hit_a[i : i + n] = [True] * n
@@ -435,7 +578,7 @@ def defect(question: str | None, cot: str | None, answer: str | None) -> str | N
     if not plain:
         if is_empty(answer):
             return "empty_answer"
-        if len(answer) > 5 and not _UNIT.fullmatch(answer):
+        if not _UNIT.fullmatch(answer):
             if is_refusal(answer):
                 return "refusal"
             if is_copy(question, answer):
