@@ -50,7 +50,7 @@ def advantages():
 
 def test_gae_of_all_users(spark, folder):
     want, value = advantages(), {e: v for e, _, v, _ in EVENTS}
-    got = {(r.user_id, r.event_id): (r.advantage, r.ret) for r in catalog.QUERIES["gae_all"](spark, folder).collect()}
+    got = {(r.user_id, r.event_id): (r.advantage, r.ret) for r in catalog.QUERIES["gae"](spark, folder).collect()}
     assert got == {k: pytest.approx((a, a + value[k[1]] / 10), abs=2e-6) for k, a in want.items()}
 
 
@@ -59,8 +59,8 @@ def test_whitened_by_the_moments_of_all_users(spark, folder):
     kept = [want[u, e] for u, s in sequences().items() for e, _, m in s if m]
     mean = sum(kept) / len(kept)
     deviation = math.sqrt(sum((x - mean) ** 2 for x in kept) / (len(kept) - 1) + 1e-8)
-    got = {r.user_id: r.white for r in catalog.QUERIES["w07_gae_whitened"](spark, folder).collect()}
-    assert got == {u: pytest.approx([(want[u, e] - mean) / deviation for e, _, _ in s], abs=1e-6) for u, s in sequences().items()}
+    got = {(r.user_id, r.event_id): r.white for r in catalog.QUERIES["w07_gae_whitened"](spark, folder).collect()}
+    assert got == {k: pytest.approx((a - mean) / deviation, abs=2e-6) for k, a in want.items()}
 
 
 def test_discounted_return_of_all_users(spark, folder):
@@ -71,7 +71,7 @@ def test_discounted_return_of_all_users(spark, folder):
             a = value + 0.95 * a * mask
             mask = m
             want[u, e] = a
-    got = {(r.user_id, r.event_id): r.ret for r in catalog.QUERIES["discounted_return_all"](spark, folder).collect()}
+    got = {(r.user_id, r.event_id): r.ret for r in catalog.QUERIES["discounted_return"](spark, folder).collect()}
     assert got == {k: pytest.approx(a, abs=1e-4) for k, a in want.items()}
 
 
@@ -100,16 +100,16 @@ def test_whole_arrays_are_aligned(spark, folder):
     latest = {b: max(p for i, p in place.items() if i % 2 == b) for b in (0, 1)}
     k = {i: latest[i % 2] - p if p else 0 for i, p in place.items()}
     want = {(i, text([0] * k[i] + x), text([-100] * k[i] + x), k[i] + len(x)) for i, x in IDS.items()}
-    assert max(place.values()) > 20 and got(spark, folder, "q10_align_on_token_whole", "row_id", "ids", "labels", "n") == want
+    assert max(place.values()) > 20 and got(spark, folder, "q10_align_on_token", "row_id", "ids", "labels", "n") == want
 
 
 def test_whole_arrays_in_packs(spark, folder):
     packs = {p: [IDS[i] for i in sorted(IDS) if i // 3 == p] for p in range(7)}
     want = {(p, text(k for k, x in enumerate(s) for _ in x)) for p, s in packs.items()}
-    assert got(spark, folder, "q17_segment_ids_whole", "pack", "segments") == want
-    assert got(spark, folder, "q18_unpack_whole", "pack", "segment", "ids") == {(p, k, text(x)) for p, s in packs.items() for k, x in enumerate(s)}
+    assert got(spark, folder, "q17_segment_ids", "pack", "segments") == want
+    assert got(spark, folder, "q18_unpack", "pack", "segment", "ids") == {(p, k, text(x)) for p, s in packs.items() for k, x in enumerate(s)}
     longest = {b: max(len(x) for i, x in IDS.items() if i % 2 == b) for b in (0, 1)}
-    assert got(spark, folder, "q21_flatten_steps_whole", "row_id", "ids") == {(i, text(x + [0] * (longest[i % 2] - len(x)))) for i, x in IDS.items()}
+    assert got(spark, folder, "q21_flatten_steps", "row_id", "ids") == {(i, text(x + [0] * (longest[i % 2] - len(x)))) for i, x in IDS.items()}
 
 
 def test_whole_arrays_are_staged(spark, folder):
@@ -121,6 +121,6 @@ def test_whole_arrays_are_staged(spark, folder):
         steps.add((i, text(q + s + [11, 12, 12, 13] + rest), text(s)))
         at = next((k + 2 for k in range(len(x)) if x[k : k + 2] == [101, 102]), -1)
         train.add((i, text([-100] * len(q) + x[len(q) :]), at))
-    assert got(spark, folder, "q09_staged_whole", "row_id", "ids", "labels", "last", "skipped") == staged
-    assert got(spark, folder, "q22_staged_with_steps_whole", "row_id", "ids", "target") == steps
-    assert got(spark, folder, "q23_train_row_whole", "row_id", "labels", "answer_at") == train
+    assert got(spark, folder, "q09_staged", "row_id", "ids", "labels", "last", "skipped") == staged
+    assert got(spark, folder, "q22_staged_with_steps", "row_id", "ids", "target") == steps
+    assert got(spark, folder, "q23_train_row", "row_id", "labels", "answer_at") == train

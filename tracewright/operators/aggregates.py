@@ -152,10 +152,14 @@ def terminated_stats(df: DataFrame, by: Sequence[str], length: str, terminated:
 
 
 def bincount(df: DataFrame, column: str, minlength: int) -> DataFrame:
-    """Counts of 0, 1, ... up to the largest value, at least ``minlength`` rows, zeros filled."""
+    """Counts of 0, 1, ... up to the largest value, at least ``minlength`` rows, zeros filled.
+
+    The range is a distributed one, however large the largest value is; nulls
+    and negative values are not counted; an empty table gives ``minlength`` zeros.
+    """
     counts = df.where(F.col(column) >= 0).groupBy(F.col(column).cast("long").alias("value")).agg(F.count("*").alias("n"))
-    top = counts.agg(F.greatest(F.coalesce(F.max("value"), F.lit(-1)) + 1, F.lit(minlength)).alias("k"))
-    every = top.select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("value"))
+    top = counts.agg(F.max("value").alias("top")).first().top
+    every = df.sparkSession.range(max(minlength, 0 if top is None else top + 1)).withColumnRenamed("id", "value")
     return every.join(counts, "value", "left").select("value", F.coalesce("n", F.lit(0)).alias("n"))
 
 
@@ -203,7 +207,16 @@ KL_KINDS = ("kl", "abs", "mse", "low_var_kl")
 
 
 def kl_terms(logp: Column, ref: Column, kind: str = "kl") -> Column:
-    """Per-token divergence estimates of two arrays of log probabilities."""
+    """Per-token divergence of the policy from a reference, by one of ``KL_KINDS`` from two arrays of log probabilities.
+
+    ``full``: both are arrays of one distribution per token (log probabilities
+    of every symbol), and a token's term is the divergence of the policy's
+    from the reference's, with the reference as what is expected: the sum of
+    p (log p - log ref) over all symbols. Null where either array is null;
+    arrays of unequal length give null terms.
+    """
+    if kind == "full":
+        return F.zip_with(logp, ref, lambda p, q: total(F.zip_with(p, q, lambda x, y: F.exp(x.cast("double")) * (x.cast("double") - y.cast("double")))))
 
     def one(p, q):
         d = p.cast("double") - q.cast("double")
@@ -214,7 +227,7 @@ def kl_terms(logp: Column, ref: Column, kind: str = "kl") -> Column:
         if kind == "mse":
             return d * d * 0.5
         if kind == "low_var_kl":
-            r = F.least(F.greatest(-d, F.lit(-20.0)), F.lit(20.0))
+            r = F.least(F.greatest(-d, F.lit(-10.0)), F.lit(10.0))
             return F.least(F.greatest(F.exp(r) - r - 1, F.lit(-10.0)), F.lit(10.0))
         raise ValueError(f"unknown kind {kind!r}")
 

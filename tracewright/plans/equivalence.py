@@ -192,9 +192,9 @@ def e17_judge_reply(spark, d):
     return table(spark, d, "events").select("event_id", R.judge_yes_no(r).alias("words"), R.judge_yes_no(r, parity=True).alias("parity"), R.judge_three_way(r).alias("three"))
 
 
-@query("SELECT vec_id, round(sqrt(list_sum(list_transform(embedding[1:16], lambda x: x::DOUBLE * x::DOUBLE))), 6) AS norm FROM embeddings")
+@query("SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 6) AS norm FROM embeddings")
 def e18_l2_norm(spark, d):
-    return table(spark, d, "embeddings").select("vec_id", F.round(G.l2_norm(F.slice("embedding", 1, 16)), 6).alias("norm"))
+    return table(spark, d, "embeddings").select("vec_id", F.round(G.l2_norm(F.col("embedding")), 6).alias("norm"))
 
 
 @query("SELECT record_id, 'see <latent>' || ' then ' || '<latent>' || answer AS text FROM cot_records WHERE answer IS NOT NULL")

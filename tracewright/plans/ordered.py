@@ -79,7 +79,9 @@ def w06_zero_backfill(spark, d):
     return W.backfill(rows, ["user_id"], "event_id", "x", "filled").select("user_id", "event_id", "filled")
 
 
-_SEQ = "e AS (SELECT user_id, event_id, value AS r, (event_type <> 'error')::INT AS m, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS i, coalesce(lead(value) OVER (PARTITION BY user_id ORDER BY event_id), 0) / 10 AS nv FROM events WHERE user_id < 25)"
+# The recurrences in closed form: with i counted from the end, what follows a row weighs c^(distance).
+_SEQ = """e AS (SELECT user_id, event_id, value AS r, (event_type <> 'error')::INT AS m, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS i, coalesce(lead(value) OVER (PARTITION BY user_id ORDER BY event_id), 0) / 10 AS nv FROM events),
+ g AS (SELECT user_id, event_id, m, r / 10 AS v, sum((r - r / 10 + 0.9 * nv) * pow(0.72::DOUBLE, -i)) OVER (PARTITION BY user_id ORDER BY i) * pow(0.72::DOUBLE, i) AS a FROM e)"""
 
 
 def _sequences(events):
@@ -88,17 +90,8 @@ def _sequences(events):
     return rows.select("user_id", *(F.transform("s", f).alias(n) for n, f in (("ids", lambda s: s["event_id"]), ("r", lambda s: s["value"]), ("v", lambda s: s["value"] / 10), ("m", lambda s: s["m"]))))
 
 
-@query(
-    f"""WITH RECURSIVE {_SEQ}, g AS (SELECT user_id, event_id, i, r - r / 10 + 0.9 * nv AS a FROM e WHERE i = 1 UNION ALL SELECT e.user_id, e.event_id, e.i, e.r - e.r / 10 + 0.9 * e.nv + 0.9 * 0.8 * g.a FROM g JOIN e ON e.user_id = g.user_id AND e.i = g.i + 1)
- SELECT user_id, event_id, round(g.a, 6) AS advantage, round(g.a + v, 6) AS ret FROM g JOIN (SELECT user_id, event_id, value / 10 AS v FROM events) USING (user_id, event_id)""",
-    name="gae",
-)
+@query(f"WITH {_SEQ} SELECT user_id, event_id, round(a, 6) AS advantage, round(a + v, 6) AS ret FROM g", name="gae")
 def w07_gae(spark, d):
-    return _gae_rows(table(spark, d, "events").where("user_id < 25"))  # as its twin, whose recursion is slow
-
-
-@query(name="gae_all")
-def w07_gae_all(spark, d):
     return _gae_rows(table(spark, d, "events"))
 
 
@@ -108,23 +101,19 @@ def _gae_rows(events):
     return rows.select("user_id", F.col("z.ids").alias("event_id"), R6("z.advantages").alias("advantage"), R6("z.returns").alias("ret"))
 
 
-@query()
+@query(f"WITH {_SEQ}, w AS (SELECT avg(a) AS mean, var_samp(a) AS dev FROM g WHERE m = 1) SELECT user_id, event_id, round((a - mean) / sqrt(dev + 1e-8), 6) AS white FROM g, w")
 def w07_gae_whitened(spark, d):
     out = W.with_gae(_sequences(table(spark, d, "events")), "r", "v", 0.9, 0.8)
-    return W.whiten_arrays(out, "advantages", "m", "white").select("user_id", "white")
+    rows = W.whiten_arrays(out, "advantages", "m", "white").select("user_id", F.explode(F.arrays_zip("ids", "white")).alias("z"))
+    return rows.select("user_id", F.col("z.ids").alias("event_id"), R6("z.white").alias("white"))
 
 
 @query(
-    f"""WITH RECURSIVE {_SEQ}, g AS (SELECT user_id, event_id, i, r AS a, m FROM e WHERE i = 1 UNION ALL SELECT e.user_id, e.event_id, e.i, e.r + 0.95 * g.a * g.m, e.m FROM g JOIN e ON e.user_id = g.user_id AND e.i = g.i + 1)
- SELECT user_id, event_id, round(a + 1e-7, 4) AS ret FROM g""",
+    """WITH e AS (SELECT user_id, event_id, value AS r, row_number() OVER w AS i, coalesce(sum((event_type = 'error')::INT) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cut FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id DESC)),
+ g AS (SELECT user_id, event_id, sum(r * pow(0.95::DOUBLE, -i)) OVER (PARTITION BY user_id, cut ORDER BY i) * pow(0.95::DOUBLE, i) AS a FROM e) SELECT user_id, event_id, round(a + 1e-7, 4) AS ret FROM g""",
     name="discounted_return",
 )
 def w08_discounted_return(spark, d):
-    return _discounted_rows(table(spark, d, "events").where("user_id < 25"))  # as its twin, whose recursion is slow
-
-
-@query(name="discounted_return_all")
-def w08_discounted_return_all(spark, d):
     return _discounted_rows(table(spark, d, "events"))
 
 
@@ -257,9 +246,9 @@ def t10_weighted_mix(spark, d):
     return out.groupBy("ds_name").agg(F.count("*").alias("n"))
 
 
-@query("SELECT problem_id, run_name, pos, score FROM (SELECT DISTINCT problem_id, run_name, unnest(scores[1:5]) AS score, generate_subscripts(scores[1:5], 1) - 1 AS pos FROM search_results)")
+@query("SELECT problem_id, run_name, pos, score FROM (SELECT DISTINCT problem_id, run_name, unnest(scores[1:50]) AS score, generate_subscripts(scores[1:50], 1) - 1 AS pos FROM search_results)")
 def t11_first_scores(spark, d):
-    rows = table(spark, d, "search_results").select("problem_id", "run_name", F.posexplode(K.first_items(F.col("scores"), 5)).alias("pos", "score"))
+    rows = table(spark, d, "search_results").select("problem_id", "run_name", F.posexplode(K.first_items(F.col("scores"), 50)).alias("pos", "score"))
     return rows.withColumn("pos", F.col("pos").cast("long")).distinct()
 
 

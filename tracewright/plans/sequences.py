@@ -77,10 +77,6 @@ def q08_replace_spans(spark, d):
     return rows.select("row_id", TEXT(S.replace_spans(x, 1, 2, 77, 2)).alias("ids"))
 
 
-def _long(spark, d):
-    return _parts(latest(spark, d).where(F.size("ids") >= 10).select("row_id", "ids"))
-
-
 def _whole(spark, d):
     """Whole arrays of any length: the question ends with the first 103, the rest are two steps and the answer."""
     at = F.coalesce(F.array_position("ids", F.lit(103).cast("int")), F.lit(0)).cast("int")
@@ -90,21 +86,16 @@ def _whole(spark, d):
     return rows.select("row_id", "ds_name", F.slice("ids", F.lit(1), F.col("at")).alias("q"), F.array(cut(0, F.col("n")), cut(1, F.col("n"))).alias("steps"), cut(2, rest).alias("a"))
 
 
-def _parts(df):
-    ids = F.col("ids")
-    return df.select("row_id", F.slice(ids, 1, 3).alias("q"), F.array(F.slice(ids, 4, 2), F.slice(ids, 6, 1), F.slice(ids, 7, 2)).alias("steps"), F.slice(ids, 9, 2).alias("a"))
+#: The same in SQL.
+_WHOLE = f"""{_LATEST}, w AS (SELECT row_id, ids, coalesce(list_position(ids, 103), 0) AS h, (len(ids) - coalesce(list_position(ids, 103), 0)) // 3 AS n FROM latest),
+ c AS (SELECT row_id, ids, ids[1:h] AS q, ids[h + 1:h + n] AS s, ids[h + n + 1:h + 2 * n] AS t, ids[h + 2 * n + 1:len(ids)] AS a FROM w)"""
 
 
 @query(
-    f"""WITH {_LATEST}, t AS (SELECT row_id, ids[1:3] || [11, 12, 12, 13] || ids[6:8] || ids[9:10] AS x FROM latest WHERE len(ids) >= 10), u AS (SELECT row_id, ids[1:3] || [11, 12, 12, 12, 12, 12, 12, 13] || ids[9:10] AS x FROM latest WHERE len(ids) >= 10)
- SELECT row_id, {TXT('t.x')} AS ids, {TXT('list_transform(t.x, lambda v, i: CASE WHEN i <= 7 THEN -100 ELSE v END)')} AS labels, len(t.x) - 1 AS last, {TXT('u.x')} AS skipped FROM t JOIN u USING (row_id)"""
+    f"""WITH {_WHOLE}, x AS (SELECT row_id, q || [11, 12, 12, 13] || t || a AS x, len(q) + 4 AS head, q || [11, 12, 12, 12, 12, 13] || a AS z FROM c)
+ SELECT row_id, {TXT('x')} AS ids, {TXT('list_transform(x, lambda v, i: CASE WHEN i <= head THEN -100 ELSE v END)')} AS labels, len(x) - 1 AS last, {TXT('z')} AS skipped FROM x"""
 )
 def q09_staged(spark, d):
-    return _staged(_long(spark, d))
-
-
-@query()
-def q09_staged_whole(spark, d):
     return _staged(_whole(spark, d))
 
 
@@ -115,17 +106,10 @@ def _staged(rows):
 
 
 @query(
-    f"""WITH {_LATEST}, p AS (SELECT row_id, ds_name, ids[1:20] AS ids, coalesce(list_position(ids[1:20], 103), 0) AS place FROM latest), m AS (SELECT *, CASE WHEN place > 0 THEN max(place) OVER (PARTITION BY ds_name) - place ELSE 0 END::INT AS k FROM p)
+    f"""WITH {_LATEST}, p AS (SELECT row_id, ds_name, ids, coalesce(list_position(ids, 103), 0) AS place FROM latest), m AS (SELECT *, CASE WHEN place > 0 THEN max(place) OVER (PARTITION BY ds_name) - place ELSE 0 END::INT AS k FROM p)
  SELECT row_id, {TXT('list_resize([]::INT[], k, 0) || ids')} AS ids, {TXT('list_resize([]::INT[], k, -100) || ids')} AS labels, k + len(ids) AS n FROM m"""
 )
 def q10_align_on_token(spark, d):
-    rows = latest(spark, d).select("row_id", "ds_name", F.slice("ids", 1, 20).alias("ids"), F.slice("ids", 1, 20).alias("lab"))
-    out = B.align_on_token(rows, "ds_name", "ids", 103, {"lab": -100})
-    return out.select("row_id", TEXT("ids").alias("ids"), TEXT("lab").alias("labels"), F.size("position_ids").cast("long").alias("n"))
-
-
-@query()
-def q10_align_on_token_whole(spark, d):
     rows = latest(spark, d).select("row_id", "ds_name", "ids", F.col("ids").alias("lab"))
     out = B.align_on_token(rows, "ds_name", "ids", 103, {"lab": -100})
     return out.select("row_id", TEXT("ids").alias("ids"), TEXT("lab").alias("labels"), F.size("position_ids").cast("long").alias("n"))
@@ -137,34 +121,23 @@ def q11_shrinking_prefixes(spark, d):
     return rows.withColumn("drop", F.col("drop").cast("long"))
 
 
-def _packs(spark, d, ids):
-    rows = latest(spark, d).select(F.floor(F.col("row_id") / 3).alias("pack"), F.struct("row_id", ids.alias("x")).alias("s"))
-    packs = rows.groupBy("pack").agg(F.array_sort(F.collect_list("s")).alias("s"))
-    return packs.select("pack", F.flatten(F.transform("s", lambda t: t["x"])).alias("ids"), F.transform("s", lambda t: F.size(t["x"])).alias("lengths"))
+def _packs(spark, d):
+    rows = latest(spark, d).select(F.floor(F.col("row_id") / 3).alias("pack"), F.struct("row_id", "ids").alias("s"))
+    packs = rows.groupBy("pack").agg(F.array_sort(F.collect_list("s")).alias("s"))  # three samples a pack
+    return packs.select("pack", F.flatten(F.transform("s", lambda t: t["ids"])).alias("ids"), F.transform("s", lambda t: F.size(t["ids"])).alias("lengths"))
 
 
 @query(
-    f"""WITH {_LATEST}, n AS (SELECT row_id // 3 AS pack, len(ids[1:6]) AS n, row_number() OVER (PARTITION BY row_id // 3 ORDER BY row_id) - 1 AS k FROM latest), e AS (SELECT pack, k, unnest(range(n)) AS j FROM n)
+    f"""WITH {_LATEST}, n AS (SELECT row_id // 3 AS pack, len(ids) AS n, row_number() OVER (PARTITION BY row_id // 3 ORDER BY row_id) - 1 AS k FROM latest), e AS (SELECT pack, k, unnest(range(n)) AS j FROM n)
  SELECT pack, string_agg(k::VARCHAR, ',' ORDER BY k, j) AS segments FROM e GROUP BY 1"""
 )
 def q17_segment_ids(spark, d):
-    return _packs(spark, d, F.slice("ids", 1, 6)).select("pack", TEXT(S.segment_ids(F.col("lengths"))).alias("segments"))
-
-
-@query()
-def q17_segment_ids_whole(spark, d):
-    return _packs(spark, d, F.col("ids")).select("pack", TEXT(S.segment_ids(F.col("lengths"))).alias("segments"))
+    return _packs(spark, d).select("pack", TEXT(S.segment_ids(F.col("lengths"))).alias("segments"))
 
 
-@query(f"WITH {_LATEST} SELECT row_id // 3 AS pack, row_number() OVER (PARTITION BY row_id // 3 ORDER BY row_id) - 1 AS segment, {TXT('ids[1:6] || list_resize([]::INT[], greatest(6 - len(ids), 0)::INT, 0)')} AS ids FROM latest")
+@query(f"WITH {_LATEST} SELECT row_id // 3 AS pack, row_number() OVER (PARTITION BY row_id // 3 ORDER BY row_id) - 1 AS segment, {TXT('ids')} AS ids FROM latest")
 def q18_unpack(spark, d):
-    rows = _packs(spark, d, F.slice("ids", 1, 6)).select("pack", F.posexplode(S.unpack(F.col("ids"), F.col("lengths"))).alias("segment", "x"))
-    return rows.select("pack", F.col("segment").cast("long").alias("segment"), TEXT(S.pad(F.col("x"), 6, 0)).alias("ids"))
-
-
-@query()
-def q18_unpack_whole(spark, d):
-    rows = _packs(spark, d, F.col("ids")).select("pack", F.posexplode(S.unpack(F.col("ids"), F.col("lengths"))).alias("segment", "x"))
+    rows = _packs(spark, d).select("pack", F.posexplode(S.unpack(F.col("ids"), F.col("lengths"))).alias("segment", "x"))
     return rows.select("pack", F.col("segment").cast("long").alias("segment"), TEXT("x").alias("ids"))
 
 
@@ -181,27 +154,15 @@ def q20_stream_positions(spark, d):
     return out.select("batch", "row", "segment", F.col("pos").cast("long").alias("pos"), F.col("index").cast("long").alias("index"))
 
 
-@query(f"WITH {_LATEST}, n AS (SELECT row_id, ds_name, ids[1:7] AS x, max(len(ids[1:7])) OVER (PARTITION BY ds_name) AS w FROM latest) SELECT row_id, {TXT('x || list_resize([]::INT[], (w - len(x))::INT, 0)')} AS ids FROM n")
+@query(f"WITH {_LATEST}, n AS (SELECT row_id, ids, max(len(ids)) OVER (PARTITION BY ds_name) AS w FROM latest) SELECT row_id, {TXT('ids || list_resize([]::INT[], (w - len(ids))::INT, 0)')} AS ids FROM n")
 def q21_flatten_steps(spark, d):
-    nested = F.array(F.slice("ids", 1, 3), F.slice("ids", 4, 4))
-    rows = latest(spark, d).select("row_id", "ds_name", nested.alias("nested"))
-    return B.flatten_steps(rows, "ds_name", "nested").select("row_id", TEXT("nested").alias("ids"))
-
-
-@query()
-def q21_flatten_steps_whole(spark, d):
     nested = F.concat(F.array("q"), F.col("steps"), F.array("a"))
     rows = _whole(spark, d).select("row_id", "ds_name", nested.alias("nested"))
     return B.flatten_steps(rows, "ds_name", "nested").select("row_id", TEXT("nested").alias("ids"))
 
 
-@query(f"WITH {_LATEST} SELECT row_id, {TXT('ids[1:5] || [11, 12, 12, 13] || ids[6:10]')} AS ids, {TXT('ids[4:5]')} AS target FROM latest WHERE len(ids) >= 10")
+@query(f"WITH {_WHOLE} SELECT row_id, {TXT('q || s || [11, 12, 12, 13] || t || a')} AS ids, {TXT('s')} AS target FROM c")
 def q22_staged_with_steps(spark, d):
-    return _with_steps(_long(spark, d))
-
-
-@query()
-def q22_staged_with_steps_whole(spark, d):
     return _with_steps(_whole(spark, d))
 
 
@@ -211,15 +172,10 @@ def _with_steps(rows):
 
 
 @query(
-    f"""WITH {_LATEST}, x AS (SELECT row_id, ids[1:10] AS ids FROM latest WHERE len(ids) >= 10), a AS (SELECT *, {_AT([[101, 102]], 2)} AS place FROM x)
- SELECT row_id, {TXT('list_transform(ids, lambda v, i: CASE WHEN i <= 3 THEN -100 ELSE v END)')} AS labels, CASE WHEN place >= 0 THEN place + 2 ELSE -1 END::BIGINT AS answer_at FROM a"""
+    f"""WITH {_WHOLE}, a AS (SELECT row_id, ids, len(q) AS head, {_AT([[101, 102]], 2)} AS place FROM c)
+ SELECT row_id, {TXT('list_transform(ids, lambda v, i: CASE WHEN i <= head THEN -100 ELSE v END)')} AS labels, CASE WHEN place >= 0 THEN place + 2 ELSE -1 END::BIGINT AS answer_at FROM a"""
 )
 def q23_train_row(spark, d):
-    return _train_rows(_long(spark, d))
-
-
-@query()
-def q23_train_row_whole(spark, d):
     return _train_rows(_whole(spark, d))
 
 
