@@ -76,7 +76,7 @@ def test_discounted_return_of_all_users(spark, folder):
 
 
 def test_summary_of_all_records(spark, folder):
-    got = {r.dataset: (r.num_samples, r.num_correct, r.ids) for r in catalog.QUERIES["s17_summary_lines"](spark, folder).collect()}
+    got = {r.dataset: (r.num_samples, r.num_correct, r.ids) for r in catalog.QUERIES["s17_summary_document"](spark, folder).collect()}
     of = {name: [(i, ok) for i, n, ok in RESULTS if n == name] for name in ("svamp", "gsm8k", None)}
     assert got == {n: (len(l), sum(ok for _, ok in l), len({i for i, _ in l})) for n, l in of.items()}
 

@@ -30,9 +30,9 @@ def top_per_group(df: DataFrame, by: Sequence[str], score: str, tie: str, k: int
     return df.withColumn(into, F.row_number().over(w)).where(F.col(into) <= k)
 
 
-def hashed_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
-    """n rows in a seeded random order; the same rows on every run."""
-    return df.orderBy(F.xxhash64(F.lit(seed), key), key).limit(n)
+def hashed_sample(df: DataFrame, key: str, n: int, seed: int = 42, turn: Column | None = None) -> DataFrame:
+    """n rows in a seeded random order, or in that of ``turn``, ties by key; the same rows on every run."""
+    return df.orderBy(F.xxhash64(F.lit(seed), key) if turn is None else turn, key).limit(n)
 
 
 def by_number_in_name(df: DataFrame, name: str, into: str = "number") -> DataFrame:
@@ -72,11 +72,14 @@ def repeat_sampler(df: DataFrame, key: str, total: int, batch: int, repeats: int
     return out.select(key, pos.alias("pos"))
 
 
-def weighted_mix(df: DataFrame, source: str, weights: dict[str, float], key: str, seed: int = 42) -> DataFrame:
-    """Rows kept with their source's weight relative to the largest; a hash of the key decides."""
+def weighted_mix(df: DataFrame, source: str, weights: dict[str, float], key: str, seed: int = 42, turn: Column | None = None) -> DataFrame:
+    """Rows kept with their source's weight relative to the largest; a hash of the key decides, or ``turn``, a number in [0, 1).
+
+    Sources without a weight, null among them, are left out.
+    """
     top = max(weights.values())
     share = F.coalesce(F.create_map(*(F.lit(x) for s, w in weights.items() for x in (s, w / top)))[F.col(source)], F.lit(0.0))
-    return df.where(F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1_000_000)) / 1_000_000 < share)
+    return df.where((F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1_000_000)) / 1_000_000 if turn is None else turn) < share)
 
 
 def scaled_epoch(df: DataFrame, key: str, total: int, length: int) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .tables import small
+from .tables import in_blocks
 
 
 # ------------------------------------------------------------- projections
@@ -54,9 +54,12 @@ def stride_shard(df: DataFrame, key: str, worker: int, workers: int) -> DataFram
     return df.where(F.pmod(F.col(key), F.lit(workers)) == worker)
 
 
-def hash_split(df: DataFrame, key: str, shares: dict[str, float], seed: int = 42, into: str = "split") -> DataFrame:
-    """A reproducible random split without a shuffle: the hash of a row's key decides."""
-    u = F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1_000_000)) / 1_000_000
+def hash_split(df: DataFrame, key: str, shares: dict[str, float], seed: int = 42, into: str = "split", turn: Column | None = None) -> DataFrame:
+    """A reproducible random split without a shuffle: the hash of a row's key decides, or ``turn``, a number in [0, 1).
+
+    Equal keys share a split; a null key has its own hash; an empty table stays empty.
+    """
+    u = F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1_000_000)) / 1_000_000 if turn is None else turn
     total, edge, out = sum(shares.values()), 0.0, None
     for name, share in shares.items():
         edge += share / total
@@ -167,19 +170,41 @@ def judged(rows: DataFrame, api: DataFrame, key: str, rule: str, verdict: str, i
     return rows.join(asked, key, "left").withColumn(into, F.coalesce("_v", rule)).drop("_v")
 
 
-def pick_one(pool: DataFrame, key: str, order: str, seed: int = 42) -> DataFrame:
-    """One row per key, chosen by a seeded hash of the row; partial aggregation, no window."""
+def pick_one(pool: DataFrame, key: str, order: str, seed: int = 42, turn: Column | None = None) -> DataFrame:
+    """One row per key, chosen by a seeded hash of the row or by ``turn``, ties by ``order``; partial aggregation, no window."""
     cols = [c for c in pool.columns if c != key]
-    best = F.min_by(F.struct(*cols), F.struct(F.xxhash64(F.lit(seed), key, order), F.col(order)))
+    best = F.min_by(F.struct(*cols), F.struct(F.xxhash64(F.lit(seed), key, order) if turn is None else turn, F.col(order)))
     return pool.groupBy(key).agg(best.alias("_r")).select(key, *(F.col(f"_r.{c}").alias(c) for c in cols))
 
 
 def nearest_end(starts: Column, ends: Column) -> Column:
-    """Array of struct(start, end): greedy pairs of each start with the next unused end behind it."""
+    """Array of struct(start, end): each start with the first end behind it; starts may share an end.
+
+    Both are ascending arrays of places in one sequence. A start without an
+    end behind it gives no pair, empty arrays give none, null gives null.
+    """
     pairs = F.transform(starts, lambda s: F.struct(s.alias("start"), F.array_min(F.filter(ends, lambda e: e > s)).alias("end")))
     return F.filter(pairs, lambda p: p["end"].isNotNull())
 
 
+def paired_ends(starts: Column, ends: Column) -> Column:
+    """Array of struct(start, end): starts in order, each with the first end behind it that no earlier start has.
+
+    Ends pass by once: one that does not lie behind the first start still
+    waiting is skipped. Places as in ``nearest_end``; equal ones are no pair.
+    """
+    kind = "struct<at int, pairs array<struct<start bigint, end bigint>>>"
+    begin = F.struct(F.lit(0).alias("at"), F.array().alias("pairs")).cast(kind)
+
+    def step(state, end):
+        start = F.try_element_at(starts, state["at"] + 1)
+        pair = F.array(F.struct(start.cast("bigint").alias("start"), end.cast("bigint").alias("end")))
+        taken = F.struct((state["at"] + 1).alias("at"), F.concat(state["pairs"], pair).alias("pairs"))
+        return F.when(start < end, taken).otherwise(state).cast(kind)
+
+    return F.aggregate(ends, begin, step, lambda s: s["pairs"])
+
+
 def overlaps(tokens: DataFrame, spans: DataFrame, group: str) -> DataFrame:
     """Token intervals [s, e) that meet a span [a, b) of their group: one row per pair.
 
@@ -200,11 +225,17 @@ def member_cluster(members: DataFrame, queries: DataFrame, on: Sequence[str], cl
 def best_of_all(rows: DataFrame, facts: DataFrame, key: str, cost: Column, fact: str, tie: str) -> DataFrame:
     """(key, best, cost): the cheapest of all facts for each row, the smaller ``tie`` of equal ones.
 
-    Facts are a short list by nature; each row's pairs collapse in a partial
-    aggregate right behind the join and are never shuffled.
+    Facts are a short list by nature. They are sent out in blocks of at most
+    ``SMALL_ROWS``, and each row keeps the best of a block right there, so
+    pairs are never shuffled. A row whose costs are all null, and any row
+    where there are no facts, has no best and is left out.
     """
-    pairs = rows.crossJoin(small(facts)).withColumn("_c", cost)
-    return pairs.groupBy(key).agg(F.min_by(fact, F.struct("_c", tie)).alias("best"), F.min("_c").alias("cost"))
+    best = None
+    for block in in_blocks(facts, tie):
+        one = rows.crossJoin(F.broadcast(block)).withColumn("_c", cost).where("_c is not null")  # a block of facts
+        one = one.groupBy(key).agg(F.min(F.struct("_c", F.col(tie).alias("_t"), F.col(fact).alias("_f"))).alias("_b"))
+        best = one if best is None else best.unionByName(one)
+    return best.groupBy(key).agg(F.min("_b").alias("_b")).select(key, F.col("_b._f").alias("best"), F.col("_b._c").alias("cost"))
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str | Sequence[str], latest: str) -> DataFrame:
@@ -217,8 +248,16 @@ def upsert(old: DataFrame, new: DataFrame, key: str | Sequence[str], latest: str
 
 
 def dense_grid(cells: DataFrame, rows: DataFrame, columns: DataFrame, row: str, column: str, value: str, fill: Column) -> DataFrame:
-    """Every (row, column) cell; absent ones get ``fill``. The grid is the result: rows times columns."""
-    grid = rows.select(row).distinct().crossJoin(small(columns.select(column).distinct()))
+    """Every (row, column) cell; absent ones get ``fill``.
+
+    The grid is the result: rows times columns. Columns are sent out in blocks
+    of at most ``SMALL_ROWS``; null is a row or column like any other, but no
+    cell of one is ever found. Either side empty gives an empty grid.
+    """
+    every, grid = rows.select(row).distinct(), None
+    for block in in_blocks(columns.select(column).distinct(), column):
+        one = every.crossJoin(F.broadcast(block))  # a block of columns
+        grid = one if grid is None else grid.unionByName(one)
     return grid.join(cells.select(row, column, value), [row, column], "left").withColumn(value, F.coalesce(value, fill))
 
 

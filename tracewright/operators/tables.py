@@ -74,6 +74,18 @@ def release(*tables: DataFrame) -> None:
             _remove(t.sparkSession, path)
 
 
+def in_blocks(df: DataFrame, key: str, most: int = SMALL_ROWS) -> list[DataFrame]:
+    """``df`` in parts of about ``most`` rows or less, by a hash of ``key``; one part if it is that small.
+
+    Parts are what may be broadcast one at a time; all rows are in one of them.
+    """
+    n = df.count()
+    if n <= most:
+        return [df]
+    parts = -(-2 * n // most)  # half full on average, so that hardly any exceeds it
+    return [df.where(F.pmod(F.xxhash64(key), F.lit(parts)) == i) for i in range(parts)]
+
+
 def small(df: DataFrame, most: int = SMALL_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``most`` rows, else as it is.
 

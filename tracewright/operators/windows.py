@@ -12,15 +12,22 @@ from pyspark.sql import functions as F
 from .tables import materialise
 
 
+def _with_stats(df: DataFrame, group: str, *stats: Column) -> DataFrame:
+    """``df`` with aggregates of each row's group; partial sums are what is shuffled on the group."""
+    sums = df.groupBy(F.col(group).alias("_group")).agg(*stats)
+    return df.join(sums, F.col(group).eqNullSafe(F.col("_group"))).drop("_group")
+
+
 def group_advantage(df: DataFrame, group: str, score: str, into: str = "advantage", eps: float = 1e-6, inside: bool = False, single: str = "error", scale: bool = True) -> DataFrame:
     """(score - mean) / (sample deviation + eps) within groups.
 
     ``single``: groups of one row are an error, dropped, or given 0. ``inside``
     puts eps under the root: sqrt(var + eps). Without ``scale`` only the mean
-    is subtracted. One shuffle on the group serves mean, deviation and count.
+    is subtracted. Rows of a null group are a group. The moments are aggregated
+    before they are shuffled and joined back, so a group that holds a third of
+    all rows is no single task.
     """
-    w = Window.partitionBy(group)
-    out = df.withColumn("_n", F.count("*").over(w)).withColumn("_m", F.avg(score).over(w)).withColumn("_s", F.stddev_samp(score).over(w))
+    out = _with_stats(df, group, F.count("*").alias("_n"), F.avg(score).alias("_m"), F.stddev_samp(score).alias("_s"))
     if single == "drop":
         out = out.where("_n > 1")
     below = F.sqrt(F.col("_s") * F.col("_s") + eps) if inside else F.col("_s") + eps
@@ -39,10 +46,8 @@ def fixed_groups(df: DataFrame, row: str, size: int, into: str = "group") -> Dat
 
 
 def leave_one_out(df: DataFrame, group: str, score: str, into: str = "advantage") -> DataFrame:
-    """Score minus the mean of the others of its group; groups of one row are dropped."""
-    w = Window.partitionBy(group)
-    n, total = F.count("*").over(w), F.sum(score).over(w)
-    out = df.withColumn("_n", n).withColumn("_t", total).where("_n > 1")
+    """Score minus the mean of the others of its group; groups of one row are dropped, null is a group."""
+    out = _with_stats(df, group, F.count("*").alias("_n"), F.sum(score).alias("_t")).where("_n > 1")
     return out.withColumn(into, F.col(score) - (F.col("_t") - F.col(score)) / (F.col("_n") - 1)).drop("_n", "_t")
 
 

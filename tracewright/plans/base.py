@@ -30,6 +30,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+# A number in [0, 1) for each value of a column, the same in both dialects: the first 32 bits of its digest.
+def turn(column: str):
+    return F.conv(F.substring(F.md5(F.concat(F.lit("42|"), F.col(column).cast("string")).cast("binary")), 1, 8), 16, 10).cast("double") / 4294967296
+
+
+def turn_sql(column: str) -> str:
+    return f"('0x' || substr(md5('42|' || {column}), 1, 8))::BIGINT / 4294967296.0::DOUBLE"
+
+
 # A response of each of eight forms per record; valid in both dialects.
 LETTER = "substr('ABCDE', cast(1 + record_id % 5 as int), 1)"
 RESPONSE = f"""CASE record_id % 8

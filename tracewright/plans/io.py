@@ -21,34 +21,35 @@ def _qa(spark, d):
     return table(spark, d, "cot_records").where("answer is not null and steps is not null").select("record_id", "question", "answer", "steps")
 
 
-def _array_file(df, path: str) -> str:
-    """Rows as one JSON array, the layout of question sets."""
-    doc = df.agg(F.to_json(F.array_sort(F.collect_list(F.struct(*df.columns)))).alias("value"))
-    W.document(doc, path)
+def _array_files(df, path: str) -> str:
+    """Rows as JSON arrays, the layout of question sets: a document of a thousand ids each, in the order of their names."""
+    block = F.format_string("%09d", F.floor(F.col("record_id") / 1000).cast("long"))
+    docs = df.groupBy(block.alias("block")).agg(F.to_json(F.array_sort(F.collect_list(F.struct(*df.columns)))).alias("value"))
+    docs.write.partitionBy("block").text(path)
     return path
 
 
 _SMALL = "record_id < 60 AND answer IS NOT NULL AND steps IS NOT NULL"
 
 
-@query(f"SELECT question, round({LAST_NUMBER('answer')}, 6) AS gold, array_to_string(steps, chr(10)) AS cot FROM cot_records WHERE dataset = 'svamp' AND answer IS NOT NULL AND steps IS NOT NULL")
+_PLACED = "SELECT *, row_number() OVER (ORDER BY record_id) - 1 AS id FROM cot_records WHERE answer IS NOT NULL AND steps IS NOT NULL"
+
+
+@query(f"SELECT id, question, round({LAST_NUMBER('answer')}, 6) AS gold, array_to_string(steps, chr(10)) AS cot FROM ({_PLACED})")
 def s01_question_set(spark, d):
-    rows = table(spark, d, "cot_records").where("dataset = 'svamp' and answer is not null and steps is not null").select("question", "answer", "steps")
-    path = _array_file(rows, _place(spark, "qa"))
-    return R.question_set(spark, path, joined=True).select("question", F.round("gold", 6).alias("gold"), "cot")
+    path = _array_files(_qa(spark, d), _place(spark, "qa"))
+    return R.question_set(spark, path, joined=True).select("id", "question", F.round("gold", 6).alias("gold"), "cot")
 
 
-@query(rf"SELECT question, CASE WHEN contains(answer, '####') THEN coalesce(try_cast(nullif(regexp_extract(replace(answer, ',', ''), '####\s*([\d.\-]+)', 1), '') AS DOUBLE), {LAST_NUMBER('answer')}) ELSE {LAST_NUMBER('answer')} END AS gold FROM cot_records WHERE dataset = 'gsm_hard' AND answer IS NOT NULL AND steps IS NOT NULL")
+@query(rf"SELECT id, question, CASE WHEN contains(answer, '####') THEN coalesce(try_cast(nullif(regexp_extract(replace(answer, ',', ''), '####\s*([\d.\-]+)', 1), '') AS DOUBLE), {LAST_NUMBER('answer')}) ELSE {LAST_NUMBER('answer')} END AS gold FROM ({_PLACED})")
 def s02_question_set_profile(spark, d):
-    rows = table(spark, d, "cot_records").where("dataset = 'gsm_hard' and answer is not null and steps is not null").select("question", "answer", "steps")
-    path = _array_file(rows, _place(spark, "qa"))
-    return R.question_set(spark, path, "hash_then_number").select("question", "gold")
+    path = _array_files(_qa(spark, d), _place(spark, "qa"))
+    return R.question_set(spark, path, "hash_then_number").select("id", "question", "gold")
 
 
-@query("SELECT question, array_to_string(steps, chr(10)) AS cot FROM cot_records WHERE dataset = 'multiarith' AND answer IS NOT NULL AND steps IS NOT NULL")
+@query(f"SELECT id, question, array_to_string(steps, chr(10)) AS cot FROM ({_PLACED})")
 def s03_question_set_with_steps(spark, d):
-    rows = table(spark, d, "cot_records").where("dataset = 'multiarith' and answer is not null and steps is not null").select("question", "answer", "steps")
-    return R.question_set(spark, _array_file(rows, _place(spark, "qa")), joined=True).select("question", "cot")
+    return R.question_set(spark, _array_files(_qa(spark, d), _place(spark, "qa")), joined=True).select("id", "question", "cot")
 
 
 @query("SELECT record_id, question, answer FROM cot_records WHERE answer IS NOT NULL AND steps IS NOT NULL")
@@ -171,29 +172,15 @@ def s16_decoded(spark, d):
     return table(spark, d, "events").select("event_id", R.decoded(url).cast("string").alias("text"))
 
 
-@query("SELECT dataset, count(*) AS num_samples, count(*) FILTER (correct) AS num_correct, count(DISTINCT record_id) AS ids FROM sample_results WHERE record_id < 400 GROUP BY 1")
+@query("SELECT dataset, count(*) AS num_samples, count(*) FILTER (correct) AS num_correct, count(DISTINCT record_id) AS ids FROM sample_results GROUP BY 1")
 def s17_summary_document(spark, d):
-    rows = table(spark, d, "sample_results").where("record_id < 400")
-    summary = rows.groupBy("dataset").agg(F.count("*").alias("num_samples"), F.count_if("correct").alias("num_correct"))
-    path = _place(spark, "summary")
-    W.document(W.summary_document(summary, rows.select("dataset", F.col("record_id").alias("id"), "correct"), "dataset"), path)
-    kind = "summary map<string, struct<num_samples: bigint, num_correct: bigint>>, samples map<string, array<struct<id: bigint, correct: boolean>>>"
-    doc = spark.read.text(path).select(F.from_json("value", kind).alias("d"))
-    top = doc.select(F.explode("d.summary").alias("dataset", "s")).select("dataset", "s.*")
-    ids = doc.select(F.explode("d.samples").alias("dataset", "l")).select("dataset", F.explode("l").alias("x")).groupBy("dataset").agg(F.count_distinct("x.id").alias("ids"))
-    return top.join(ids, "dataset")
-
-
-@query()
-def s17_summary_lines(spark, d):
-    """The same of all records: the summary and the samples as lines, so that no value grows with the table."""
+    """The summary and its samples, read back."""
     rows = table(spark, d, "sample_results")
     summary = rows.groupBy("dataset").agg(F.count("*").alias("num_samples"), F.count_if("correct").alias("num_correct"))
-    tops, samples = _place(spark, "summary"), _place(spark, "samples")
-    W.json_lines(summary, tops)
-    W.json_lines(rows.select("dataset", F.col("record_id").alias("id"), "correct"), samples)
-    ids = R.lines(spark, samples, "dataset string, id bigint, correct boolean").groupBy("dataset").agg(F.count_distinct("id").alias("ids"))
-    top = R.lines(spark, tops, "dataset string, num_samples bigint, num_correct bigint")
+    path = _place(spark, "summary")
+    W.summary_lines(summary, rows.select("dataset", F.col("record_id").alias("id"), "correct"), path)
+    ids = R.lines(spark, f"{path}/samples", "dataset string, id bigint, correct boolean").groupBy("dataset").agg(F.count_distinct("id").alias("ids"))
+    top = R.lines(spark, f"{path}/summary", "dataset string, num_samples bigint, num_correct bigint")
     return top.join(ids.withColumnRenamed("dataset", "_dataset"), F.col("dataset").eqNullSafe(F.col("_dataset"))).drop("_dataset")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import ranking as K
 from ..operators import windows as W
-from .base import query, table
+from .base import query, table, turn, turn_sql
 
 R6 = lambda c: F.round(c, 6)
 
@@ -202,9 +202,10 @@ def t03_histogram_topk(spark, d):
     return K.top_per_group(counts, ["p_brand"], "n", "p_type", 5)
 
 
-@query()
+@query(f"SELECT model_output FROM (SELECT DISTINCT model_output FROM sample_results WHERE model_output IS NOT NULL) ORDER BY {turn_sql('model_output')}, 1 LIMIT 20")
 def t04_logging_sample(spark, d):
-    return K.hashed_sample(table(spark, d, "sample_results").where("model_output is not null").select("model_output").distinct(), "model_output", 20)
+    rows = table(spark, d, "sample_results").where("model_output is not null").select("model_output").distinct()
+    return K.hashed_sample(rows, "model_output", 20, turn=turn("model_output"))
 
 
 @query("SELECT n_name, 24 - n_nationkey AS pos FROM nation")
@@ -240,9 +241,9 @@ def t09_repeat_sampler(spark, d):
     return out.agg(F.count("*").alias("n"), F.count_distinct("pos").alias("n_pos"), F.min("pos").alias("first"), F.max("pos").alias("last"), F.count_distinct("n_nationkey").alias("n_keys"))
 
 
-@query()
+@query(f"SELECT ds_name, count(*) AS n FROM packed_inputs WHERE {turn_sql('row_id')} < CASE ds_name WHEN 'chart_steps' THEN 1.0 WHEN 'visual_cot' THEN 0.5 WHEN 'region_crops' THEN 0.25 ELSE 0 END GROUP BY 1")
 def t10_weighted_mix(spark, d):
-    out = K.weighted_mix(table(spark, d, "packed_inputs"), "ds_name", {"chart_steps": 2.0, "visual_cot": 1.0, "region_crops": 0.5}, "row_id")
+    out = K.weighted_mix(table(spark, d, "packed_inputs"), "ds_name", {"chart_steps": 2.0, "visual_cot": 1.0, "region_crops": 0.5}, "row_id", turn=turn("row_id"))
     return out.groupBy("ds_name").agg(F.count("*").alias("n"))
 
 

@@ -6,10 +6,12 @@ belongs to the training-data problems.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import relational as R
-from .base import query, table
+from .base import query, table, turn, turn_sql
 
 
 @query("SELECT o_orderkey, o_custkey, o_orderstatus FROM orders")
@@ -136,9 +138,9 @@ def sel_p15_letter_test(spark, d):
     )
 
 
-@query()
+@query(f"SELECT record_id, CASE WHEN u < 0.8 THEN 'train' WHEN u < 0.8 + 0.1 THEN 'val' ELSE 'test' END AS split FROM (SELECT record_id, {turn_sql('record_id')} AS u FROM cot_records)")
 def sel_p16_hash_split(spark, d):
-    return R.hash_split(table(spark, d, "cot_records").select("record_id"), "record_id", {"train": 0.8, "val": 0.1, "test": 0.1})
+    return R.hash_split(table(spark, d, "cot_records").select("record_id"), "record_id", {"train": 0.8, "val": 0.1, "test": 0.1}, turn=turn("record_id"))
 
 
 # -------------------------------------------------------------------- joins
@@ -181,12 +183,19 @@ def j05_union_columns(spark, d):
     return R.union_columns(left, right, "o_orderkey", exempt=["o_orderstatus"])
 
 
-@query("SELECT item_id, CASE WHEN item_id % 3 = 0 THEN 'a/' || item_id || '.png' ELSE 'b/' || item_id || '.png' END AS path FROM eval_items")
+@query("SELECT item_id, CASE WHEN item_id % 3 = 0 THEN 'swept/item_id=' || item_id ELSE 'plain/' || item_id END AS path FROM eval_items")
 def j06_path_fallback(spark, d):
-    """Preferred path where the listing has it, else the fallback."""
-    rows = table(spark, d, "eval_items").select("item_id", F.expr("'a/' || item_id || '.png'").alias("want"), F.expr("'b/' || item_id || '.png'").alias("other"))
-    listing = rows.where("item_id % 3 = 0").select(F.col("want").alias("have"))
-    return rows.join(listing, F.col("want") == F.col("have"), "left").select("item_id", F.coalesce("have", "other").alias("path"))
+    """Preferred path where a listing of the sweep's folder has it, else the fallback; no file is opened."""
+    from ..operators.tables import shared_dir
+    from ..sources.readers import listing, with_existing
+
+    root = f"{shared_dir(spark)}/sweep-{uuid.uuid4().hex}"
+    items = table(spark, d, "eval_items")
+    # One folder with its file per swept item.
+    items.where("item_id % 3 = 0").select("item_id", F.lit("png").alias("value")).write.partitionBy("item_id").text(f"{root}/swept")
+    files = listing(spark, f"{root}/swept").select(F.regexp_extract("path", r"(swept/item_id=\d+)/[^/]*$", 1).alias("have"))
+    rows = items.select("item_id", F.expr("'swept/item_id=' || item_id").alias("want"), F.expr("'plain/' || item_id").alias("other"))
+    return with_existing(rows, "want", "other", files, "have").select("item_id", "path")
 
 
 @query("SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey")
@@ -232,21 +241,41 @@ def j12_fallback_judge(spark, d):
     return R.judged(rows, api, "record_id", "rule", "verdict", "score").select("record_id", "score")
 
 
-@query()
+@query(f"SELECT o_custkey, arg_min(o_orderkey, u) AS o_orderkey, arg_min(o_totalprice, u) AS o_totalprice FROM (SELECT *, {turn_sql('o_orderkey')} AS u FROM orders) GROUP BY 1")
 def j13_pick_one(spark, d):
     pool = table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
-    return R.pick_one(pool, "o_custkey", "o_orderkey")
+    return R.pick_one(pool, "o_custkey", "o_orderkey", turn=turn("o_orderkey"))
+
+
+_MARKS = "t AS (SELECT row_id, ingested_at, x, i FROM (SELECT row_id, ingested_at, unnest(input_ids) AS x, generate_subscripts(input_ids, 1)::BIGINT AS i FROM packed_inputs) WHERE x IN (101, 102, 103))"
+
+
+def _marked(spark, d):
+    """The places of opening and closing marks within each token array."""
+    at = lambda keep: F.filter(F.transform("input_ids", lambda x, i: F.when(keep(x), i.cast("bigint") + 1)), lambda p: p.isNotNull())
+    rows = table(spark, d, "packed_inputs")
+    return rows.select("row_id", F.unix_micros("ingested_at").alias("ingested"), at(lambda x: x == 101).alias("st"), at(lambda x: x.isin(102, 103)).alias("en"))
+
+
+@query(f"WITH {_MARKS} SELECT s.row_id, epoch_us(s.ingested_at) AS ingested, s.i AS start, min(e.i) AS stop FROM t s JOIN t e ON s.row_id = e.row_id AND s.ingested_at = e.ingested_at AND s.x = 101 AND e.x <> 101 AND e.i > s.i GROUP BY ALL")
+def j14_nearest_end(spark, d):
+    """The profile in which starts may share an end."""
+    pairs = _marked(spark, d).select("row_id", "ingested", F.explode(R.nearest_end(F.col("st"), F.col("en"))).alias("p"))
+    return pairs.select("row_id", "ingested", "p.start", F.col("p.end").alias("stop"))
 
 
 @query(
-    """WITH e AS (SELECT user_id, list(event_id ORDER BY event_id) FILTER (event_type = 'click') AS st, list(event_id ORDER BY event_id) FILTER (event_type = 'purchase') AS en FROM events GROUP BY 1),
- x AS (SELECT user_id, unnest(st) AS start, en FROM e) SELECT user_id, start, list_min(list_filter(en, lambda z: z > start)) AS stop FROM x WHERE list_min(list_filter(en, lambda z: z > start)) IS NOT NULL"""
+    f"""WITH {_MARKS}, w AS (SELECT *, sum(CASE WHEN x = 101 THEN 1 ELSE -1 END) OVER o AS walk FROM t WINDOW o AS (PARTITION BY row_id, ingested_at ORDER BY i)),
+ k AS (SELECT *, greatest(0, -min(walk) OVER o) AS skipped FROM w WINDOW o AS (PARTITION BY row_id, ingested_at ORDER BY i)),
+ u AS (SELECT *, skipped = coalesce(lag(skipped) OVER (PARTITION BY row_id, ingested_at ORDER BY i), 0) AS used FROM k),
+ s AS (SELECT row_id, ingested_at, i, row_number() OVER (PARTITION BY row_id, ingested_at ORDER BY i) AS r FROM u WHERE x = 101),
+ e AS (SELECT row_id, ingested_at, i, row_number() OVER (PARTITION BY row_id, ingested_at ORDER BY i) AS r FROM u WHERE x <> 101 AND used)
+ SELECT row_id, epoch_us(ingested_at) AS ingested, s.i AS start, e.i AS stop FROM s JOIN e USING (row_id, ingested_at, r)"""
 )
-def j14_nearest_end(spark, d):
-    at = lambda kind: F.array_sort(F.collect_list(F.when(F.col("event_type") == kind, F.col("event_id"))))
-    rows = table(spark, d, "events").groupBy("user_id").agg(at("click").alias("st"), at("purchase").alias("en"))
-    pairs = rows.select("user_id", F.explode(R.nearest_end(F.col("st"), F.col("en"))).alias("p"))
-    return pairs.select("user_id", "p.start", F.col("p.end").alias("stop"))
+def j14_paired_ends(spark, d):
+    """The profile in which a pair uses its end up."""
+    pairs = _marked(spark, d).select("row_id", "ingested", F.explode(R.paired_ends(F.col("st"), F.col("en"))).alias("p"))
+    return pairs.select("row_id", "ingested", "p.start", F.col("p.end").alias("stop"))
 
 
 @query("SELECT r.record_id, coalesce(s.prefix, r.dataset) AS dataset, s.prefix IS NOT NULL AS rewritten FROM cot_records r LEFT JOIN (SELECT record_id, min(prefix) AS prefix FROM search_results GROUP BY 1) s USING (record_id)")

@@ -188,10 +188,11 @@ def _train_rows(rows):
 
 
 def _batched(spark, d):
-    return table(spark, d, "documents").select((F.col("doc_id") % 10).alias("batch"), "doc_id", "n_chars")
+    """Batches of a hundred documents, however many there are."""
+    return table(spark, d, "documents").select(F.floor((F.col("doc_id") - 1) / 100).alias("batch"), "doc_id", "n_chars")
 
 
-@query("SELECT doc_id % 10 AS batch, 4 AS parts, count(*) AS n, sum(n_chars)::BIGINT AS total, true AS tight FROM documents GROUP BY 1", name="balance_kk")
+@query("SELECT (doc_id - 1) // 100 AS batch, 4 AS parts, count(*) AS n, sum(n_chars)::BIGINT AS total, true AS tight FROM documents GROUP BY 1", name="balance_kk")
 def b01_balance_kk(spark, d):
     """Tight: no part beyond the mean by more than the largest item."""
     out = P.balance(_batched(spark, d), "batch", "doc_id", "n_chars", 4)
@@ -200,19 +201,24 @@ def b01_balance_kk(spark, d):
     return sums.groupBy("batch").agg(F.count("*").cast("int").alias("parts"), F.sum("c").alias("n"), F.sum("s").alias("total"), tight.alias("tight"))
 
 
-@query()
+@query(
+    """WITH RECURSIVE o AS (SELECT (doc_id - 1) // 100 AS batch, doc_id, n_chars, row_number() OVER (PARTITION BY (doc_id - 1) // 100 ORDER BY doc_id) AS i FROM documents),
+ p AS (SELECT batch, i, doc_id, n_chars, 1::BIGINT AS part, [n_chars, 0, 0, 0] AS loads FROM o WHERE i = 1
+ UNION ALL SELECT o.batch, o.i, o.doc_id, o.n_chars, list_position(loads, list_min(loads))::BIGINT, list_transform(loads, lambda x, j: CASE WHEN j = list_position(loads, list_min(loads)) THEN x + o.n_chars ELSE x END) FROM p JOIN o ON o.batch = p.batch AND o.i = p.i + 1)
+ SELECT batch, doc_id, n_chars, (part - 1)::INT AS part FROM p"""
+)
 def b02_least_loaded(spark, d):
     return P.balance(_batched(spark, d), "batch", "doc_id", "n_chars", 4, method="least_loaded")
 
 
-@query("SELECT doc_id % 10 AS batch, 5 AS parts, count(*) // 5 AS least, count(*) // 5 AS most FROM documents GROUP BY 1")
+@query("SELECT (doc_id - 1) // 100 AS batch, 5 AS parts, count(*) // 5 AS least, count(*) // 5 AS most FROM documents GROUP BY 1")
 def b03_equal_parts(spark, d):
     out = P.balance(_batched(spark, d), "batch", "doc_id", "n_chars", 5, equal=True)
     sizes = out.groupBy("batch", "part").agg(F.count("*").alias("c"))
     return sizes.groupBy("batch").agg(F.count("*").cast("int").alias("parts"), F.min("c").alias("least"), F.max("c").alias("most"))
 
 
-@query("SELECT doc_id % 10 AS batch, least(count(*), greatest(1, ceil(sum(n_chars) / 30000)))::BIGINT AS parts, count(*) AS n FROM documents GROUP BY 1")
+@query("SELECT (doc_id - 1) // 100 AS batch, least(count(*), greatest(1, ceil(sum(n_chars) / 30000)))::BIGINT AS parts, count(*) AS n FROM documents GROUP BY 1")
 def b04_micro_batches(spark, d):
     out = P.micro_batches(_batched(spark, d), "batch", "doc_id", "n_chars", 30000)
     return out.groupBy("batch").agg(F.count_distinct("part").alias("parts"), F.count("*").alias("n"))
@@ -223,14 +229,16 @@ def b05_inverse_order(spark, d):
     return P.inverse_order(table(spark, d, "nation").select(F.col("n_nationkey").alias("index"), (F.lit(24) - F.col("n_nationkey")).alias("pos")))
 
 
-@query("SELECT doc_id % 10 AS batch, count(*) AS n, count(*) - 1 AS last, true AS permutation FROM documents GROUP BY 1")
+@query("SELECT (doc_id - 1) // 100 AS batch, count(*) AS n, count(*) - 1 AS last, true AS permutation FROM documents GROUP BY 1")
 def b06_balanced_order(spark, d):
     order = P.balanced_order(P.balance(_batched(spark, d), "batch", "doc_id", "n_chars", 4), "batch", "doc_id")
     return order.groupBy("batch").agg(F.count("*").alias("n"), F.max("pos").cast("long").alias("last"), (F.count_distinct("pos") == F.count("*")).alias("permutation"))
 
 
 def _first_fit(spark, d):
-    return P.pack_first_fit(latest(spark, d), "ds_name", "row_id", "ids", 1024, 4, 512, 32, uncut=(30100,))
+    """Shards of at most 500 samples of one set."""
+    shard = F.concat("ds_name", F.lit("/"), F.floor((F.col("row_id") - 1) / 500))
+    return P.pack_first_fit(latest(spark, d).withColumn("shard", shard), "shard", "row_id", "ids", 1024, 4, 512, 32, uncut=(30100,))
 
 
 @query(name="pack_first_fit")
@@ -245,24 +253,35 @@ def b07_pack_first_fit(spark, d):
 def b08_pack_rules(spark, d):
     """Every sample is placed once unless its cut is forbidden, and no pack breaks a limit."""
     out = _first_fit(spark, d)
-    packs = out.groupBy("ds_name", "pack").agg(F.count("*").alias("n"), F.sum("size").alias("t"))
+    packs = out.groupBy(F.substring_index("shard", "/", 1).alias("ds_name"), "shard", "pack").agg(F.count("*").alias("n"), F.sum("size").alias("t"))
     return packs.groupBy("ds_name").agg(F.sum("n").alias("placed"), F.sum("t").alias("tokens"), F.bool_and((F.col("t") <= 1024) & (F.col("n") <= 4)).alias("fits"))
 
 
 # ----------------------------------------------------------------- clusters
 
 
-@query()
+def _sampled(spark, d):
+    """Samples of twenty steps."""
+    return table(spark, d, "embeddings").withColumn("sample", F.floor(F.col("vec_id") / 20))
+
+
+@query(
+    """WITH RECURSIVE e AS (SELECT vec_id // 20 AS sample, vec_id, list_transform(embedding, lambda v: v::DOUBLE) AS v, row_number() OVER (PARTITION BY vec_id // 20 ORDER BY vec_id) AS i FROM embeddings),
+ c AS (SELECT sample, i, vec_id, 0::BIGINT AS cluster_id, [v] AS reps FROM e WHERE i = 1
+ UNION ALL SELECT sample, i, vec_id, CASE WHEN list_max(near) > 0.1 THEN list_position(near, list_max(near)) - 1 ELSE len(reps) END::BIGINT, CASE WHEN list_max(near) > 0.1 THEN reps ELSE list_append(reps, v) END
+  FROM (SELECT e.*, c.reps, list_transform(c.reps, lambda r: list_dot_product(r, e.v)) AS near FROM c JOIN e ON e.sample = c.sample AND e.i = c.i + 1))
+ SELECT sample, vec_id, cluster_id FROM c"""
+)
 def c01_leader_cluster(spark, d):
-    return C.leader_cluster(table(spark, d, "embeddings"), "label", "vec_id", "embedding", 0.3, "first")
+    return C.leader_cluster(_sampled(spark, d), "sample", "vec_id", "embedding", 0.1, "first")
 
 
 @query()
 def c01_leader_cluster_modes(spark, d):
-    rows = table(spark, d, "embeddings")
+    rows = _sampled(spark, d)
     out = None
     for mode in C.REPRESENTATIVES:
-        one = C.leader_cluster(rows, "label", "vec_id", "embedding", 0.3, mode).groupBy("label").agg(F.count_distinct("cluster_id").alias("n_clusters"))
+        one = C.leader_cluster(rows, "sample", "vec_id", "embedding", 0.1, mode).groupBy("sample").agg(F.count_distinct("cluster_id").alias("n_clusters"))
         one = one.withColumn("mode", F.lit(mode))
         out = one if out is None else out.unionByName(one)
     return out
@@ -275,9 +294,9 @@ def c02_cluster_correctness(spark, d):
 
 
 @query(
-    """WITH e AS (SELECT label, vec_id, list_transform(embedding, lambda v: v::DOUBLE) AS v FROM embeddings) SELECT x.label, x.vec_id AS a, y.vec_id AS b, round(list_dot_product(x.v, y.v), 6) AS similarity
- FROM e x JOIN e y ON x.label = y.label AND x.vec_id < y.vec_id AND list_dot_product(x.v, y.v) > 0.2"""
+    """WITH e AS (SELECT vec_id // 20 AS sample, vec_id, list_transform(embedding, lambda v: v::DOUBLE) AS v FROM embeddings) SELECT x.sample, x.vec_id AS a, y.vec_id AS b, round(list_dot_product(x.v, y.v), 6) AS similarity
+ FROM e x JOIN e y ON x.sample = y.sample AND x.vec_id < y.vec_id AND list_dot_product(x.v, y.v) > 0.1"""
 )
 def j11_similar_pairs(spark, d):
-    out = C.similar_pairs(table(spark, d, "embeddings"), "label", "vec_id", "embedding", 0.2)
+    out = C.similar_pairs(_sampled(spark, d), "sample", "vec_id", "embedding", 0.1)
     return out.withColumn("similarity", F.round("similarity", 6))

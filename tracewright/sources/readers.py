@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.answers import label, number
@@ -28,13 +28,20 @@ RESULT = (
 
 
 def question_set(spark: SparkSession, path: str, profile: str = "last_number", joined: bool = False) -> DataFrame:
-    """A JSON array of questions with the gold answer as a double; ``joined`` adds the steps as one text.
+    """JSON arrays of questions with the gold answer as a double; ``joined`` adds the steps as one text.
 
-    Rows carry the file and their place in it, which is their id: JSON has no
-    other, and one document is one task's work.
+    ``path`` is a document or a folder of them, read as one set. ``file`` is a
+    row's document, ``place`` its place in it, and ``id`` its place in the
+    whole set, documents in the order of their paths: unique and dense from 0.
+    A document is one task's work; an empty one has no rows, a null answer no gold.
     """
-    rows = spark.read.option("multiLine", True).schema(QA).json(path)
-    rows = rows.withColumn("id", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    rows = spark.read.option("multiLine", True).option("recursiveFileLookup", True).schema(QA).json(path)
+    rows = rows.withColumn("file", F.col("_metadata.file_path")).withColumn("_m", F.monotonically_increasing_id())
+    # Rows of a document are read in order by one task.
+    rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("file").orderBy("_m")).cast("long") - 1).drop("_m")
+    sizes = spark.read.option("multiLine", True).option("recursiveFileLookup", True).schema(QA).json(path).groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count("*").alias("_n"))
+    before = sizes.select("file", (F.sum("_n").over(Window.orderBy("file")) - F.col("_n")).alias("_before"))  # a row per document
+    rows = rows.join(before, "file").withColumn("id", F.col("_before") + F.col("place")).drop("_before")
     rows = rows.withColumn("gold", number("answer", profile))
     return rows.withColumn("cot", F.array_join("steps", "\n")) if joined else rows
 
@@ -135,6 +142,12 @@ def decoded(data_url: Column) -> Column:
     return F.unbase64(F.regexp_replace(data_url, r"^data:[^,]*,", ""))
 
 
+def listing(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
+    """(path, length) of the files below a folder whose names match; their content is not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
+    return files.load(folder).select("path", "length")
+
+
 def with_existing(rows: DataFrame, path: str, fallback: str, listing: DataFrame, listed: str, into: str = "path") -> DataFrame:
     """The preferred path where a listing has it, else the fallback."""
     have = listing.select(F.col(listed).alias("_have")).distinct()

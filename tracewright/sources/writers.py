@@ -13,18 +13,10 @@ def vectors(df: DataFrame, path: str, keys: Sequence[str] = ("dataset", "qid", "
     df.select(*keys, F.col(vector).cast("array<float>").alias(vector)).write.mode("overwrite").parquet(path)
 
 
-def summary_document(summary: DataFrame, samples: DataFrame, key: str) -> DataFrame:
-    """One row ``value``: {"summary": {key: {...}}, "samples": {key: [...]}} of evaluated rows.
-
-    The document holds what its readers expect in one piece; for more samples
-    than one document should hold, write them as lines and the summary alone.
-    """
-    fields = [c for c in summary.columns if c != key]
-    tops = summary.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.col(key), F.struct(*fields))))).alias("summary"))
-    items = [c for c in samples.columns if c != key]
-    lists = samples.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*items))).alias("l"))
-    maps = lists.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.col(key), F.col("l"))))).alias("samples"))
-    return tops.crossJoin(F.broadcast(maps)).select(F.to_json(F.struct("summary", "samples")).alias("value"))  # one row each
+def summary_lines(summary: DataFrame, samples: DataFrame, path: str) -> None:
+    """A run's summary and its evaluated samples as lines in two folders, so that no value grows with the table."""
+    json_lines(summary, f"{path}/summary")
+    json_lines(samples, f"{path}/samples")
 
 
 def document(df: DataFrame, path: str) -> None:
