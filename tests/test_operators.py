@@ -257,3 +257,87 @@ def test_tables_are_removed_when_released(spark):
     assert t.count() == 3 and os.path.isdir(path)
     release(t)
     assert not os.path.exists(path)
+
+
+def test_replayed_batches_are_consumed_once(spark, tmp_path):
+    """A crash between consuming and recording, and after recording, doubles nothing."""
+    got = {}
+    consume = lambda df, i: got.__setitem__(i, sorted(r.x for r in df.collect()))
+    batches = [spark.createDataFrame([(10 * i + k,) for k in range(3)], "x long") for i in range(4)]
+    run = E.until_full(f"{tmp_path}/pool", 6, consume)
+
+    def crash(df, i):
+        consume(df, i)
+        raise RuntimeError("lost")
+
+    run(batches[0], 0)
+    run(batches[0], 0)
+    with pytest.raises(RuntimeError):
+        E.until_full(f"{tmp_path}/pool", 6, crash)(batches[1], 1)
+    run(batches[1], 1)
+    run(batches[1], 1)  # recorded, but its commit was lost
+    assert got == {1: [0, 1, 2, 10, 11, 12]}
+    run(batches[2], 2)
+    run(batches[3], 3)
+    assert got == {1: [0, 1, 2, 10, 11, 12], 3: [20, 21, 22, 30, 31, 32]}
+
+
+def test_late_rows_of_a_stream_are_left_out(spark, tmp_path):
+    """Event time: rows behind the watermark of earlier micro-batches do not count; others do, in any order."""
+    import datetime as dt
+    import os
+    import time
+
+    t0 = dt.datetime(2024, 1, 1, 12)
+    parts = [[0, 5, 61, 200], [190], [3, 400], [500]]  # minutes; 3 comes when the watermark of an earlier batch is at 190
+    for i, minutes in enumerate(parts):
+        rows = [(t0 + dt.timedelta(minutes=m), m) for m in minutes]
+        spark.createDataFrame(rows, "ts timestamp, m long").coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+        for f in (tmp_path / "in" / str(i)).glob("*.parquet"):
+            os.utime(f, (time.time() + i, time.time() + i))
+    stream = spark.readStream.schema("ts timestamp, m long").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    out = E.windowed(stream, "ts", "1 hour")
+    seen = {}
+    keep = lambda df, i: seen.update({(r.window.start - t0).total_seconds() // 3600: r.n for r in df.collect()})
+    out.writeStream.outputMode("append").foreachBatch(keep).option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
+    assert seen == {0.0: 2, 1.0: 1, 3.0: 2, 6.0: 1}
+
+
+def test_pairs_use_up_their_ends(spark):
+    cases = [([1, 3], [2, 4]), ([1, 2], [5]), ([1, 2, 6], [3, 4]), ([5], [1, 2, 7]), ([], [1]), ([1], []), ([1, 2, 3], [4, 5]), ([3], [3, 4])]
+    df = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, s array<bigint>, e array<bigint>")
+    got = [(r.p, r.q) for r in df.orderBy("i").select(R.paired_ends(F.col("s"), F.col("e")).alias("p"), R.nearest_end(F.col("s"), F.col("e")).alias("q")).collect()]
+    pairs = [[tuple(x) for x in p] for p, _ in got]
+    assert pairs == [[(1, 2), (3, 4)], [(1, 5)], [(1, 3), (2, 4)], [(5, 7)], [], [], [(1, 4), (2, 5)], [(3, 4)]]
+    assert [[tuple(x) for x in q] for _, q in got][1] == [(1, 5), (2, 5)]
+
+
+def test_blocks_replace_products(spark, monkeypatch):
+    from tracewright.operators import tables
+
+    monkeypatch.setattr(tables, "SMALL_ROWS", 3)
+    monkeypatch.setattr(tables.in_blocks, "__defaults__", (3,))
+    facts = spark.createDataFrame([(i, float(i * i % 7)) for i in range(20)], "f int, w double")
+    asked = spark.createDataFrame([(1, 2.2), (2, 6.0), (3, None)], "k int, x double")
+    got = rows(R.best_of_all(asked, facts, "k", F.abs(F.col("x") - F.col("w")), "f", "f"))
+    assert got == [(1, 3, pytest.approx(0.2)), (2, 5 if 25 % 7 == 6 else min(i for i in range(20) if i * i % 7 == 4), pytest.approx(2.0))]
+    cells = spark.createDataFrame([(1, 4, 9)], "k int, f int, v int")
+    grid = R.dense_grid(cells, asked, facts, "k", "f", "v", F.lit(0))
+    assert grid.count() == 60 and grid.agg(F.sum("v")).first()[0] == 9
+    assert R.dense_grid(cells, asked, facts.limit(0), "k", "f", "v", F.lit(0)).count() == 0
+
+
+def test_ids_over_all_documents(spark, tmp_path):
+    for i, n in enumerate((3, 0, 2)):
+        (tmp_path / f"d{i}.json").write_text("[" + ",".join(f'{{"question": "q{i}{k}", "answer": "{k}"}}' for k in range(n)) + "]")
+    got = sorted((r.id, r.question, r.place) for r in readers.question_set(spark, str(tmp_path)).collect())
+    assert got == [(0, "q00", 0), (1, "q01", 1), (2, "q02", 2), (3, "q20", 0), (4, "q21", 1)]
+    files = readers.listing(spark, str(tmp_path), "*.json").select(F.regexp_extract("path", "[^/]*$", 0).alias("name"))
+    assert rows(files) == [("d0.json",), ("d1.json",), ("d2.json",)]
+
+
+def test_divergence_of_whole_distributions(spark):
+    p, q = [[math.log(0.2), math.log(0.8)], [0.0, -1.0]], [[math.log(0.5), math.log(0.5)], [0.0, -1.0]]
+    df = spark.createDataFrame([(p, q), (None, q)], "p array<array<double>>, q array<array<double>>")
+    got = [r[0] for r in df.select(A.kl_terms(F.col("p"), F.col("q"), "full")).collect()]
+    assert got[0] == pytest.approx([0.2 * math.log(0.4) + 0.8 * math.log(1.6), 0.0]) and got[1] is None

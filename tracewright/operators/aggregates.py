@@ -29,15 +29,15 @@ def membership_accuracy(preds: Column, gold: Column) -> Column:
     return F.coalesce(F.avg(F.array_contains(preds, gold).cast("double")), F.lit(0.0))
 
 
-def summary(df: DataFrame, by: Sequence[str], correct: str, row_id: str) -> DataFrame:
-    """Accuracy, counts and the sorted ids of correct rows per group."""
+def summary(df: DataFrame, by: Sequence[str], correct: str) -> DataFrame:
+    """Accuracy and counts per group; a null verdict is not correct."""
     ok = F.coalesce(F.col(correct), F.lit(False))
-    return df.groupBy(*by).agg(
-        F.avg(ok.cast("double")).alias("accuracy"),
-        F.count("*").alias("num_samples"),
-        F.count_if(ok).alias("num_correct"),
-        F.array_sort(F.collect_set(F.when(ok, F.col(row_id)))).alias("correct_ids"),
-    )
+    return df.groupBy(*by).agg(F.avg(ok.cast("double")).alias("accuracy"), F.count("*").alias("num_samples"), F.count_if(ok).alias("num_correct"))
+
+
+def correct_ids(df: DataFrame, by: Sequence[str], correct: str, row_id: str) -> DataFrame:
+    """The ids of correct rows, each once per group: a row per id, so that no group is one value."""
+    return df.where(F.col(correct)).select(*by, row_id).distinct()
 
 
 def macro_mean(df: DataFrame, outer: Sequence[str], inner: Sequence[str], value: str, name: str = "mean") -> DataFrame:

@@ -9,7 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a side may be broadcast.
+#: Rows up to which a side is broadcast.
 SMALL_ROWS = 10_000
 
 
@@ -84,12 +84,3 @@ def in_blocks(df: DataFrame, key: str, most: int = SMALL_ROWS) -> list[DataFrame
         return [df]
     parts = -(-2 * n // most)  # half full on average, so that hardly any exceeds it
     return [df.where(F.pmod(F.xxhash64(key), F.lit(parts)) == i) for i in range(parts)]
-
-
-def small(df: DataFrame, most: int = SMALL_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``most`` rows, else as it is.
-
-    The check reads no more than it must to see one row too many; beyond it the
-    optimizer chooses another join.
-    """
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df

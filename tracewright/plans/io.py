@@ -29,9 +29,6 @@ def _array_files(df, path: str) -> str:
     return path
 
 
-_SMALL = "record_id < 60 AND answer IS NOT NULL AND steps IS NOT NULL"
-
-
 _PLACED = "SELECT *, row_number() OVER (ORDER BY record_id) - 1 AS id FROM cot_records WHERE answer IS NOT NULL AND steps IS NOT NULL"
 
 

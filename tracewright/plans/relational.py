@@ -65,7 +65,8 @@ def sel_p06_choose_ids(spark, d):
 )
 def sel_p07_passed_ids(spark, d):
     """Ids from summaries whose layout differs by dataset: nested by step, else flat."""
-    ok = table(spark, d, "sample_results").where("correct").groupBy("dataset").agg(F.collect_set("record_id").alias("ids"))
+    block = F.floor(F.col("record_id") / 1000).alias("block")  # a document of at most a thousand ids
+    ok = table(spark, d, "sample_results").where("correct").groupBy("dataset", block).agg(F.collect_set("record_id").alias("ids"))
     ids = F.to_json(F.struct(F.col("ids").alias("correct_ids")))
     doc = F.when(F.col("dataset") == "svamp", ids).otherwise(F.concat(F.lit('{"step_1": '), ids, F.lit("}")))
     flat, step = F.from_json("doc", "correct_ids array<bigint>"), F.from_json("doc", "step_1 struct<correct_ids: array<bigint>>")

@@ -50,8 +50,14 @@ def r00_keyed_event_append(spark, d):
 
 @query("SELECT user_id, string_agg(event_id::VARCHAR, ',' ORDER BY event_id) AS ids FROM events GROUP BY 1")
 def r00_append_stream(spark, d):
-    """The streaming form over several micro-batches ends with the batch form's rows."""
-    out, _ = _replay(spark, d, "append", lambda s: E.append_stream(s, "user_id", "event_id", "event_id", "bigint"), "user_id")
+    """Rows appended over several micro-batches make the batch form's lists."""
+    root = f"{shared_dir(spark)}/stream-append-{uuid.uuid4().hex}"
+    rows = table(spark, d, "events").select("user_id", "event_id")
+    rows.repartition(4).write.parquet(f"{root}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    run = stream.writeStream.foreachBatch(E.append_stream(stream, f"{root}/rows")).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
+    run.awaitTermination()
+    out = E.appended(spark.read.parquet(f"{root}/rows"), ["user_id"], "event_id", "event_id", "items")
     return out.select("user_id", F.array_join("items", ",").alias("ids"))
 
 
@@ -92,11 +98,11 @@ def r04_until_full(spark, d):
     rows.repartition(4).write.parquet(f"{root}/in")
     total = rows.count()
     taken = f"{root}/taken"
-    consume = lambda df, i: df.write.mode("append").parquet(taken)
+    consume = lambda df, i: df.write.mode("overwrite").parquet(f"{taken}/by={i}")
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
-    run = stream.writeStream.foreachBatch(E.until_full(f"{root}/pool", total // 2, consume)).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
+    run = stream.writeStream.foreachBatch(E.until_full(f"{root}/pool", total // 4, consume)).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
     run.awaitTermination()
-    return spark.read.parquet(taken).agg(F.count_distinct("event_id").alias("n"))
+    return spark.read.parquet(taken).agg(F.count("event_id").alias("n"))
 
 
 @query("SELECT event_type, count(*) AS n FROM events GROUP BY 1")

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import LongType, StructField, StructType
 
 EVENT = "ts double, pid bigint, req_ids array<string>, latents array<array<double>>, rank int, seq bigint"
 
@@ -52,26 +53,18 @@ def appended(rows: DataFrame, keys: list[str], order: str, value: str, into: str
     return rows.groupBy(*keys).agg(F.transform(F.array_sort(pairs), lambda s: s["v"]).alias(into))
 
 
-def append_stream(rows: DataFrame, key: str, order: str, value: str, kind: str = "double") -> DataFrame:
-    """Streaming form: (key, items) is emitted anew, whole and in order, whenever a key gets rows.
+def append_stream(rows: DataFrame, target: str) -> Callable[[DataFrame, int], None]:
+    """Streaming form of keyed append: a ``foreachBatch`` function that writes the rows under the id of their micro-batch.
 
-    State per key is its list; keys live until the query ends, so it suits
-    runs of bounded length, as the recorder it stands for.
+    Nothing is kept between micro-batches and nothing is written twice: a
+    replay overwrites its own rows. ``appended`` makes the lists when they are
+    read, in sequence order whatever the order of arrival.
     """
-    key_kind = dict(rows.dtypes)[key]
 
-    def fold(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seqs, items = (list(x) for x in state.get) if state.exists else ([], [])
-        for pdf in batches:
-            seqs.extend(pdf[order].tolist())
-            items.extend(pdf[value].tolist())
-        state.update((seqs, items))
-        ranked = [v for _, v in sorted(zip(seqs, items), key=lambda p: p[0])]
-        yield pd.DataFrame({key: [k[0]], "items": [ranked]})
+    def run(batch: DataFrame, batch_id: int) -> None:
+        batch.select(*rows.columns).write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
 
-    return rows.groupBy(key).applyInPandasWithState(
-        fold, f"{key} {key_kind}, items array<{kind}>", f"seqs array<bigint>, items array<{kind}>", "update", GroupStateTimeout.NoTimeout
-    )
+    return run
 
 
 def stats_stream(rows: DataFrame, key: str, value: str) -> DataFrame:
@@ -94,23 +87,29 @@ def stats_stream(rows: DataFrame, key: str, value: str) -> DataFrame:
 
 
 def until_full(target: str, size: int, consume: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` function: rows gather in a table until there are ``size``, then a consumer gets them.
+    """A ``foreachBatch`` function: rows gather in a table until there are ``size``, then a consumer gets them with the batch id.
 
-    Rows of a micro-batch are written under its id, so a replay of it after a
-    failure overwrites instead of doubling. Drained batches are recorded as a
-    table beside, which makes draining repeatable as well.
+    Rows, their count and the list of drained batches are written under the id
+    of the micro-batch, so a replay of it after a failure overwrites instead
+    of doubling. A replay between consuming and recording hands the consumer
+    the same rows under the same id again; a consumer that writes under that
+    id keeps them once. Only counts are read per micro-batch, never the pool.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         batch.write.mode("overwrite").parquet(f"{target}/rows/batch={batch_id}")
-        rows = spark.read.parquet(f"{target}/rows")
+        written = spark.read.schema(batch.schema).parquet(f"{target}/rows/batch={batch_id}")
+        written.agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{target}/counts/batch={batch_id}")
+        open_ = spark.read.schema("n bigint, batch bigint").parquet(f"{target}/counts")
         hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{target}/drained")
         if hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
-            rows = rows.join(spark.read.parquet(f"{target}/drained"), "batch", "left_anti")
-        if rows.count() >= size:
-            consume(rows.drop("batch"), batch_id)
-            rows.select("batch").distinct().write.mode("append").parquet(f"{target}/drained")
+            drained = spark.read.schema("batch bigint, by bigint").parquet(f"{target}/drained").where(F.col("by") < batch_id)
+            open_ = open_.join(drained, "batch", "left_anti")
+        if (open_.agg(F.sum("n")).first()[0] or 0) >= size:
+            rows = spark.read.schema(StructType([*batch.schema.fields, StructField("batch", LongType())])).parquet(f"{target}/rows")
+            consume(rows.join(open_.select("batch"), "batch", "left_semi").drop("batch"), batch_id)
+            open_.select("batch").write.mode("overwrite").parquet(f"{target}/drained/by={batch_id}")
 
     return run
 
