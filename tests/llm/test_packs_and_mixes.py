@@ -1,5 +1,6 @@
 """Packing and mixing: properties of every result."""
 
+import itertools
 import math
 import os
 from collections import Counter
@@ -33,6 +34,31 @@ def test_plans_are_tight():
     assert sizes.sum() / (plan.n_packs * 1024) > 0.98
 
 
+@pytest.mark.parametrize("most", [3, 4, 8, 16])
+def test_solved_plans_beat_the_greedy_ones(most):
+    """Where the number of items binds, where the room does and between: against best-fit and balanced packs of everything."""
+    rng = np.random.default_rng(3)
+    histogram = Counter(np.minimum(rng.lognormal(5.1, 0.9, 3000).astype(int) + 1, 1023).tolist())
+    packs, left = packing._solved(histogram, 1024, most)
+    assert left.total() < 0.1 * histogram.total()
+    count = lambda p: sum(n for _, n in p)
+    least = max(-(-sum(k * n for k, n in histogram.items()) // 1024), -(-histogram.total() // most))
+    mine = packing.plan_packs(histogram, 1024, most).n_packs
+    greedy = min(count(packing._best_fit([], histogram, 1024, most)), count(packing._balanced(histogram, 1024, most)))
+    assert least <= mine <= greedy + max(1, greedy // 200), (least, mine, greedy)
+
+
+
+def test_combinations_are_the_best():
+    rng = np.random.default_rng(2)
+    for _ in range(20):
+        sizes, values, most = rng.integers(1, 9, 4), rng.random(4), int(rng.integers(1, 5))
+        value, chosen = packing.Combinations(sizes, 12, most).best(values)
+        assert value == pytest.approx(sum(values[i] for i in chosen)) and sum(sizes[i] for i in chosen) <= 12 and len(chosen) <= most
+        every = (c for n in range(most + 1) for c in itertools.combinations_with_replacement(range(4), n) if sum(sizes[i] for i in c) <= 12)
+        assert value == pytest.approx(max(sum(values[i] for i in c) for c in every))
+
+
 def test_nnls_against_projected_gradient():
     rng = np.random.default_rng(1)
     a, b = rng.random((12, 20)), rng.random(12)

@@ -1,19 +1,23 @@
 """Filling packs of fixed capacity: histogram patterns by non-negative least squares.
 
 The plan only depends on how many items there are of each length, which is a
-table of at most ``capacity`` rows however many items there are. Patterns of
-a few lengths (``DEPTHS``) that fill the capacity are enumerated on a grid of
-length levels, their repeat counts solved against the histogram, rounded down
-to what is there, and everything left is packed best-fit into the room of
-those packs and into new ones. Items then find their pack by their rank among
-the items of their length.
+table of at most ``capacity`` rows however many items there are. Lengths are
+gathered into a few levels; combinations of levels that fill the capacity with
+at most the allowed number of items are the columns of a non-negative least
+squares problem whose rows are the levels' counts, with one more row that
+holds the number of packs down. There are too many combinations to list, so
+the one with the steepest gradient is made when it is needed, by dynamic
+programming over capacity and number of items. Repeat counts are rounded,
+combinations filled with lengths that fit, what is left is solved again, and
+the last few items are packed best-fit or balanced, whichever takes fewer
+packs. Items then find their pack by their rank among the items of their length.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left, insort
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -21,60 +25,129 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Levels of the length grid, lengths of a pattern (each is tried), and unused levels a pattern may leave.
-LEVELS = 96
-DEPTHS = (3, 4)
-SLACK = 1
+#: Levels of length.
+LEVELS = 48
+#: Steps of the capacity in the dynamic program, and combinations entered per round at most.
+STEPS = 512
+ENTERED = 200
+#: Rounds of solving what the rounding of the one before has left.
+ROUNDS = 5
+#: Weight of a pack against an item of a level: small, so that counts are met first.
+PACK_WEIGHT = 0.01
 #: Items of one length that are ranked in one task.
 RANKED_AT_ONCE = 50_000
 
 
-def nnls(a: np.ndarray, b: np.ndarray, most: int = 2000) -> np.ndarray:
-    """Lawson-Hanson: x >= 0 that minimises the norm of a x - b."""
-    m, n = a.shape
-    x, active = np.zeros(n), np.zeros(n, dtype=bool)
-    gradient = a.T @ (b - a @ x)
-    tolerance = 1e-9 * max(1.0, float(np.abs(gradient).max(initial=0)))
+def nnls_entering(target: np.ndarray, enter: Callable[[np.ndarray], tuple[object, np.ndarray] | None], most: int) -> tuple[list, np.ndarray]:
+    """Lawson-Hanson over columns that are made when they are needed.
+
+    ``enter`` gets the residual and gives a (name, column) whose product with
+    it is positive, or None at the optimum. Returns the names and values of
+    the columns that stay above 0; at most ``most`` are entered.
+    """
+    names: list = []
+    a, x = np.zeros((len(target), 0)), np.zeros(0)
+    residual = target
     for _ in range(most):
-        free = np.where(active, -np.inf, gradient)
-        j = int(np.argmax(free))
-        if active.all() or free[j] <= tolerance or active.sum() >= m:
+        found = enter(residual)
+        if found is None or found[0] in names:
             break
-        active[j] = True
+        names.append(found[0])
+        a, x = np.column_stack([a, found[1]]), np.append(x, 0.0)
         while True:
-            s = np.zeros(n)
-            s[active] = np.linalg.lstsq(a[:, active], b, rcond=None)[0]
-            if s[active].min() > 0:
+            s = np.linalg.lstsq(a, target, rcond=None)[0]
+            low = s <= 1e-12
+            if not low.any():
+                x = s
                 break
-            bad = active & (s <= 0)
-            step = np.min(x[bad] / np.maximum(x[bad] - s[bad], 1e-300))
+            step = np.min(x[low] / np.maximum(x[low] - s[low], 1e-300))
             x = x + step * (s - x)
-            active &= x > 1e-12
-            x[~active] = 0
-            if not active.any():
+            keep = x > 1e-12
+            if keep.all():
+                keep[np.argmin(x)] = False
+            a, x, names = a[:, keep], x[keep], [n for n, k in zip(names, keep) if k]
+            if not len(x):
                 break
-        x = np.where(active, s, 0.0)
-        gradient = a.T @ (b - a @ x)
-    return x
+        residual = target - a @ x
+    return names, x
 
 
-def level_patterns(present: list[int], capacity: int, depth: int, slack: int) -> list[tuple[int, ...]]:
-    """Sorted combinations of up to ``depth`` present levels whose sum is within ``slack`` below capacity."""
-    out: list[tuple[int, ...]] = []
-    have = sorted(present, reverse=True)
+def nnls(a: np.ndarray, b: np.ndarray, most: int = 2000) -> np.ndarray:
+    """x >= 0 that minimises the norm of a x - b."""
+    tolerance = 1e-9 * max(1.0, float(np.abs(a.T @ b).max(initial=0)))
 
-    def grow(prefix: tuple[int, ...], total: int, first: int) -> None:
-        if prefix and capacity - slack <= total <= capacity:
-            out.append(prefix)
-        if len(prefix) < depth:
-            for i in range(first, len(have)):
-                if total + have[i] <= capacity:
-                    if len(prefix) + 1 == depth and total + have[i] < capacity - slack:
-                        break
-                    grow((*prefix, have[i]), total + have[i], i)
+    def steepest(residual):
+        gradient = a.T @ residual
+        j = int(np.argmax(gradient)) if len(gradient) else -1
+        return (j, a[:, j]) if j >= 0 and gradient[j] > tolerance else None
 
-    grow((), 0, 0)
-    return out
+    x = np.zeros(a.shape[1])
+    names, values = nnls_entering(b, steepest, most)
+    x[names] = values
+    return x
+
+
+def length_levels(histogram: dict[int, int], n: int) -> list[list[int]]:
+    """The lengths in at most ``n`` runs, such that the items' distance from the mean of their run is least (in squares)."""
+    lengths = np.array(sorted(histogram), dtype=float)
+    m = len(lengths)
+    if m <= n:
+        return [[int(k)] for k in lengths]
+    w = np.array([histogram[int(k)] for k in lengths], dtype=float)
+    sums = [np.concatenate([[0.0], np.cumsum(w * lengths**p)]) for p in (0, 1, 2)]
+    best, cuts = np.full(m + 1, np.inf), []
+    best[0] = 0.0
+    for _ in range(n):
+        new, cut = np.full(m + 1, np.inf), np.zeros(m + 1, dtype=np.int64)
+        for j in range(1, m + 1):
+            c, s1, s2 = (t[j] - t[:j] for t in sums)
+            cost = best[:j] + s2 - s1 * s1 / c
+            i = int(np.argmin(cost))
+            new[j], cut[j] = cost[i], i
+        best = new
+        cuts.append(cut)
+    out, j = [], m
+    for cut in reversed(cuts):
+        i = int(cut[j])
+        if j > i:
+            out.append([int(k) for k in lengths[i:j]])
+        j = i
+        if not j:
+            break
+    return out[::-1]
+
+
+class Combinations:
+    """The best combination of levels for given values: of all that fit the steps and the number of items."""
+
+    def __init__(self, sizes: np.ndarray, steps: int, most: int):
+        self.sizes, self.steps, self.most = sizes, steps, min(most, steps)
+        place = np.arange(steps + 1)[None, :] - sizes[:, None]
+        self.place = np.where(place < 0, steps + 1, place)  # the place behind the last is worth nothing
+
+    def best(self, values: np.ndarray) -> tuple[float, tuple[int, ...]]:
+        """(value, levels) of the combination with the largest sum of values."""
+        use = np.flatnonzero(values > 1e-12)
+        if not len(use):
+            return 0.0, ()
+        worth, place = values[use][:, None], self.place[use]
+        now, picks = np.zeros(self.steps + 2), []
+        now[-1] = -np.inf
+        for _ in range(self.most):
+            gained = now[place] + worth
+            pick = gained.argmax(axis=0)
+            top = gained[pick, np.arange(self.steps + 1)]
+            better = top > now[:-1] + 1e-12
+            if not better.any():
+                break
+            picks.append(np.where(better, use[pick], -1))
+            now[:-1] = np.where(better, top, now[:-1])
+        out, room = [], self.steps
+        for pick in reversed(picks):
+            if pick[room] >= 0:
+                out.append(int(pick[room]))
+                room -= int(self.sizes[out[-1]])
+        return float(now[self.steps]), tuple(sorted(out, reverse=True))
 
 
 @dataclass
@@ -108,61 +181,66 @@ def plan_packs(histogram: dict[int, int], capacity: int, most: int | None) -> Pl
     if histogram.get(capacity):
         plan.patterns.append(((capacity,), histogram[capacity]))
     whole = Counter({k: v for k, v in histogram.items() if 0 < k < capacity and v > 0})
-    # The rest into the patterns' room, the rest on its own, or all of it
-    # without patterns where the number of items binds: the fewest packs win.
-    plans = []
-    for depth in DEPTHS:
-        packs, left = _solved(whole, capacity, most, depth)
-        plans.append(_best_fit(packs, left, capacity, most))
-        if most < 10**9:
-            plans.append(sorted(packs, reverse=True) + _balanced(left, capacity, most))
-    if most < 10**9:
-        plans.append(_balanced(whole, capacity, most))
+    packs, left = _solved(whole, capacity, most)
+    # The few that are left: into the room of those packs, or on their own.
+    plans = [_best_fit(packs, left, capacity, most), sorted(packs, reverse=True) + _balanced(left, capacity, most)]
     plan.patterns.extend(min(plans, key=lambda p: sum(n for _, n in p)))
     return plan
 
 
-def _solved(whole: Counter, capacity: int, most: int, depth: int) -> tuple[list[tuple[tuple[int, ...], int]], Counter]:
-    """Packs by the solved and rounded patterns, and the items they leave."""
+def _solved(whole: Counter, capacity: int, most: int) -> tuple[list[tuple[tuple[int, ...], int]], Counter]:
+    """Packs by the solved and rounded combinations, and the items that no round has placed."""
     left = Counter(whole)
-    levels = min(LEVELS, capacity)
-    level = lambda k: -(-k * levels // capacity)
-    by_level: dict[int, list[int]] = defaultdict(list)
-    for k in sorted(left, reverse=True):
-        by_level[level(k)].append(k)
     packs: list[tuple[tuple[int, ...], int]] = []
-    shapes = level_patterns(list(by_level), levels, min(depth, most), SLACK)
-    if not shapes:
-        return packs, left
-    order = sorted(by_level)
-    index = {x: i for i, x in enumerate(order)}
-    want = np.array([float(sum(left[k] for k in by_level[x])) for x in order])
-    a = np.zeros((len(index), len(shapes)))
-    for j, shape in enumerate(shapes):
-        for x in shape:
-            a[index[x], j] += 1
-    # Short items always find room later, unless the number of items is what runs out.
-    weight = np.array([1.0 if 4 * x >= levels or most <= depth else 0.1 for x in order])
-    repeats = nnls(a * weight[:, None], want * weight)
-    for j in np.argsort(-repeats, kind="stable"):
-        n = int(repeats[j] + 0.5)
-        if not n:
+    unit = max(1, -(-capacity // STEPS))
+    for turn in range(ROUNDS):
+        if not left:
+            break
+        runs = length_levels(left, LEVELS)
+        counts = np.array([float(sum(left[k] for k in run)) for run in runs])
+        means = np.array([sum(k * left[k] for k in run) for run in runs]) / counts
+        sizes = np.maximum(1, np.ceil(means / unit - (0.5 if unit > 1 else 1e-9))).astype(np.int64)
+        combinations = Combinations(sizes, capacity // unit, most)
+
+        def enter(residual: np.ndarray) -> tuple[tuple[int, ...], np.ndarray] | None:
+            value, chosen = combinations.best(np.maximum(residual[:-1], 0.0))
+            if not chosen or value + PACK_WEIGHT * residual[-1] <= 1e-7 * counts.max():
+                return None
+            return chosen, np.append(np.bincount(chosen, minlength=len(counts)), PACK_WEIGHT)
+
+        names, repeats = nnls_entering(np.append(counts, 0.0), enter, ENTERED)
+        made = 0
+        for j in np.argsort(-repeats, kind="stable"):
+            # Later rounds have few of each, so that cutting would place none.
+            made += _realise(packs, left, runs, names[j], int(repeats[j] + (0.5 if turn else 1e-6)), capacity)
+        left = +left
+        if not made:
             break
-        need = Counter(shapes[j])
-        n = min([n, *(sum(left[k] for k in by_level[x]) // t for x, t in need.items())])
-        while n > 0:
-            picked: list[int] = []
-            taken: Counter[int] = Counter()
-            for x in shapes[j]:
-                k = next(k for k in by_level[x] if left[k] > taken[k])
-                picked.append(k)
-                taken[k] += 1
-            run = min([n, *(left[k] // t for k, t in taken.items())])
-            for k, t in taken.items():
-                left[k] -= run * t
-            packs.append((tuple(sorted(picked, reverse=True)), run))
-            n -= run
-    return packs, +left
+    return packs, left
+
+
+def _realise(packs: list[tuple[tuple[int, ...], int]], left: Counter, runs: list[list[int]], chosen: tuple[int, ...], n: int, capacity: int) -> int:
+    """Up to ``n`` packs of a combination, each filled with the longest lengths that leave room for the rest; how many were made."""
+    made = 0
+    while made < n:
+        picked: list[int] = []
+        taken: Counter[int] = Counter()
+        lows = [next((k for k in runs[x] if left[k]), capacity + 1) for x in chosen]
+        room, behind = capacity, sum(lows)
+        for x, low in zip(chosen, lows):
+            behind -= low
+            k = next((k for k in reversed(runs[x]) if k <= room - behind and left[k] > taken[k]), None)
+            if k is None:
+                return made
+            picked.append(k)
+            taken[k] += 1
+            room -= k
+        run = min([n - made, *(left[k] // t for k, t in taken.items())])
+        for k, t in taken.items():
+            left[k] -= run * t
+        packs.append((tuple(sorted(picked, reverse=True)), run))
+        made += run
+    return made
 
 
 def _balanced(left: Counter, capacity: int, most: int) -> list[tuple[tuple[int, ...], int]]:
@@ -249,6 +327,14 @@ def _best_fit(packs: list[tuple[tuple[int, ...], int]], left: Counter, capacity:
     return sorted(closed.items(), reverse=True)
 
 
+def _plan_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for name, room, most, sizes, counts in zip(*(b.column(c).to_pylist() for c in ("run_name", "room", "most", "sizes", "counts"))):
+            patterns = plan_packs(dict(zip(sizes, counts)), room, most).patterns
+            columns = [pa.array([name] * len(patterns), pa.string()), pa.array([list(p) for p, _ in patterns], pa.list_(pa.int32())), pa.array([n for _, n in patterns], pa.int64()), pa.array(range(len(patterns)), pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, ["run_name", "pattern", "n", "place"])
+
+
 def pack_items(samples: DataFrame, args: DataFrame) -> DataFrame:
     """Every piece of every sample with its pack, for every row of ``args``.
 
@@ -275,13 +361,20 @@ def pack_items(samples: DataFrame, args: DataFrame) -> DataFrame:
         .withColumn("length", F.when(F.col("by_tokens") == 1, F.col("size")).otherwise(F.col("length")))
         .select("run_name", "capacity", "row_id", "piece", "length", F.col("size").cast("int").alias("size"))
     )
+    # At most one row per run and length up to its capacity; each run is planned by a task of its own.
+    counted = items.where("size is not null").groupBy("run_name", "size").agg(F.count("*").alias("n")).collect()
+    limits = {name: (room, most if by_tokens else None) for name, _, most, room, by_tokens in settings}
     histogram: dict[str, dict[int, int]] = defaultdict(dict)
-    # At most one row per run and length up to its capacity.
-    for r in items.where("size is not null").groupBy("run_name", "size").agg(F.count("*").alias("n")).collect():
+    for r in counted:
         histogram[r.run_name][r["size"]] = r.n
     plans = {}
-    for name, _, most, room, by_tokens in settings:
-        plans[name] = plan_packs(histogram[name], room, most if by_tokens else None).ranges()
+    if histogram:
+        asked = [(name, *limits[name], list(h), list(h.values())) for name, h in sorted(histogram.items())]
+        tasks = spark.createDataFrame(asked, "run_name string, room int, most int, sizes array<int>, counts array<long>").repartitionByRange(len(asked), "run_name")
+        # At most a few combinations per length of a run; sorted here, as ordering in Spark would plan everything twice.
+        for r in sorted(tasks.mapInArrow(_plan_rows, "run_name string, pattern array<int>, n long, place int").collect(), key=lambda r: (r.run_name, r.place)):
+            plans.setdefault(r.run_name, Plan(limits[r.run_name][0])).patterns.append((tuple(r.pattern), r.n))
+    plans = {name: p.ranges() for name, p in plans.items()}
     shared = spark.sparkContext.broadcast(plans)
 
     largest = max([1, *(n for h in histogram.values() for n in h.values())])
