@@ -67,6 +67,9 @@ def test_lookalike_pairs(spark, shared):
     want = {(a, b) for (a, s, _), (b, t, _) in itertools.combinations(rows, 2) if s is not None and t is not None and s != t and run(s) == run(t)}
     got = {(r.a, r.b) for r in lookalike.lookalike_pairs(lookalike.lookalike_classes(df, "doc_id", "text")).collect()}
     assert got == want
+    links = {r.id: (r.class_id, r.n_links) for r in lookalike.lookalike_links(lookalike.lookalike_classes(df, "doc_id", "text")).collect()}
+    shown = {i: (t, run(t)) for i, t, _ in rows if t is not None}
+    assert links == {i: (min(j for j, (_, g) in shown.items() if g == f), sum(g == f and s != t for s, g in shown.values())) for i, (t, f) in shown.items()}
     out = {r.doc_id: r.form for r in lookalike.canonical_text(df, "text", "form").collect()}
     assert out == {i: None if t is None else run(t) for i, t, _ in rows}
     assert lookalike.lookalike_pairs(lookalike.lookalike_classes(df.limit(0), "doc_id", "text")).count() == 0

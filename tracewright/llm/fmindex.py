@@ -98,13 +98,14 @@ class FMIndex:
         np.cumsum(kept, out=self.kept[1:])
         self.places = sa[kept]
 
-    def search(self, patterns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Row ranges [lo, hi) of the patterns, an (m, k) matrix of symbols > 0."""
-        m, k = patterns.shape
+    def search(self, patterns: np.ndarray, rows: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Row ranges [lo, hi) of the patterns, an (m, k) matrix of symbols > 0; only of some ``rows`` of it if given."""
+        rows = np.arange(len(patterns)) if rows is None else rows
+        m, k = len(rows), patterns.shape[1]
         lo, hi = np.zeros(m, dtype=np.int64), np.full(m, self.n, dtype=np.int64)
         live = np.arange(m)
         for i in range(k - 1, -1, -1):
-            c = patterns[live, i] + 1
+            c = patterns[rows[live], i].astype(np.int64) + 1
             a, b = self.ranks.rank(c, lo[live], hi[live])
             lo[live], hi[live] = self.starts[c] + a, self.starts[c] + b
             gone = live[a == b]

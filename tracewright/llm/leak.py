@@ -18,7 +18,7 @@ from .lookalike import Rewriter, representatives
 PASSAGE = 15
 #: Words of one shard; its index takes about 80 bytes a word.
 SHARD_WORDS = 400_000
-#: Words of the items that one pass searches for; more items take more passes.
+#: Words of the items that one pass searches for, about 28 bytes each; more items take more passes.
 BLOCK_WORDS = 4_000_000
 
 _WORD = re.compile(r"[^\W_]+")
@@ -33,10 +33,17 @@ class Searched:
     """What a task needs to know of the items: vocabulary, phrases, rewriting."""
 
     vocabulary: dict[str, int]
-    phrases: np.ndarray  # (m, PASSAGE) symbols
+    symbols: np.ndarray  # all items' words, one after the other
+    starts: np.ndarray  # (m,) place of each phrase's first word in ``symbols``
     items: np.ndarray  # (m,) item ids
     offsets: np.ndarray  # (m,) first word of the phrase within its item
     pairs: dict[str, str]
+    passage: int
+
+    @property
+    def phrases(self) -> np.ndarray:
+        """(places, passage): a view on the words, of which ``starts`` are the phrases."""
+        return np.lib.stride_tricks.sliding_window_view(self.symbols, self.passage)
 
 
 def words(text: str, rewrite: Rewriter) -> list[str]:
@@ -63,15 +70,16 @@ def prepare(items: list[tuple[int, str]], passage: int) -> Searched:
     pairs = representatives(counts, foreign=True)
     rewrite = Rewriter(pairs)
     vocabulary: dict[str, int] = {}
-    phrases, owners, offsets = [], [], []
-    for item, text in items:
-        ids = [vocabulary.setdefault(w, len(vocabulary) + 1) for w in words(text, rewrite)]
-        for i in range(len(ids) - passage + 1):
-            phrases.append(ids[i : i + passage])
-            owners.append(item)
-            offsets.append(i)
-    table = np.array(phrases, dtype=np.int64).reshape(-1, passage)
-    return Searched(vocabulary, table, np.array(owners, dtype=np.int64), np.array(offsets, dtype=np.int64), pairs)
+    symbols, sizes = [np.zeros(0, dtype=np.int32)], [0]
+    for _, text in items:
+        ids = np.array([vocabulary.setdefault(w, len(vocabulary) + 1) for w in words(text, rewrite)], dtype=np.int32)
+        symbols.append(ids)
+        sizes.append(len(ids))
+    begins = np.cumsum(sizes)[:-1]
+    n = np.maximum(np.array(sizes[1:], dtype=np.int64) - passage + 1, 0)
+    offsets = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    owners = np.repeat(np.array([i for i, _ in items], dtype=np.int64), n)
+    return Searched(vocabulary, np.concatenate(symbols), np.repeat(begins, n) + offsets, owners, offsets, pairs, passage)
 
 
 class Shard:
@@ -101,13 +109,13 @@ class Shard:
 
     def search(self, asked: Searched) -> Iterator[tuple[int, int, int, int, int]]:
         """(doc, item, first word in the text, first word in the item, words)."""
-        if not self.runs or not len(asked.phrases):
+        if not self.runs or not len(asked.starts):
             return
         gap = np.zeros(1, dtype=np.int32)
         seq = np.concatenate([x for run in self.runs for x in (run, gap)])
         begins = np.cumsum([0] + [len(r) + 1 for r in self.runs])
         index = FMIndex(seq, len(asked.vocabulary))
-        lo, hi = index.search(asked.phrases)
+        lo, hi = index.search(asked.phrases, asked.starts)
         n = hi - lo
         which = np.repeat(np.arange(len(n)), n)
         if not len(which):

@@ -125,11 +125,10 @@ def representatives(counts: dict[int, int], foreign: bool = False) -> dict[str,
                 out[m] = best
     # A representative may hold characters of other classes: rewrite until it stays.
     def settle(text: str) -> str:
-        for _ in range(4):
-            new = "".join(out.get(c, c) for c in text)
-            if new == text:
-                break
-            text = new
+        seen = set()
+        while text not in seen:  # classes that hold each other's characters would turn in circles
+            seen.add(text)
+            text = "".join(out.get(c, c) for c in text)
         return unicodedata.normalize("NFC", text)
 
     # A member with a character the corpus lacks cannot occur in it.
@@ -175,11 +174,10 @@ class Rewriter:
                 text = self._replace(text)
         else:
             # Marks may sit on letters that are themselves rewritten.
-            for _ in range(3):
-                new = unicodedata.normalize("NFC", self._replace(unicodedata.normalize("NFC", text)))
-                if new == text:
-                    break
-                text = new
+            seen = set()
+            while text not in seen:
+                seen.add(text)
+                text = unicodedata.normalize("NFC", self._replace(unicodedata.normalize("NFC", text)))
         return _ENDS.sub("", text.replace("\r\n", "\n"))
 
     def _replace(self, text: str) -> str:
@@ -293,6 +291,18 @@ def lookalike_classes(df: DataFrame, id_column: str, text_column: str) -> DataFr
     return materialise(texts.mapInArrow(_fingerprints(pairs), "id long, form binary, raw binary"), "forms")
 
 
+def lookalike_links(classes: DataFrame) -> DataFrame:
+    """(id, class_id, n_links): each row's class of one look, named by its smallest id, and how many rows look the same but differ in their characters.
+
+    Sums per variant are what is shuffled, so a text that a third of all rows
+    repeat is one row of them; rows that look like no other have no links.
+    """
+    variants = classes.groupBy("form", "raw").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    forms = variants.groupBy("form").agg(F.sum("n").alias("all"), F.min("first").alias("class_id"))
+    per = variants.join(forms, "form").select("form", "raw", "class_id", (F.col("all") - F.col("n")).alias("n_links"))
+    return classes.join(per, ["form", "raw"]).select("id", "class_id", "n_links")
+
+
 def lookalike_pairs(classes: DataFrame) -> DataFrame:
     """(a, b), a < b: rows of one form whose texts differ in their characters.
 

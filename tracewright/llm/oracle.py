@@ -99,5 +99,7 @@ ORACLE: dict[str, str] = {
     "p5_found": f"WITH d AS ({_windows('documents', 'doc_id', 'text')}), e AS ({_windows('eval_items', 'item_id', 'question')}) SELECT DISTINCT doc_id, item_id FROM d JOIN e USING (p)",
     "p5_spans": _SPANS,
     "p5_items": f"SELECT item_id, count(DISTINCT doc_id) AS n_documents, max(n_words) AS longest_passage FROM ({_SPANS}) GROUP BY 1",
+    "p7_classes": f"""WITH f AS (SELECT doc_id, text, {_form('text')} AS form FROM documents WHERE text IS NOT NULL), w AS (SELECT *, count(*) OVER (PARTITION BY form) - count(*) OVER (PARTITION BY form, text) AS n FROM f)
+ SELECT doc_id, min(doc_id) OVER (PARTITION BY form) AS class_id, n::BIGINT AS n_links FROM w""",
     "p7_found": f"WITH f AS (SELECT doc_id, text, {_form('text')} AS form FROM documents) SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM f a JOIN f b ON a.form = b.form AND a.doc_id < b.doc_id AND a.text <> b.text",
 }

@@ -157,6 +157,12 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"))
 
 
+def p7_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per document with its class of one look and the number of documents that only look the same."""
+    links = lookalike.lookalike_links(lookalike.lookalike_classes(_table(spark, folder, "documents"), "doc_id", "text"))
+    return links.select(F.col("id").alias("doc_id"), "class_id", "n_links")
+
+
 def p7_canonical(spark: SparkSession, folder: str) -> DataFrame:
     """Every document with its text in one form."""
     df = _table(spark, folder, "documents").select("doc_id", "text")
@@ -167,6 +173,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         p1_found, p1_classes, p2_packs, p2_summary, p2_check, p3_found, p3_report, p4_found, p4_summary,
-        p5_found, p5_spans, p5_items, p6_mix, p6_shares, p6_temperature, p7_found, p7_canonical,
+        p5_found, p5_spans, p5_items, p6_mix, p6_shares, p6_temperature, p7_found, p7_classes, p7_canonical,
     )
 }
