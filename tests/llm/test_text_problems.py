@@ -10,7 +10,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tracewright.llm import defects, fmindex, leak, lookalike
+from tracewright.llm import defects, fmindex, languages, leak, lookalike
 
 
 def rewriter(*texts):
@@ -124,6 +124,13 @@ def test_leaks_match_brute_force(spark, shared, monkeypatch, shard, block):
     assert leak.leaked_spans(a.limit(0), b).count() == 0 and leak.leaked_spans(a, b.limit(0)).count() == 0
 
 
+TEXTS = {
+    "en": "The farmer counts the bricks inside the garden and brings more of them before the winter. How many remain after that? Removing the rest we get the new total. This is the final answer, so it stays there with all of the others. We start from what is known and go on until nothing is left. Once they are sold, the baker keeps what was not used.",
+    "de": "Der Bauer zählt die Ziegel im Garten und bringt vor dem Winter noch weitere dazu. Wie viele bleiben danach übrig? Daraus folgt die neue Summe. Die Antwort ist also das, was am Ende zusammen noch da ist. Wir beginnen mit dem, was bekannt ist, und zählen weiter, bis nichts mehr übrig ist.",
+    "fr": "Le fermier compte les briques dans le jardin et en apporte encore avant l'hiver. Combien en reste-t-il après cela ? On obtient ainsi le nouveau total. La réponse est donc ce qui reste à la fin avec tous les autres. On commence par ce qui est connu et on ajoute ce qui arrive.",
+    "es": "El granjero cuenta los ladrillos en el jardín y trae más antes del invierno. ¿Cuántos quedan después de eso? Por lo tanto tenemos el nuevo total. La respuesta es lo que queda al final con todos los demás. Empezamos con lo que se sabe y sumamos lo que llega.",
+}
+PROFILES = languages.profiles_from({k: languages.gram_counts([t] * 3) for k, t in TEXTS.items()})
 Q = "Abrask counts 219 dusty bricks inside the shaded garden. Mice spoil 120 of them after closing time. How many bricks remain with Abrask?"
 COT = "Removing the bricks 219 - 120 = <<219-120=99>>99 bricks."
 
@@ -145,12 +152,14 @@ COT = "Removing the bricks 219 - 120 = <<219-120=99>>99 bricks."
     ],
 )
 def test_defects(cot, answer, found):
-    assert defects.defect(Q, cot, answer) == found
+    assert defects.defect(Q, cot, answer, PROFILES) == found
 
 
 def test_shared_language_is_fine():
     q = "In der Scheune liegen 80 Hefte. Danach bringt Kavisk noch 3 dazu. Wie viele Hefte sind es am Ende?"
-    assert defects.defect(q, "Daraus folgt 80 + 3 = 83 Hefte.", "Zusammen sind es 83.") is None
+    assert defects.defect(q, "Daraus folgt 80 + 3 = 83 Hefte.", "Zusammen sind es 83.", PROFILES) is None
+    assert defects.defect(q, "Removing nothing, the new total of the notebooks is 80 + 3 = 83.\nThis is the final answer.", "83", PROFILES) == "other_language"
+    assert defects.defect(q, "Removing nothing, the new total is 80 + 3 = 83.", "83") is None  # without profiles only scripts are told apart
     assert defects.defect(None, None, None) == "empty_answer" and defects.defect(None, "1 + 1 = 2", "2") is None
 
 
@@ -169,6 +178,15 @@ def test_tiles_do_not_overlap(a, b):
     assert [n for *_, n in tiles] == sorted((n for *_, n in tiles), reverse=True)
 
 
+def test_profiles_are_fitted_on_a_bounded_sample(spark):
+    rows = [(k, t) for k, t in TEXTS.items() for _ in range(5)] + [(None, "nothing"), ("en", None), ("", "x"), (" EN ", TEXTS["en"])]
+    p = languages.fit_profiles(spark.createDataFrame(rows, "lang string, text string"), per_language=3)
+    assert p.languages == ("de", "en", "es", "fr") and p.table.keys() == PROFILES.table.keys()
+    best = lambda t: p.languages[p.of(languages.WORD.findall(t.lower())).sum(axis=0).argmax()]
+    assert [best(t) for t in ("Also bleiben noch die Ziegel übrig.", "So the rest of them is there.", "Entonces quedan los ladrillos.", "Donc il reste les briques.")] == ["de", "en", "es", "fr"]
+    assert languages.fit_profiles(spark.createDataFrame([], "lang string, text string")).languages == ()
+
+
 def _tiles_by_definition(a, b, least):
     """Longest common free stretch first, earliest places first."""
     free_a, free_b, out = [True] * len(a), [True] * len(b), []

@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .languages import WORD, Profiles
+
 # ------------------------------------------------------------------ empty
 
 # What stands where an answer is missing.
@@ -307,21 +309,7 @@ def is_copy(question: str | None, answer: str) -> bool:
 
 # ---------------------------------------------------------- other language
 
-# Frequent words by which a language is told.
-WORDS = {
-    "en": "the of and to is are was that with for from by how many what when which them after those away there once this have has had not we up out so all then now gives in at on it as be do one",
-    "de": "der die das und ist sind war nach daraus folgt damit wird zu neue neuen summe beträgt also zusammen es antwort wir zählen dazu bleiben dieser änderung von mit den dem ein eine nicht auf für wie viele in im am noch hat ergibt somit insgesamt",
-    "fr": "le la les de des et est sont un une du en au aux on il elle nouveau total donc obtient ainsi après ce changement reste quantité devient alors ajoute qui arrive cela fait tout réponse combien que dans plus avec pour par avons",
-    "es": "el la los las de del y es son un una en por lo tanto tenemos después ese cambio quedan entonces cantidad pasa ser sumamos que llega calculamos nuevo total respuesta cuántos cuántas al se con para más luego",
-    "pt": "o a os as de do da dos das e é são um uma em no na assim obtemos depois dessa mudança restam quantidade passa ser somamos que chegou novo total então ao todo resposta quantos quantas com para mais uns",
-    "it": "il lo la gli le di del della e è sono un una in quindi otteniamo dopo questo cambiamento restano quantità diventa allora aggiungiamo che arriva nuovo totale risposta quanti quante con per più",
-    "nl": "de het een en is zijn van met na dus wordt nieuwe som totaal blijven over antwoord hoeveel wij we tellen die deze niet op voor dan krijgen",
-}
-_BY_WORD: dict[str, frozenset[str]] = {}
-for _lang, _words in WORDS.items():
-    for _w in _words.split():
-        _BY_WORD[_w] = _BY_WORD.get(_w, frozenset()) | {_lang}
-_LETTERS = re.compile(r"[^\W\d_]+")
+_LETTERS = WORD
 _SCRIPTS = (("Hani", re.compile("[㐀-鿿]")), ("Cyrl", re.compile("[Ѐ-ӿ]")), ("Kana", re.compile("[぀-ヿ]")), ("Hang", re.compile("[가-힯]")), ("Arab", re.compile("[؀-ۿ]")), ("Deva", re.compile("[ऀ-ॿ]")), ("Grek", re.compile("[Ͱ-Ͽ]")), ("Hebr", re.compile("[֐-׿]")), ("Thai", re.compile("[฀-๿]")))
 _UNICODE_LATIN = re.compile("[a-zÀ-ɏ]")
 
@@ -339,52 +327,48 @@ def script(low: str) -> str | None:
     return name if counts and counts[name] * (3 if name in ("Hani", "Kana", "Hang") else 1) > latin else "Latn"
 
 
-def language_scores(low: str) -> dict[str, int]:
-    scores: dict[str, int] = {}
-    for w in _LETTERS.findall(low):
-        for lang in _BY_WORD.get(w, ()):
-            scores[lang] = scores.get(lang, 0) + 1
-    return scores
+#: Log-likelihood by which the steps must be more likely in another language than in the question's.
+SWITCHED = 60.0
+#: The same by which a question's own language must lead the next one.
+SURE = 8.0
 
 
-def switches_language(question: str | None, cot: str | None) -> bool:
-    """Whether the steps, from some line to the last, are in another language than the question."""
+def switches_language(question: str | None, cot: str | None, profiles: Profiles | None = None) -> bool:
+    """Whether the steps, from some place to the last, are in another language than the question.
+
+    Another script tells by itself; languages of one script are told by the
+    profiles, from the words that the question does not have, as those are its
+    names and things.
+    """
     if not question or not cot:
         return False
-    asked = question.lower()
+    asked, said = question.lower(), cot.lower()
     own_script = script(asked)
     if own_script is None:
         return False
-    own = None
-    if own_script == "Latn":
-        scores = language_scores(asked)
-        if scores:
-            own = max(scores, key=lambda x: (scores[x], x))
-            if scores[own] < 3:
-                own = None
-    foreign, mine = 0, 0
-    for line in reversed(cot.lower().split("\n")):
+    for line in reversed(said.split("\n")):
         s = script(line)
         if s is None:
             continue
-        if s != own_script:
-            # Letters of formulas and names are Latin in every script.
-            if s == "Latn" and (not own_script or len(_LETTERS.findall(line)) < 3 or sum(language_scores(line).values()) < 2):
-                continue
-            return True
-        if own_script != "Latn":
-            return False
-        if own is None:
-            return False
-        scores = language_scores(line)
-        if not scores:
-            continue
-        best = max(v for k, v in scores.items())
-        here = scores.get(own, 0)
-        if here >= best:
+        if s == own_script:
             break
-        foreign, mine = foreign + best, mine + here
-    return foreign >= 2 and foreign >= mine + 2
+        # Letters of formulas and names are Latin in every script.
+        words = _LETTERS.findall(line)
+        if s == "Latn" and (len(words) < 3 or profiles is not None and sum(map(profiles.like, words)) < 2):
+            continue
+        return True
+    if profiles is None or len(profiles.languages) < 2:
+        return False
+    mine = _LETTERS.findall(asked)
+    new = set(_LETTERS.findall(said)).difference(mine)
+    if not new:
+        return False
+    total = profiles.of(mine).sum(axis=0)
+    own = int(total.argmax())
+    if total[own] - np.partition(total, -2)[-2] < SURE:
+        return False
+    until = profiles.of([w for w in reversed(_LETTERS.findall(said)) if w in new]).cumsum(axis=0)
+    return bool((until - until[:, own : own + 1]).max() >= SWITCHED)
 
 
 # --------------------------------------------------------------- truncation
@@ -568,7 +552,7 @@ def answer_broken(question: str | None, cot: str | None, answer: str) -> bool:
 # ------------------------------------------------------------------- whole
 
 
-def defect(question: str | None, cot: str | None, answer: str | None) -> str | None:
+def defect(question: str | None, cot: str | None, answer: str | None, profiles: Profiles | None = None) -> str | None:
     """The defect of one pair, or None.
 
     An empty answer outranks everything; then refusals and copies, which have
@@ -583,28 +567,33 @@ def defect(question: str | None, cot: str | None, answer: str | None) -> str | N
                 return "refusal"
             if is_copy(question, answer):
                 return "copied_question"
-    if switches_language(question, cot):
+    if switches_language(question, cot, profiles):
         return "other_language"
     if cot_broken(question, cot) or (not plain and answer_broken(question, cot, answer)):
         return "truncated_answer"
     return None
 
 
-def _flag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        cols = [b.column(c).to_pylist() for c in ("question", "cot", "answer")]
-        found = pa.array([defect(*row) for row in zip(*cols)], pa.string())
-        out = pa.RecordBatch.from_arrays([b.column("id"), found], ["id", "defect"])
-        yield out.filter(found.is_valid())
+def _flag(profiles: Profiles | None):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cols = [b.column(c).to_pylist() for c in ("question", "cot", "answer")]
+            found = pa.array([defect(*row, profiles) for row in zip(*cols)], pa.string())
+            out = pa.RecordBatch.from_arrays([b.column("id"), found], ["id", "defect"])
+            yield out.filter(found.is_valid())
+
+    return run
 
 
-def defective_pairs(pairs: DataFrame) -> DataFrame:
+def defective_pairs(pairs: DataFrame, profiles: Profiles | None = None) -> DataFrame:
     """(id, defect) of the defective rows of ``pairs(id, question, cot, answer)``.
 
-    One pass without any shuffle. A null or empty question only disables the
-    checks that need it; a null or empty cot with a proper answer is no
-    defect; repeated rows are each judged; other columns are ignored; an empty
-    table gives an empty result.
+    One pass without any shuffle. ``profiles`` (see ``languages.fit_profiles``)
+    tell languages of one script apart; without them only another script is
+    another language. A null or empty question only disables the checks that
+    need it; a null or empty cot with a proper answer is no defect; repeated
+    rows are each judged; other columns are ignored; an empty table gives an
+    empty result.
     """
     cols = [F.col("id").cast("long").alias("id"), *(F.col(c).cast("string").alias(c) for c in ("question", "cot", "answer"))]
-    return pairs.select(*cols).mapInArrow(_flag, "id long, defect string")
+    return pairs.select(*cols).mapInArrow(_flag(profiles), "id long, defect string")

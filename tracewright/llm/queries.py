@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import defects, leak, lookalike, mixing, neardup, packing, segjoin
+from . import defects, languages, leak, lookalike, mixing, neardup, packing, segjoin
 from .shared import materialise
 
 
@@ -117,7 +117,7 @@ def p3_report(spark: SparkSession, folder: str) -> DataFrame:
 
 def _defects(spark: SparkSession, folder: str) -> DataFrame:
     rows = _table(spark, folder, "cot_records").select(F.col("record_id").alias("id"), "question", "cot", "answer")
-    return defects.defective_pairs(rows)
+    return defects.defective_pairs(rows, languages.fit_profiles(_table(spark, folder, "documents")))
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
