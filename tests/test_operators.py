@@ -341,3 +341,24 @@ def test_divergence_of_whole_distributions(spark):
     df = spark.createDataFrame([(p, q), (None, q)], "p array<array<double>>, q array<array<double>>")
     got = [r[0] for r in df.select(A.kl_terms(F.col("p"), F.col("q"), "full")).collect()]
     assert got[0] == pytest.approx([0.2 * math.log(0.4) + 0.8 * math.log(1.6), 0.0]) and got[1] is None
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_recurrences_over_parts(spark, parts):
+    """One group holds most rows and lies in several parts; null is a group."""
+    import random
+
+    rng = random.Random(parts)
+    given = [(rng.choice([1, 1, 1, 1, 2, None, 3]), i, rng.uniform(-1, 1), rng.uniform(-1, 1), rng.choice([0, 1, 1])) for i in range(300)]
+    df = spark.createDataFrame(given, "k int, i int, r double, v double, m int").repartition(5)
+    adv = {r.i: (r.advantage, r.ret) for r in W.gae_rows(df, ["k"], "i", F.col("r"), F.col("v"), 0.9, 0.8, parts).collect()}
+    plain = {r.i: r.advantage for r in W.gae_rows(df, ["k"], "i", F.col("r"), F.col("v"), 0.9, 0.0, parts).collect()}
+    ret = {r.i: r.ret for r in W.discounted_rows(df, ["k"], "i", F.col("r"), F.col("m"), 0.95, parts).collect()}
+    for k in (1, 2, 3, None):
+        own = [g for g in given if g[0] == k]
+        r, v, m = (np.array([g[c] for g in own], dtype=float) for c in (2, 3, 4))
+        a, back = W.gae(r, v, 0.9, 0.8)
+        assert [adv[g[1]] for g in own] == [(pytest.approx(x), pytest.approx(y)) for x, y in zip(a, back)]
+        assert [plain[g[1]] for g in own] == pytest.approx(W.gae(r, v, 0.9, 0.0)[0])
+        assert [ret[g[1]] for g in own] == pytest.approx(W.discounted(r, m, 0.95))
+    assert W.gae_rows(df.limit(0), ["k"], "i", F.col("r"), F.col("v"), 0.9, 0.8).count() == 0

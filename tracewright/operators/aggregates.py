@@ -7,8 +7,9 @@ collected. Ratios guard their denominator unless a parity flag says otherwise.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.base import col, let
@@ -115,14 +116,15 @@ def confidence(x: Column) -> Column:
 def whiten(df: DataFrame, value: str, mask: str, by: Sequence[str] = (), eps: float = 1e-8, into: str = "white") -> DataFrame:
     """(x - mean) / sqrt(var + eps) with the moments of the unmasked rows (Bessel's correction).
 
-    Moments are one aggregate; they come back as a window over the group or, for
-    the whole table, as one broadcast row.
+    Moments are one aggregate, joined back to the rows of their group or, for
+    the whole table, sent out as one row. Null groups are groups.
     """
     kept = F.when(F.col(mask), F.col(value))
     if by:
-        w = Window.partitionBy(*by)
-        m, v = F.avg(kept).over(w), F.var_samp(kept).over(w)
-        return df.withColumn(into, (F.col(value) - m) / F.sqrt(v + eps))
+        sums = df.groupBy(*(F.col(c).alias(f"_by_{c}") for c in by)).agg(F.avg(kept).alias("_m"), F.var_samp(kept).alias("_v"))
+        same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by))
+        both = df.join(sums, same).drop(*(f"_by_{c}" for c in by))
+        return both.withColumn(into, (F.col(value) - F.col("_m")) / F.sqrt(F.col("_v") + eps)).drop("_m", "_v")
     moments = df.agg(F.avg(kept).alias("_m"), F.var_samp(kept).alias("_v"))
     return df.crossJoin(F.broadcast(moments)).withColumn(into, (F.col(value) - F.col("_m")) / F.sqrt(F.col("_v") + eps)).drop("_m", "_v")  # one row
 

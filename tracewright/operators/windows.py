@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -139,6 +140,75 @@ def with_discounted(df: DataFrame, rewards: str, mask: str, gamma: float) -> Dat
     return df.withColumn("returns", run(rewards, mask))
 
 
+def reverse_scan(df: DataFrame, by: Sequence[str], order: str, gain: Column, add: Column, into: str, behind: bool = False, parts: int | None = None) -> DataFrame:
+    """Column x with x_t = add_t + gain_t * x_(t+1) within groups in order, or with ``behind`` the x_(t+1) of each row; 0 stands behind the last.
+
+    Rows are ranged by group and order, so a group that holds a third of all
+    rows lies in many parts. Each part runs the recurrence as if 0 stood
+    behind it and keeps the product of the gains; a group's parts are then
+    joined by one row each, and every row adds its product times what really
+    stands behind its part. Null groups are groups; ties in order come in any
+    order; an empty table stays empty; a null gain or add makes x null from
+    there on.
+    """
+    given = [c for c in df.columns if c != into]
+    rows = df.withColumn("_gain", gain.cast("double")).withColumn("_add", add.cast("double"))
+    ranged = rows.repartitionByRange(parts, *by, order) if parts else rows.repartitionByRange(*by, order)
+    ranged = ranged.sortWithinPartitions(*by, F.desc(order)).withColumn("_part", F.spark_partition_id())
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranged.schema.fields) + ", _behind double, _product double"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, x, product = None, 0.0, 1.0
+        for b in batches:
+            xs, products = [], []
+            for key, g, a in zip(zip(*(b.column(c).to_pylist() for c in by)), b.column("_gain").to_pylist(), b.column("_add").to_pylist()):
+                if key != last:
+                    last, x, product = key, 0.0, 1.0
+                xs.append(x)
+                products.append(product)
+                if x is not None:
+                    x, product = (None, None) if g is None or a is None else (a + g * x, product * g)
+            columns = [*b.columns, pa.array(xs, pa.float64()), pa.array(products, pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, [*b.schema.names, "_behind", "_product"])
+
+    scanned = materialise(ranged.mapInArrow(run, schema), "scanned")
+    own = lambda x: F.col("_add") + F.col("_gain") * x
+    piece = F.struct("_part", own(F.col("_behind")).alias("x"), (F.col("_gain") * F.col("_product")).alias("product"))
+    pieces = scanned.groupBy(*by, "_part").agg(F.min_by(piece, F.struct(order, F.lit(0))).alias("_e"))
+    # At most one row per part of each group that lies in several of them.
+    chains = pieces.groupBy(*by).agg(F.sort_array(F.collect_list("_e"), asc=False).alias("_l")).where(F.size("_l") > 1)
+    kind = "struct<x double, all array<struct<part int, carry double>>>"
+    begin = F.struct(F.lit(0.0).alias("x"), F.array().alias("all")).cast(kind)
+
+    def step(s, e):
+        here = F.struct(e["_part"].alias("part"), s["x"].alias("carry"))
+        return F.struct((e["x"] + e["product"] * s["x"]).alias("x"), F.concat(s["all"], F.array(here)).alias("all")).cast(kind)
+
+    carried = chains.select(*(F.col(c).alias(f"_by_{c}") for c in by), F.explode(F.aggregate("_l", begin, step, lambda s: s["all"])).alias("_c"))
+    met = scanned["_part"] == F.col("_c.part")
+    for c in by:
+        met = met & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    out = scanned.join(carried, met, "left")
+    before = F.when(F.col("_c").isNull(), F.col("_behind")).otherwise(F.col("_behind") + F.col("_product") * F.col("_c.carry"))
+    return out.select(*given, (before if behind else own(before)).alias(into))
+
+
+def gae_rows(df: DataFrame, by: Sequence[str], order: str, reward: Column, value: Column, gamma: float, lam: float, parts: int | None = None) -> DataFrame:
+    """Columns advantage and ret of rows, for sequences of any length.
+
+    With z = v + lam A the recurrence needs no next value:
+    z_t = lam r_t + (1 - lam) v_t + gamma lam z_(t+1), and A_t = r_t - v_t + gamma z_(t+1).
+    """
+    out = reverse_scan(df, by, order, F.lit(gamma * lam), lam * reward + (1 - lam) * value, "_z", True, parts)
+    return out.withColumn("advantage", reward - value + gamma * F.col("_z")).withColumn("ret", F.col("advantage") + value).drop("_z")
+
+
+def discounted_rows(df: DataFrame, by: Sequence[str], order: str, reward: Column, mask: Column, gamma: float, parts: int | None = None) -> DataFrame:
+    """Column ret of rows: the discounted return; what is carried is zeroed behind a masked row."""
+    out = reverse_scan(df, by, order, gamma * mask, mask * reward, "_z", True, parts)
+    return out.withColumn("ret", reward + gamma * F.col("_z")).drop("_z")
+
+
 def whiten_arrays(df: DataFrame, values: str, mask: str, into: str, eps: float = 1e-8) -> DataFrame:
     """Array elements whitened by the moments of all unmasked elements of the table."""
     from .aggregates import masked

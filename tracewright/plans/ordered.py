@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import ranking as K
 from ..operators import windows as W
+from ..operators.aggregates import whiten
 from .base import query, table, turn, turn_sql
 
 R6 = lambda c: F.round(c, 6)
@@ -84,28 +85,17 @@ _SEQ = """e AS (SELECT user_id, event_id, value AS r, (event_type <> 'error')::I
  g AS (SELECT user_id, event_id, m, r / 10 AS v, sum((r - r / 10 + 0.9 * nv) * pow(0.72::DOUBLE, -i)) OVER (PARTITION BY user_id ORDER BY i) * pow(0.72::DOUBLE, i) AS a FROM e)"""
 
 
-def _sequences(events):
-    item = F.struct("event_id", "value", (F.col("event_type") != "error").cast("int").alias("m"))
-    rows = events.groupBy("user_id").agg(F.array_sort(F.collect_list(item)).alias("s"))
-    return rows.select("user_id", *(F.transform("s", f).alias(n) for n, f in (("ids", lambda s: s["event_id"]), ("r", lambda s: s["value"]), ("v", lambda s: s["value"] / 10), ("m", lambda s: s["m"]))))
-
-
 @query(f"WITH {_SEQ} SELECT user_id, event_id, round(a, 6) AS advantage, round(a + v, 6) AS ret FROM g", name="gae")
 def w07_gae(spark, d):
-    return _gae_rows(table(spark, d, "events"))
-
-
-def _gae_rows(events):
-    out = W.with_gae(_sequences(events), "r", "v", 0.9, 0.8)
-    rows = out.select("user_id", F.explode(F.arrays_zip("ids", "advantages", "returns")).alias("z"))
-    return rows.select("user_id", F.col("z.ids").alias("event_id"), R6("z.advantages").alias("advantage"), R6("z.returns").alias("ret"))
+    out = W.gae_rows(table(spark, d, "events"), ["user_id"], "event_id", F.col("value"), F.col("value") / 10, 0.9, 0.8)
+    return out.select("user_id", "event_id", R6("advantage").alias("advantage"), R6("ret").alias("ret"))
 
 
 @query(f"WITH {_SEQ}, w AS (SELECT avg(a) AS mean, var_samp(a) AS dev FROM g WHERE m = 1) SELECT user_id, event_id, round((a - mean) / sqrt(dev + 1e-8), 6) AS white FROM g, w")
 def w07_gae_whitened(spark, d):
-    out = W.with_gae(_sequences(table(spark, d, "events")), "r", "v", 0.9, 0.8)
-    rows = W.whiten_arrays(out, "advantages", "m", "white").select("user_id", F.explode(F.arrays_zip("ids", "white")).alias("z"))
-    return rows.select("user_id", F.col("z.ids").alias("event_id"), R6("z.white").alias("white"))
+    out = W.gae_rows(table(spark, d, "events"), ["user_id"], "event_id", F.col("value"), F.col("value") / 10, 0.9, 0.8)
+    rows = whiten(out.withColumn("m", F.col("event_type") != "error"), "advantage", "m")
+    return rows.select("user_id", "event_id", R6("white").alias("white"))
 
 
 @query(
@@ -114,13 +104,8 @@ def w07_gae_whitened(spark, d):
     name="discounted_return",
 )
 def w08_discounted_return(spark, d):
-    return _discounted_rows(table(spark, d, "events"))
-
-
-def _discounted_rows(events):
-    out = W.with_discounted(_sequences(events), "r", "m", 0.95)
-    rows = out.select("user_id", F.explode(F.arrays_zip("ids", "returns")).alias("z"))
-    return rows.select("user_id", F.col("z.ids").alias("event_id"), F.round(F.col("z.returns") + 1e-7, 4).alias("ret"))
+    out = W.discounted_rows(table(spark, d, "events"), ["user_id"], "event_id", F.col("value"), (F.col("event_type") != "error").cast("int"), 0.95)
+    return out.select("user_id", "event_id", F.round(F.col("ret") + 1e-7, 4).alias("ret"))
 
 
 @query(
