@@ -362,3 +362,35 @@ def test_recurrences_over_parts(spark, parts):
         assert [plain[g[1]] for g in own] == pytest.approx(W.gae(r, v, 0.9, 0.0)[0])
         assert [ret[g[1]] for g in own] == pytest.approx(W.discounted(r, m, 0.95))
     assert W.gae_rows(df.limit(0), ["k"], "i", F.col("r"), F.col("v"), 0.9, 0.8).count() == 0
+
+
+def test_events_from_datagrams(spark, tmp_path):
+    """Packets sent to a port while a query runs end in its table, malformed ones among the rejects."""
+    import json
+    import socket
+    import time
+
+    from tracewright.sources import datagrams
+
+    with socket.socket(socket.AF_INET, socket.SOCK_DGRAM) as free:
+        free.bind(("127.0.0.1", 0))
+        port = free.getsockname()[1]
+    datagrams.register(spark)
+    lines = spark.readStream.format("datagrams").option("port", port).load()
+    got = {}
+    run = lines.writeStream.foreachBatch(lambda df, i: got.__setitem__(i, [r.value for r in df.collect()])).option("checkpointLocation", str(tmp_path)).trigger(processingTime="200 milliseconds").start()
+    event = {"ts": 1.0, "pid": 1, "req_ids": ["3_7"], "latents": [[0.5]], "rank": 0, "seq": 1}
+    try:
+        out = socket.socket(socket.AF_INET, socket.SOCK_DGRAM)
+        until = time.time() + 60
+        while time.time() < until and not {"{broken"} <= {x for b in got.values() for x in b}:
+            out.sendto(json.dumps(event).encode(), ("127.0.0.1", port))
+            out.sendto(b"{broken", ("127.0.0.1", port))
+            time.sleep(0.5)
+        out.close()
+    finally:
+        run.stop()
+    seen = [x for b in got.values() for x in b]
+    parsed = E.parse(spark.createDataFrame([(x,) for x in seen], "value string"))
+    assert {r.value for r in E.rejects(parsed).collect()} == {"{broken"}
+    assert {(r.parent, r.sample, r.seq) for r in E.steps(parsed).collect()} == {("7", 3, 1)}
