@@ -179,22 +179,28 @@ class FirstFit:
                     spill = i
         return None if spill is None else self.buffers.pop(spill)
 
+    def _place(self, total: int, count: int, cut_ok: bool) -> str:
+        """What becomes of a pack by its tokens and samples: emitted, lost, divided, or kept open."""
+        over, several = total >= self.capacity, count > 1
+        if several:
+            return "divided" if over else "emitted" if count >= self.instances else "open"
+        if total < self.long:
+            return "open"
+        return "emitted" if cut_ok or total <= self.capacity else "lost"
+
     def _settle(self, b: Buffer, cut_ok: bool) -> Iterator[Buffer]:
-        if len(b.rows) == 1 and b.total >= self.long:
-            if b.total <= self.capacity or cut_ok:
-                b.sizes = [min(b.total, self.capacity)]
-                yield b
-            return
-        if len(b.rows) > 1 and b.total < self.capacity and len(b.rows) >= self.instances:
+        place = self._place(b.total, len(b.rows), cut_ok)
+        if place == "emitted":
+            b.sizes = b.sizes if len(b.sizes) > 1 else [min(b.total, self.capacity)]
             yield b
+        if place in ("emitted", "lost"):
             return
+        # The last sample of a divided pack leaves it; of both parts the larger is done, the other goes on.
         while len(b.rows) > 1 and b.total >= self.capacity:
-            last = Buffer(b.rows.pop(), b.sizes.pop())
-            if b.total >= last.total:
-                yield b
-                b = last
-            else:
-                yield last
+            parts = [b, Buffer(b.rows.pop(), b.sizes.pop())]
+            done = parts.pop(int(parts[1].total > parts[0].total))
+            b = parts[0]
+            yield done
         at = next((i for i, x in enumerate(self.buffers) if x.total < b.total), len(self.buffers))
         self.buffers.insert(at, b)
 
