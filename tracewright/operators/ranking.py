@@ -8,13 +8,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def top_k_with_refill(df: DataFrame, score: str, key: str, keep: Column, k: int, pool: DataFrame, seed: int = 42) -> DataFrame:
-    """The k best rows that pass a test; if fewer pass, rows of a fallback pool in hashed order fill up.
+def top_k_with_refill(df: DataFrame, score: str, key: str, keep: Column, k: int, pool: DataFrame, seed: int = 42, turn: Column | None = None) -> DataFrame:
+    """The k best rows that pass a test; if fewer pass, rows of a fallback pool in hashed order, or in that of ``turn``, fill up.
 
     Both sides are TakeOrdered, so at most k rows per task travel.
     """
     best = df.where(keep).orderBy(F.desc(score), key).limit(k).select(key, F.lit(0).alias("_g"), F.row_number().over(Window.orderBy(F.desc(score), key)).alias("_r"))
-    spare = pool.orderBy(F.xxhash64(F.lit(seed), key), key).limit(k).select(key, F.lit(1).alias("_g"), F.row_number().over(Window.orderBy(F.xxhash64(F.lit(seed), key), key)).alias("_r"))
+    turn = F.xxhash64(F.lit(seed), key) if turn is None else turn
+    spare = pool.orderBy(turn, key).limit(k).select(key, F.lit(1).alias("_g"), F.row_number().over(Window.orderBy(turn, key)).alias("_r"))
     return best.unionByName(spare).orderBy("_g", "_r").limit(k).select(key, (F.col("_g") == 1).alias("refilled"))
 
 

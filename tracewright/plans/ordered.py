@@ -167,10 +167,14 @@ def w15_joined_pairs(spark, d):
 # ------------------------------------------------------------------ ranking
 
 
-@query("SELECT p_partkey, false AS refilled FROM (SELECT p_partkey FROM part WHERE p_name NOT LIKE '%7%' ORDER BY p_retailprice DESC, p_partkey LIMIT 20)")
+@query(
+    f"""SELECT p_partkey, g = 1 AS refilled FROM (SELECT p_partkey, 0 AS g, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) AS r FROM part WHERE p_size = 1
+ UNION ALL SELECT p_partkey, 1, row_number() OVER (ORDER BY {turn_sql('p_partkey')}, p_partkey) FROM part WHERE p_size BETWEEN 2 AND 9) ORDER BY g, r LIMIT 1000"""
+)
 def t01_topk_with_refill(spark, d):
+    """Few parts have the asked size, so that others fill up."""
     parts = table(spark, d, "part")
-    return K.top_k_with_refill(parts, "p_retailprice", "p_partkey", ~F.col("p_name").contains("7"), 20, parts.where("p_size = 1"))
+    return K.top_k_with_refill(parts, "p_retailprice", "p_partkey", F.col("p_size") == 1, 1000, parts.where("p_size between 2 and 9"), turn=turn("p_partkey"))
 
 
 @query("SELECT p_brand, arg_max(p_partkey, (p_retailprice, p_partkey)) AS best, max(p_retailprice) AS most, arg_min(p_partkey, (p_retailprice, p_partkey)) AS worst FROM part GROUP BY 1", name="best_candidate")
