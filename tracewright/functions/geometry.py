@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -52,12 +54,15 @@ def fit_pixels(width, height, least: int = 3136, most: int = 1003520, factor: in
     return F.struct(pick(bw, w).cast("int").alias("width"), pick(bh, h).cast("int").alias("height"))
 
 
-def noisy(v: Column | str, amount: float, key: Column | str, seed: int = 42) -> Column:
-    """Uniform noise on values in [0, 1], clipped and cut to 1/255 steps; the same on every run."""
+def noisy(v: Column | str, amount: float, key: Column | str, seed: int = 42, turn: Callable[[Column], Column] | None = None) -> Column:
+    """Uniform noise on values in [0, 1], clipped and cut to 1/255 steps; the same on every run.
+
+    A hash of key and place decides, or ``turn``, which gives a number in [0, 1) for a place.
+    """
     step = 1 / 255
 
     def one(x, i):
-        u = F.pmod(F.xxhash64(F.lit(seed), col(key), i), F.lit(1_000_003)) / 1_000_003.0
+        u = F.pmod(F.xxhash64(F.lit(seed), col(key), i), F.lit(1_000_003)) / 1_000_003.0 if turn is None else turn(i)
         y = F.greatest(F.lit(0.0), F.least(F.lit(1.0), x.cast("double") + (u * 2 - 1) * amount))
         return F.round(y / step) * step
 

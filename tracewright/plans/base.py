@@ -32,7 +32,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 # A number in [0, 1) for each value of a column, the same in both dialects: the first 32 bits of its digest.
 def turn(column: str):
-    return F.conv(F.substring(F.md5(F.concat(F.lit("42|"), F.col(column).cast("string")).cast("binary")), 1, 8), 16, 10).cast("double") / 4294967296
+    return F.conv(F.substring(F.md5(F.concat(F.lit("42|"), (F.col(column) if isinstance(column, str) else column).cast("string")).cast("binary")), 1, 8), 16, 10).cast("double") / 4294967296
 
 
 def turn_sql(column: str) -> str:

@@ -11,7 +11,7 @@ from ..functions import rewards as R
 from ..functions import text as X
 from ..operators import documents as D
 from .answers import FLOAT, LAST_NUMBER, STRIP
-from .base import RESPONSES, query, responses, table
+from .base import RESPONSES, query, responses, table, turn, turn_sql
 
 
 @query("SELECT run_id, record_id, prediction = ground_truth AS same, prediction = ground_truth AND prediction <> 'inf'::DOUBLE AS same_strict, count(*) AS n FROM sample_results GROUP BY ALL")
@@ -308,7 +308,10 @@ def e31_flatten_nested(spark, d):
     return D.flatten_columns(D.nest_columns(D.flatten_columns(nested)))
 
 
-@query()
+@query(
+    f"""SELECT vec_id, list_transform(embedding, lambda x, i: round(greatest(0, least(1, (x::DOUBLE + 1) / 2 + ({turn_sql("vec_id || '|' || (i - 1)")} * 2 - 1) * (8 / 255))) / (1 / 255)) / 255) AS noisy FROM embeddings"""
+)
 def e32_noise(spark, d):
-    rows = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: (x + 1) / 2).alias("v"))
-    return rows.select("vec_id", G.noisy("v", 8 / 255, "vec_id").alias("noisy"))
+    rows = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: (x.cast("double") + 1) / 2).alias("v"))
+    place = lambda i: turn(F.concat("vec_id", F.lit("|"), i))
+    return rows.select("vec_id", F.transform(G.noisy("v", 8 / 255, "vec_id", turn=place), lambda x: F.round(x * 255) / 255).alias("noisy"))
