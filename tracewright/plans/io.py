@@ -21,6 +21,12 @@ def _qa(spark, d):
     return table(spark, d, "cot_records").where("answer is not null and steps is not null").select("record_id", "question", "answer", "steps")
 
 
+def _array_file(df, path: str) -> str:
+    """Rows of a table of fixed size as one JSON array."""
+    W.document(df.agg(F.to_json(F.array_sort(F.collect_list(F.struct(*df.columns)))).alias("value")), path)
+    return path
+
+
 def _array_files(df, path: str) -> str:
     """Rows as JSON arrays, the layout of question sets: a document of a thousand ids each, in the order of their names."""
     block = F.format_string("%09d", F.floor(F.col("record_id") / 1000).cast("long"))
